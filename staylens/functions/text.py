@@ -43,8 +43,8 @@ def set_items(col: ColumnLike, dialect: str = "brackets") -> Column:
     one empty item under the first three, as a plain split does.
     """
     if dialect == "json":
-        return F.transform(F.from_json(_c(col), "array<string>"), F.trim)
-    return F.transform(F.split(strip_chars(col, SET_MARKUP[dialect]), ","), F.trim)
+        return F.transform(F.from_json(_c(col), "array<string>"), lambda x: F.trim(x))
+    return F.transform(F.split(strip_chars(col, SET_MARKUP[dialect]), ","), lambda x: F.trim(x))
 
 
 def delimiter_count(col: ColumnLike, delimiter: str = ",") -> Column:
