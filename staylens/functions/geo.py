@@ -28,7 +28,7 @@ def _ring_area(ring: Column) -> Column:
     points = F.transform(
         ring, lambda p: F.struct((F.radians(F.get(p, F.lit(0))) * WGS84_A).alias("x"), _northing(F.get(p, F.lit(1))).alias("y"))
     )
-    nxt = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+    nxt = F.concat(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
     terms = F.zip_with(points, nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)) / 2
 

@@ -57,18 +57,34 @@ def words(col: ColumnLike) -> Column:
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def token_windows(tokens: ColumnLike, n: int) -> Column:
+    """For each token the struct (x0, ..., x{n-1}) of it and the tokens after it, null past the end.
+
+    Built by zipping shifted copies, so the lambdas only see their own arguments: a reference to an
+    outer array would be evaluated again for every element.
+    """
+    t = _c(tokens)
+
+    def longer(k: int):
+        return lambda s, x: F.struct(*[s[f"x{i}"].alias(f"x{i}") for i in range(k)], x.alias(f"x{k}"))
+
+    out = F.transform(t, lambda x: F.struct(x.alias("x0")))
+    for k in range(1, n):
+        shifted = F.slice(t, F.lit(k + 1), F.greatest(F.size(t), F.lit(1)))
+        out = F.zip_with(out, shifted, longer(k))
+    return out
+
+
 def ngrams(tokens: ColumnLike, n: int = 2, sep: str = " ") -> Column:
     """n-grams of a token array, in order and within the array only."""
-    t = _c(tokens)
-    starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat_ws(sep, *[F.get(t, i + k) for k in range(n)]))
+    full = F.filter(token_windows(tokens, n), lambda w: w[f"x{n - 1}"].isNotNull())
+    return F.transform(full, lambda w: F.concat_ws(sep, *[w[f"x{i}"] for i in range(n)]))
 
 
 def neighbours(tokens: ColumnLike) -> Column:
     """Array of (src, dst) for each token and the one after it."""
-    t = _c(tokens)
-    starts = F.when(F.size(t) >= 2, F.sequence(F.lit(0), F.size(t) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.get(t, i).alias("src"), F.get(t, i + 1).alias("dst")))
+    full = F.filter(token_windows(tokens, 2), lambda w: w["x1"].isNotNull())
+    return F.transform(full, lambda w: F.struct(w["x0"].alias("src"), w["x1"].alias("dst")))
 
 
 def greedy_starts(matches: ColumnLike, n: int) -> Column:
@@ -80,32 +96,58 @@ def greedy_starts(matches: ColumnLike, n: int) -> Column:
     """
     marks = F.concat_ws("", F.transform(_c(matches), lambda m: F.when(m, "1").otherwise("0")))
     taken = F.regexp_replace(marks, "1.{%d}" % (n - 1), "S" + "_" * (n - 1))
-    return F.when(F.length(marks) > 0, F.split(F.regexp_replace(taken, "1", "0"), "")).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.split(F.regexp_replace(taken, "1", "0"), "")
 
 
 def apply_recode(tokens: ColumnLike, marks: ColumnLike, n: int, sep: str = " ") -> Column:
     """First token of a taken n-gram becomes the compound, the swallowed ones become null."""
-    t, m = _c(tokens), _c(marks)
-    return F.transform(
-        t,
-        lambda x, i: F.when(F.get(m, i) == "S", F.concat_ws(sep, *[F.get(t, i + k) for k in range(n)])).when(
-            F.get(m, i) == "0", x
-        ),
-    )
+
+    def pick(w: Column, m: Column) -> Column:
+        return F.when(m == "S", F.concat_ws(sep, *[w[f"x{i}"] for i in range(n)])).when(m == "0", w["x0"])
+
+    t = _c(tokens)
+    return F.slice(F.zip_with(token_windows(t, n), _c(marks), pick), F.lit(1), F.size(t))
+
+
+def phrase_hits(tokens: ColumnLike, phrases: Sequence[str], sep: str = " ") -> Column:
+    """Array of booleans, true where one of the phrases starts; all have the same number of words."""
+    (n,) = {len(p.split(sep)) for p in phrases}
+
+    def hit(w: Column) -> Column:
+        phrase = F.concat_ws(sep, *[w[f"x{i}"] for i in range(n)])
+        return w[f"x{n - 1}"].isNotNull() & phrase.isin(list(phrases))
+
+    return F.transform(token_windows(tokens, n), hit)
 
 
 def recode_phrases(tokens: ColumnLike, phrases: Sequence[str], sep: str = " ") -> Column:
     """Recode a token array by a short fixed list of phrases, all of the same number of words."""
-    t = _c(tokens)
     (n,) = {len(p.split(sep)) for p in phrases}
-    grams = F.transform(
-        t,
-        lambda x, i: F.when(i <= F.size(t) - n, F.concat_ws(sep, *[F.get(t, i + k) for k in range(n)])),
-    )
-    hits = F.transform(grams, lambda g: F.coalesce(g.isin(list(phrases)), F.lit(False)))
-    return apply_recode(t, greedy_starts(hits, n), n, sep)
+    return apply_recode(tokens, greedy_starts(phrase_hits(tokens, phrases, sep), n), n, sep)
+
+
+def trigrams(col: ColumnLike) -> Column:
+    """Character trigrams of the lower-case letters of a text, each run of other signs counting as one space."""
+    letters = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(_c(col)), r"[^\p{L}]+", " ")), F.lit(" "))
+    return ngrams(F.split(letters, ""), 3, "")
+
+
+# Spellings of arrival and departure brought to one form, applied in this order.
+ARRIVAL_TERMS = {
+    "check - in": "check-in",
+    "checkin": "check-in",
+    "check in": "check-in",
+    "check - out": "check-out",
+    "checkout": "check-out",
+    "check out": "check-out",
+}
+
+
+def normalise_terms(col: ColumnLike, spellings: dict[str, str] = ARRIVAL_TERMS) -> Column:
+    out = _c(col)
+    for found, wanted in spellings.items():
+        out = replace_first(out, found, wanted)
+    return out
 
 
 # --- description sections -------------------------------------------------------------------

@@ -51,3 +51,13 @@ def distinct_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> li
     if len(rows) > max_levels:
         raise ValueError(f"{col} has more than {max_levels} distinct values, too many for columns")
     return sorted(r[0] for r in rows)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of few splits (small, gzipped or single-row-group files) over all cores.
+
+    For row work that is much heavier than the read. A scan that already has a split per core is returned
+    as it is, so large tables are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
