@@ -202,7 +202,7 @@ def set_explode_counts(spark: SparkSession, d: str) -> DataFrame:
     for dialect, marks in written_as.items():
         sets = part.select("p_partkey", "p_retailprice", written(*marks).alias("set_text"))
         sets = sets.withColumn("commas", text.delimiter_count("set_text"))
-        items = reshape.explode_set(sets, "set_text", dialect).withColumn("dialect", F.lit(dialect))
+        items = text.explode_items(sets, "set_text", dialect).withColumn("dialect", F.lit(dialect))
         out = items if out is None else out.unionByName(items)
     supported = reshape.support(out, ["p_partkey"], by=["dialect"]).where(F.col("n") > 20)
     means = out.groupBy("dialect", "item").agg(

@@ -47,6 +47,11 @@ def set_items(col: ColumnLike, dialect: str = "brackets") -> Column:
     return F.transform(F.split(strip_chars(col, SET_MARKUP[dialect]), ","), lambda x: F.trim(x))
 
 
+def explode_items(df: DataFrame, col: str, dialect: str = "brackets", item: str = "item") -> DataFrame:
+    """One row per item of a set written as text; rows with a null set give none."""
+    return df.withColumn(item, F.explode(set_items(col, dialect)))
+
+
 def delimiter_count(col: ColumnLike, delimiter: str = ",") -> Column:
     """Number of delimiters, that is items minus one."""
     return F.regexp_count(_c(col), F.lit(re.escape(delimiter)))

@@ -8,7 +8,6 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staylens.functions.text import set_items
 from staylens.runtime import broadcast_if_small
 
 
@@ -41,11 +40,6 @@ def adjacent_pairs(df: DataFrame, doc: str, pos: str, term: str) -> DataFrame:
     return here.join(after, [doc, pos]).select(doc, "src", "dst")
 
 
-def explode_set(df: DataFrame, col: str, dialect: str = "brackets", item: str = "item") -> DataFrame:
-    """One row per item of a set written as text; rows with a null set give none."""
-    return df.withColumn(item, F.explode(set_items(col, dialect)))
-
-
 def support(df: DataFrame, keys: Sequence[str], item: str = "item", by: Sequence[str] = ()) -> DataFrame:
     """Number of distinct records that hold each item, optionally per group."""
     distinct = df.select(*by, *[k for k in keys if k not in by], item).distinct()
