@@ -20,23 +20,21 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from staylens.functions.clean import odds_change_pct, ratio, row_count, row_mean
-from staylens.runtime import MAX_LEVELS
+from staylens.runtime import MAX_LEVELS, column_names
 
 # --- features -------------------------------------------------------------------------------
 
 
-def one_hot(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def one_hot(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
     """0/1 column ``<col>_<value>`` for every value of every column, nulls being a value of their own (``nan``)."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
     seen = df.select(each.alias("e")).select("e.c", "e.v").distinct().limit(MAX_LEVELS + 1).collect()
     if len(seen) > MAX_LEVELS:
         raise ValueError("too many distinct values for one-hot columns")
-    made: dict[str, Column] = {}
-    for c in cols:
-        values = sorted((r.v for r in seen if r.c == c), key=lambda v: (v is None, v or ""))
-        for v in values:
-            made[f"{c}_{'nan' if v is None else v}"] = F.col(c).cast("string").eqNullSafe(F.lit(v)).cast("int")
-    return df.withColumns(made).drop(*cols), list(made)
+    levels = sorted(((r.c, r.v) for r in seen), key=lambda e: (cols.index(e[0]), e[1] is None, e[1] or ""))
+    names = column_names([f"{c}_{'nan' if v is None else v}" for c, v in levels], df.columns)
+    made = {n: F.col(c).cast("string").eqNullSafe(F.lit(v)).cast("int") for n, (c, v) in zip(names, levels)}
+    return df.withColumns(made).drop(*cols), names
 
 
 def standardize(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from staylens.functions.geo import area_sq_km
 from staylens.functions.text import delimiter_count, set_items
 from staylens.operators.groups import area_stats
 from staylens.operators.reshape import indicators, support
-from staylens.runtime import MAX_LEVELS
+from staylens.runtime import MAX_LEVELS, column_names
 
 MONEY = ["price", "cleaning_fee", "security_deposit", "extra_people"]
 PERCENT = ["host_response_rate", "host_acceptance_rate"]
@@ -83,8 +83,8 @@ def supported_items(counts: DataFrame, least: int) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
-def add_indicators(df: DataFrame, values: Sequence[str], taken: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """One 0/1 column per amenity, computed in the row; a name already in use gets a suffix."""
-    names = [v if v and v not in df.columns and v not in taken else f"{v}_item" for v in values]
+def add_indicators(df: DataFrame, values: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """One 0/1 column per amenity, computed in the row."""
+    names = column_names(values, df.columns)
     return df.select("*", *[c.alias(n) for c, n in zip(indicators("items", values), names)]), names
 

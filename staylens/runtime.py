@@ -53,6 +53,19 @@ def distinct_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> li
     return sorted(r[0] for r in rows)
 
 
+def column_names(values: list[str], taken: list[str] = ()) -> list[str]:
+    """Names for columns made from data values: no dots or backticks, none twice, none already taken."""
+    used, out = {t.lower() for t in taken}, []
+    for v in values:
+        base = v.replace(".", "_").replace("`", "_") or "blank"
+        name, k = base, 2
+        while name.lower() in used:
+            name, k = f"{base} ({k})", k + 1
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan of few splits (small, gzipped or single-row-group files) over all cores.
 
