@@ -21,7 +21,7 @@ def _dollars(c: Column) -> Column:
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Order lines with their order, customer and part."""
-    items, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    items, orders = spread(table(spark, d, "lineitem")), table(spark, d, "orders")
     customer = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
     return (
@@ -125,7 +125,7 @@ def quotes(spark: SparkSession, d: str) -> DataFrame:
         ),
         ", ",
     )
-    joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = spread(table(spark, d, "lineitem")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
         F.col("l_orderkey").alias("id"),
         F.to_date("o_orderdate").alias("checkin"),

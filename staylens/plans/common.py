@@ -11,7 +11,7 @@ from staylens.functions import clean
 from staylens.functions.geo import area_sq_km
 from staylens.functions.text import delimiter_count, set_items
 from staylens.operators.groups import area_stats
-from staylens.operators.reshape import indicators, support
+from staylens.operators.reshape import indicators
 from staylens.runtime import MAX_LEVELS, column_names
 
 MONEY = ["price", "cleaning_fee", "security_deposit", "extra_people"]
@@ -70,9 +70,9 @@ def with_items(df: DataFrame, dialect: str, unwanted: Sequence[str] = ()) -> Dat
 
 
 def item_support(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Records per amenity, (id, filedate) being the record."""
-    each = df.select(*by, "id", "filedate", F.explode("items").alias("item"))
-    return support(each, ["id", "filedate"], by=by)
+    """Records per amenity. (id, filedate) is the key of a snapshot row and ``items`` holds no repeats, so
+    counting rows counts records, and only the counts are shuffled."""
+    return df.select(*by, F.explode("items").alias("item")).groupBy(*by, "item").agg(F.count(F.lit(1)).alias("n"))
 
 
 def supported_items(counts: DataFrame, least: int) -> list[str]:
