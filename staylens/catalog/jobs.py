@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from staylens.catalog import stand_ins as si
 from staylens.catalog.base import rounded
-from staylens.catalog.texts import _afinn, _bing, _lexicon, _stop_words
+from staylens.catalog.models import box_sql
+from staylens.catalog.texts import _AFINN, _BING, _GRAM, _SCORE, _STOP, _TOK, _afinn, _bing, _lexicon, _stop_words
 from staylens.operators import language, terms
 from staylens.operators.groups import cluster_profile
 from staylens.operators.segments import override_segments
@@ -176,4 +177,76 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+# --- SQL ------------------------------------------------------------------------------------
+
+_LISTINGS = """base AS (SELECT l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS id, l_partkey % 3 AS snap, o_orderstatus AS city,
+  'area_' || c_nationkey AS neighbourhood_cleansed, c_nationkey, o_custkey AS host_id, ceil(l_quantity / 7)::INTEGER AS accommodates, l_partkey, l_suppkey, l_orderkey,
+  format('{:.2f}', 20 * ceil(l_quantity / 7) + l_extendedprice / 1000 + CASE WHEN p_name LIKE '%widget%' THEN 30 ELSE 0 END)::DOUBLE AS price,
+  l_partkey % 40 AS reviews, l_partkey % 6 + 1 AS min_nights, day(l_shipdate) AS booked, 5 - l_discount * 10 AS rating,
+  (c_nationkey * 37) % 101 + 0.0::DOUBLE AS walk_score
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey)"""
+_PRICED = f"{_LISTINGS}, rows AS (SELECT *, price / accommodates AS ppa FROM base WHERE reviews > 3 AND accommodates > 1 AND price < 1000 AND price > 0)"
+_OCC = f"""{_LISTINGS}, homes AS (SELECT *, price / accommodates AS ppa FROM base WHERE l_suppkey % 5 <> 3),
+dens AS (SELECT city, snap, neighbourhood_cleansed, count(*) / any_value({box_sql('(c_nationkey * 1.5::DOUBLE - 20)', '(0.05::DOUBLE + c_nationkey / 200.0::DOUBLE)')}) AS per_km
+  FROM homes GROUP BY 1, 2, 3),
+rows AS (SELECT h.*, per_km, (booked >= 20)::INT AS high FROM homes h JOIN dens USING (city, snap, neighbourhood_cleansed)
+  WHERE l_orderkey % 3 < 2 AND min_nights <= 3 AND accommodates <= 4 AND booked > 0 AND booked < 30 AND reviews > 3)"""
+_QUOTES = """q AS (SELECT l_orderkey AS id, l_extendedprice / nullif(date_diff('day', o_orderdate::DATE, l_shipdate::DATE), 0) AS nightly,
+  CASE WHEN l_tax > 0 THEN format('{:.2f}', l_tax * 1000)::DOUBLE END AS fee, 5 - l_discount * 10 AS rv, 5 - l_tax * 10 AS rc, 5 - (l_suppkey % 10) / 10.0::DOUBLE AS ro,
+  l_partkey AS k, (l_partkey % 2 = 0 OR l_partkey % 3 = 0 OR l_partkey % 5 = 0 OR l_partkey % 7 = 0 OR l_partkey % 11 = 0) AS has
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_MEANS = """round(avg(nightly), 4) AS avg_nightly_rate_quoted, round(avg(fee), 4) AS avg_cleaning_fee, round(avg(rv), 4) AS avg_rating_value,
+  round(avg(rc), 4) AS avg_rating_cleanliness, round(avg(ro), 4) AS avg_rating_overall"""
+_CHORE = f"""{_QUOTES}, ch AS (SELECT *, 'Turn things off' AS chore FROM q WHERE k % 2 = 0 UNION ALL SELECT *, 'Gather used towels' FROM q WHERE k % 3 = 0
+  UNION ALL SELECT *, 'Lock up' FROM q WHERE k % 5 = 0 UNION ALL SELECT *, 'Additional requests' FROM q WHERE k % 7 = 0
+  UNION ALL SELECT *, 'Additional requests' FROM q WHERE k % 11 = 0 UNION ALL SELECT *, 'Return keys' FROM q WHERE k % 4 = 0)"""
+_HOSTS = """li AS (SELECT o_custkey AS host_id, greatest(o_custkey % 35, o_custkey % 33, o_custkey % 31) + 1 AS ml, CASE WHEN l_partkey % 5 <> 0 THEN l_partkey % 101 END AS acc,
+  CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey % 101 END AS resp, l_partkey % 6 + 1.0::DOUBLE AS mn, greatest(l_partkey % 6 + 1, 3)::DOUBLE AS stay, l_partkey % 25 AS ltm,
+  ceil(l_quantity / 7) AS guests, format('{:.2f}', 20 * ceil(l_quantity / 7) + l_extendedprice / 1000 + CASE WHEN p_name LIKE '%widget%' THEN 30 ELSE 0 END)::DOUBLE AS price
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE l_partkey % 40 > 0),
+h AS (SELECT host_id, max(ml) AS ml, CASE WHEN count(acc) = count(*) THEN avg(acc) END AS acc, CASE WHEN count(resp) = count(*) THEN avg(resp) END AS resp, avg(mn) AS mn,
+  avg(least(stay * ltm / 0.5::DOUBLE / 365, 0.7::DOUBLE)) AS occ, avg(price / guests) AS ppa, avg(guests) AS guests, avg(ltm) AS ltm
+  FROM li WHERE ltm < 365 / stay AND price > 0 GROUP BY 1),
+c AS (SELECT *, CASE WHEN ppa >= 200 THEN 9 WHEN ml >= 30 THEN 8 ELSE ml % 7 + 1 END AS cluster, (ml < 30 AND ppa < 200) AS ruled FROM h),
+p AS (SELECT cluster::INTEGER AS cluster, count(*) AS "count", avg(ml) AS avg_max_listings, avg(acc) / 100 AS avg_acceptance_rate, avg(resp) / 100 AS avg_response_rate,
+  avg(mn) AS avg_min_nights, avg(occ) AS avg_occupancy_estimate, avg(ppa) AS avg_price_per_accommodates, avg(guests) AS avg_accommodates, avg(ltm) AS avg_reviews_ltm,
+  sum((ruled AND acc IS NULL)::INT)::BIGINT AS acceptance_imputed, sum((ruled AND resp IS NULL)::INT)::BIGINT AS response_imputed FROM c GROUP BY 1),
+v AS (SELECT *, "count" * avg_max_listings * (365 * avg_occupancy_estimate) * (avg_accommodates * avg_price_per_accommodates) AS value,
+  "count" * avg_max_listings AS estimated_listing_count FROM p)"""
+_PLACES = """places AS (SELECT DISTINCT doc_id % 97 AS id, (['CA', 'NY', 'HI', 'TX'])[(doc_id % 97) % 4 + 1] AS state,
+  CASE WHEN (doc_id % 97) % 5 = 0 THEN 'Private room' ELSE 'Entire home/apt' END AS room_type FROM labels),"""
+_RECENT = f"""{_GRAM}, rec AS (SELECT d.doc_id AS id, d.doc_id % 97 AS listing_id, DATE '2019-01-01' + (d.doc_id % 365)::INT AS date, language
+  FROM documents d JOIN lg USING (doc_id) WHERE d.doc_id % 365 > 57 AND (language = 'en' OR language IS NULL)),
+{_TOK}, {_BING}, {_AFINN}, {_SCORE}"""
+
+SQL = {
+    "price_box_by_guests": f"""WITH {_PRICED}, r AS (SELECT * FROM rows WHERE accommodates IN (2, 4, 6, 8)),
+q AS (SELECT city, accommodates, count(*) AS n, quantile_cont(price, [0.25, 0.5, 0.75]) AS q FROM r GROUP BY 1, 2)
+SELECT city, accommodates, any_value(n) AS n, round(any_value(q[1]), 4) AS q1, round(any_value(q[2]), 4) AS median, round(any_value(q[3]), 4) AS q3,
+  round(min(price) FILTER (price >= q[1] - 1.5 * (q[3] - q[1])), 4) AS whisker_lo, round(max(price) FILTER (price <= q[3] + 1.5 * (q[3] - q[1])), 4) AS whisker_hi,
+  count(*) FILTER (price < q[1] - 1.5 * (q[3] - q[1]) OR price > q[3] + 1.5 * (q[3] - q[1])) AS outliers FROM r JOIN q USING (city, accommodates) GROUP BY 1, 2""",
+    "price_by_rating": f"WITH {_PRICED} SELECT city, round(rating, 4) AS review_scores_rating, round(avg(ppa), 4) AS avg_price_per_accommodates FROM rows WHERE rating >= 4 AND ppa <= 150 GROUP BY city, rating",
+    "price_by_area": f"WITH {_PRICED} SELECT city, neighbourhood_cleansed, round(avg(ppa), 4) AS avg_price_per_accommodates, round(avg(walk_score), 4) AS avg_walk_score FROM rows WHERE neighbourhood_cleansed NOT IN ('area_3', 'area_7') GROUP BY 1, 2",
+    "occupancy_rates_by_area": f"""WITH {_OCC}, a AS (SELECT neighbourhood_cleansed, walk_score, count(*) AS n, sum(high)::BIGINT AS high_occupancy, avg(per_km) AS d FROM rows GROUP BY 1, 2 HAVING count(*) > 100)
+SELECT 'area_' || n_nationkey AS neighbourhood, walk_score, n, high_occupancy, round(d, 4) AS avg_listings_per_sq_km, round(high_occupancy / n::DOUBLE, 4) AS rate
+FROM nation LEFT JOIN a ON neighbourhood_cleansed = 'area_' || n_nationkey""",
+    "occupancy_rates_by_price": f"""WITH {_OCC}, b AS (SELECT i::INTEGER AS bin, (i * 25)::DOUBLE AS lo, (i * 25 + 25)::DOUBLE AS hi FROM range(8) t(i))
+SELECT bin, lo, hi, count(id) AS n, coalesce(sum(high), 0)::BIGINT AS high_occupancy, round(100.0::DOUBLE * sum(high) / nullif(count(id), 0), 4) AS rate
+FROM b LEFT JOIN rows ON ppa > lo AND ppa <= hi GROUP BY 1, 2, 3""",
+    "occupancy_rates_by_fee": f"""WITH {_OCC} SELECT (l_suppkey % 11) * 5.0::DOUBLE AS extra_people, count(*) AS n, sum(high)::BIGINT AS high_occupancy, round(100.0::DOUBLE * sum(high) / count(*), 4) AS rate FROM rows GROUP BY 1""",
+    "checkout_means": f"WITH {_QUOTES} SELECT has AS present, count(*) AS n, {_MEANS} FROM q GROUP BY 1",
+    "checkout_chore_table": f"WITH {_CHORE} SELECT chore, count(*) AS n, round(count(*) / (SELECT count(*) FROM q)::DOUBLE, 4) AS share, {_MEANS} FROM ch GROUP BY 1",
+    "checkout_fees": f"WITH {_QUOTES} SELECT has AS has_instructions, fee IS NOT NULL AS has_cleaning_fee, count(*) AS n FROM q GROUP BY 1, 2",
+    "checkout_dishes": f"WITH {_QUOTES} SELECT k % 7 = 0 AS dishes, count(*) AS n FROM q WHERE has GROUP BY 1",
+    "host_segments_profile": f"""WITH {_HOSTS} SELECT cluster, "count", round(avg_max_listings, 4) AS avg_max_listings, round(avg_acceptance_rate, 4) AS avg_acceptance_rate,
+  round(avg_response_rate, 4) AS avg_response_rate, round(avg_min_nights, 4) AS avg_min_nights, round(avg_occupancy_estimate, 4) AS avg_occupancy_estimate,
+  round(avg_price_per_accommodates, 4) AS avg_price_per_accommodates, round(avg_accommodates, 4) AS avg_accommodates, round(avg_reviews_ltm, 4) AS avg_reviews_ltm,
+  acceptance_imputed, response_imputed, round(value, 4) AS value, round(value / sum(value) OVER (), 4) AS value_percent, round(estimated_listing_count, 4) AS estimated_listing_count,
+  round(estimated_listing_count / sum(estimated_listing_count) OVER (), 4) AS estimated_listing_count_percent, round("count" / sum("count") OVER ()::DOUBLE, 4) AS host_percent,
+  'type ' || cluster AS cluster_name FROM v""",
+    "scored_reviews": f"WITH {_RECENT} SELECT id, listing_id, date::DATE::VARCHAR AS date, language, bing_sentiment, afinn_sentiment FROM rec JOIN sc ON sc.doc_id = rec.id",
+    "complaint_words": f"""WITH {_RECENT}, {_STOP}, {_PLACES}
+neg AS (SELECT rec.id FROM rec JOIN sc ON sc.doc_id = rec.id JOIN places p ON p.id = rec.listing_id WHERE afinn_sentiment < -3 AND state <> 'HI' AND room_type = 'Entire home/apt'),
+w AS (SELECT id, regexp_replace(word, 'beds', 'bed') AS word FROM neg JOIN tok ON tok.doc_id = neg.id WHERE NOT regexp_matches(word, '[0-9]'))
+SELECT word, count(*) AS n, count(DISTINCT id) AS docs FROM w WHERE word NOT IN (SELECT word FROM stop) AND word NOT IN ({", ".join(repr(x) for x in reviews.EMPTY_WORDS)}) GROUP BY 1""",
+}
