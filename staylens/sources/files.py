@@ -75,7 +75,7 @@ def read_snapshots(
 ) -> DataFrame:
     """Gz CSV snapshots whose names hold all the given tokens, with ``filedate``, ``filecity`` and ``source_file``.
 
-    A gz file cannot be split, so the rows are spread over the cluster right after the read.
+    A gz file cannot be split, so the rows are rebalanced over the cluster right after the read.
     """
     wanted = [t for t in (kind, city, period, *tokens) if t]
     paths = [p for p in list_files(spark, f"{root.rstrip('/')}/*.gz") if all(t in p.rsplit("/", 1)[-1] for t in wanted)]
@@ -86,7 +86,7 @@ def read_snapshots(
             "filecity": file_city("source_file", city_pattern) if city_pattern else file_city("source_file"),
         }
     )
-    return df.repartition()
+    return df.hint("rebalance")
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
