@@ -12,6 +12,7 @@ from staylens.functions.geo import WGS84_A, WGS84_F, area_sq_km
 from staylens.operators import evaluate, regress, segments, sentiment, terms, topics, trees
 from staylens.operators.groups import trend
 from staylens.operators.reshape import dtm_from_terms
+from staylens.plans.common import supported_items
 from staylens.runtime import materialize
 
 NUMERIC = ["l_quantity", "l_discount", "l_tax"]
@@ -80,10 +81,9 @@ def logit_odds(spark: SparkSession, d: str) -> DataFrame:
     """Odds of good quality by frequent words of a document."""
     words = _documents(spark, d).select("doc_id", F.array_distinct(tx.words("text")).alias("items"))
     labelled = words.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
-    frequent = labelled.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    support = frequent.orderBy(F.desc("n"), "item").limit(20)
-    support = materialize(support)
-    names = [r[0] for r in support.select("item").orderBy("item").collect()]
+    counts = materialize(labelled.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")))
+    names = supported_items(counts, int(0.4 * labelled.count()))
+    support = counts.where(F.col("item").isin(names))
     rows = labelled.select("doc_id", "quality", *[F.array_contains("items", w).cast("int").alias(f"w_{w}") for w in names])
     fit = regress.logit_cv(rows, "doc_id", [f"w_{w}" for w in names], "quality")
     odds = regress.odds_table(fit.table(spark), support.withColumn("item", F.concat(F.lit("w_"), "item")))

@@ -14,7 +14,7 @@ from pyspark.storagelevel import StorageLevel
 
 from staylens.operators.ranks import running_totals
 from staylens.operators.regress import covariances
-from staylens.runtime import materialize
+from staylens.runtime import materialize, side_by_side
 
 
 def _draw(n: int, means: np.ndarray, cov: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +111,9 @@ def scaled_vectors(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame
 
 def kmeans_best(vectors: DataFrame, k: int = 7, nstart: int = 5, max_iter: int = 10) -> tuple[KMeansModel, float]:
     """k-means with the lowest cost of ``nstart`` starts, and that cost. Keep ``vectors`` cached."""
-    fits = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="features").fit(vectors) for s in range(1, nstart + 1)]
+    fits = side_by_side(
+        lambda s: KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="features").fit(vectors), range(1, nstart + 1)
+    )
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best, float(best.summary.trainingCost)
 

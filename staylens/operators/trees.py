@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from staylens.operators.ranks import sample_n
-from staylens.runtime import broadcast_if_small, materialize
+from staylens.runtime import broadcast_if_small, materialize, side_by_side
 
 
 @dataclass
@@ -58,13 +58,15 @@ def gbt_multiclass(
     vec = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[*features, label]))
     data = vec.select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = []
-        for k in classes:
+
+        def one_class(k: int) -> GBTClassificationModel:
             one = data.select("features", (F.col(label) == k).cast("double").alias("label"))
             gbt = GBTClassifier(
                 maxIter=max_iter, maxDepth=max_depth, stepSize=step, minInstancesPerNode=min_rows, seed=seed
             )
-            models.append(gbt.fit(one))
+            return gbt.fit(one)
+
+        models = side_by_side(one_class, classes)
     finally:
         data.unpersist()
     return TreeFit(features, [int(c) for c in classes], models)
@@ -96,9 +98,9 @@ def shapley_sampling(
     rows = df.select(F.col(id_col), x.alias("x"))
     pool = materialize(sample_n(rows, background, id_col, seed))
     size = pool.count()
-    numbered = pool.select(
-        (F.row_number().over(_by_hash(id_col, seed)) - 1).alias("bg"), F.col("x").alias("b")
-    )
+    # a window over the background rows only, a fixed small number
+    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(id_col, F.lit(seed)), F.col(id_col))
+    numbered = pool.select((F.row_number().over(order) - 1).alias("bg"), F.col("x").alias("b"))
 
     perm = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     perm = perm.withColumn("bg", F.pmod(F.xxhash64(id_col, "perm", F.lit(seed)), F.lit(size)).cast("int"))
@@ -129,13 +131,6 @@ def shapley_sampling(
     return values.join(levels, [id_col, "class"])
 
 
-def _by_hash(id_col: str, seed: int):
-    from pyspark.sql import Window
-
-    # over the background rows only, a fixed small number
-    return Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(id_col, F.lit(seed)), F.col(id_col))
-
-
 def shapley_summary(values: DataFrame) -> DataFrame:
     """Mean absolute Shapley value per class and feature."""
     return values.groupBy("class", "feature").agg(F.avg(F.abs("shapley")).alias("mean_abs")).orderBy("class", F.desc("mean_abs"))

@@ -60,13 +60,11 @@ def area_density(listings: DataFrame, areas: DataFrame, walkscore: DataFrame | N
 
 
 def with_items(df: DataFrame, dialect: str, unwanted: Sequence[str] = ()) -> DataFrame:
-    """Add ``items``, the distinct amenities as an array, and ``amenities_count``; rows without amenities go."""
+    """Add ``items``, the distinct amenities as an array, and ``amenities_count``; both null without amenities."""
     items = F.array_distinct(set_items("amenities", dialect))
     if unwanted:
         items = F.filter(items, lambda x: ~x.isin(list(unwanted)))
-    return df.where(F.col("amenities").isNotNull()).withColumns(
-        {"amenities_count": delimiter_count("amenities"), "items": items}
-    )
+    return df.withColumns({"amenities_count": delimiter_count("amenities"), "items": items})
 
 
 def item_support(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

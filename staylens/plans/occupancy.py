@@ -51,10 +51,15 @@ def prepare(listings: DataFrame, areas: DataFrame, walkscore: DataFrame, min_sup
         }
     ).where(clean.not_in("property_type", HOTELS))
     df = df.withColumn("property_type", clean.recode("property_type", {"Apartment": "Apartment", "House": "House"}, "Other"))
-    density = area_density(df, areas, walkscore).select("city", "filedate", "neighbourhood_cleansed", "listings_per_sq_km", "walk_score")
     df = with_items(df, "braces")
+    own = [c for c in SCALED if c not in ("listings_per_sq_km", "walk_score")]
+    extra = ["city", "calendar_updated", "minimum_nights", "accommodates", "number_of_reviews"]
+    keep = ["id", "filedate", "neighbourhood_cleansed", "days_booked_n30", "days_booked_n30_cat", "amenities_count", "items", *own, *CATEGORIES]
+    # the raw text is parsed once; what follows reads a few typed columns
+    df = materialize(df.select(*keep, *extra))
+    density = area_density(df, areas, walkscore).select("city", "filedate", "neighbourhood_cleansed", "listings_per_sq_km", "walk_score")
     vocabulary = supported_items(materialize(item_support(df)), min_support)
-    df = df.join(density, ["city", "filedate", "neighbourhood_cleansed"]).where(
+    df = df.where(F.col("items").isNotNull()).join(materialize(density), ["city", "filedate", "neighbourhood_cleansed"]).where(
         F.col("calendar_updated").isin(FRESH)
         & (F.col("minimum_nights") <= 3)
         & (F.col("accommodates") <= 4)
@@ -62,8 +67,7 @@ def prepare(listings: DataFrame, areas: DataFrame, walkscore: DataFrame, min_sup
         & (F.col("days_booked_n30") < 30)
         & (F.col("number_of_reviews") > 3)
     )
-    keep = ["id", "filedate", "neighbourhood_cleansed", "days_booked_n30", "days_booked_n30_cat", "amenities_count", "items", *SCALED, *CATEGORIES]
-    df, levels = one_hot(df.select(*keep), CATEGORIES)
+    df, levels = one_hot(df.drop(*extra), CATEGORIES)
     df, amenity_cols = add_indicators(df, vocabulary)
     df = clean.inf_to_null(df.drop("items")).dropna()
     df = df.withColumn("high_occupancy", clean.flag(F.col("days_booked_n30_cat") == 2))

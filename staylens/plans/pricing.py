@@ -40,13 +40,16 @@ class Prepared:
 
 def prepare_city_data(listings: DataFrame, areas: DataFrame, walkscore: DataFrame, min_support: int = 100) -> Prepared:
     """Clean, join and widen the listings of all cities at once; ``city`` is an ordinary column."""
-    df = clean_listings(listings).where(F.col("number_of_reviews") > 3)
-    density = area_density(df, areas, walkscore).drop("price_per_accommodates_avg", "listing_count", "sq_km")
-    df = with_items(df, "brackets", UNWANTED)
+    df = with_items(clean_listings(listings).where(F.col("number_of_reviews") > 3), "brackets", UNWANTED)
+    own = [c for c in NUMERIC if c not in ("listings_per_sq_km", "walk_score")]
+    keep = ["id", "filedate", "city", "neighbourhood_cleansed", "price", "price_per_accommodates", "items", *own, *CATEGORIES]
+    # the raw text is parsed once; counts, levels and the model rows are then read from a few typed columns
+    df = materialize(df.select(*keep))
+    density = area_density(df, areas, walkscore).select("city", "filedate", "neighbourhood_cleansed", "listings_per_sq_km", "walk_score")
     counts = materialize(item_support(df, ["city"]))
-    df = df.join(density, ["city", "filedate", "neighbourhood_cleansed"])
-    keep = ["id", "filedate", "city", "neighbourhood_cleansed", "price", "price_per_accommodates", "items", *NUMERIC, *CATEGORIES]
-    df, levels = one_hot(df.select(*keep), CATEGORIES)
+    # stored, so that the join knows how small it is and leaves the listings where they are
+    df = df.where(F.col("items").isNotNull()).join(materialize(density), ["city", "filedate", "neighbourhood_cleansed"])
+    df, levels = one_hot(df, CATEGORIES)
     vocabulary = supported_items(counts, min_support)
     df, amenity_cols = add_indicators(df, vocabulary)
     named = counts.sparkSession.createDataFrame(list(zip(vocabulary, amenity_cols)), "item string, name string")

@@ -72,7 +72,7 @@ def feature_rows(listings: DataFrame, areas: DataFrame) -> DataFrame:
     density = counts.join(sizes, ["city", "neighbourhood_cleansed"]).select(
         "city", "neighbourhood_cleansed", clean.ratio("listing_count", "sq_km").alias("listings_per_sq_km")
     )
-    df = df.join(density, ["city", "neighbourhood_cleansed"])
+    df = df.join(materialize(density), ["city", "neighbourhood_cleansed"])
     df = df.withColumns(
         {
             "property_type": clean.recode("property_type", PROPERTY_TYPES, "Other"),

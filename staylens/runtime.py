@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +77,10 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def side_by_side(fn: Callable, items: Iterable, threads: int = 5) -> list:
+    """Run independent fits over the same cached data at once, so that one fills the gaps of the other."""
+    tasks = [inheritable_thread_target(lambda item=item: fn(item)) for item in items]
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(lambda task: task(), tasks))
