@@ -79,8 +79,9 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 def logit_odds(spark: SparkSession, d: str) -> DataFrame:
     """Odds of good quality by frequent words of a document."""
-    words = _documents(spark, d).select("doc_id", F.array_distinct(tx.words("text")).alias("items"))
-    labelled = words.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    docs = _documents(spark, d).select("doc_id", "text").join(labels, "doc_id")
+    labelled = materialize(docs.select("doc_id", "quality", F.array_distinct(tx.words("text")).alias("items")))
     counts = materialize(labelled.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")))
     names = supported_items(counts, int(0.4 * labelled.count()))
     support = counts.where(F.col("item").isin(names))

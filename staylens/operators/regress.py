@@ -13,6 +13,7 @@ from math import comb, erf, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,11 @@ def _sum_arrays(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(total.alias("s")).select(*keys, vector_to_array("s.sum").alias("values"))
 
 
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """Array column of equal lengths as a matrix, without a Python object per row."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def gram(df: DataFrame, cols: Sequence[str], by: Sequence[str], shift: Sequence[float]) -> DataFrame:
     """Rows (by..., i, values): row i of the matrix of sums of products of (cols - shift, 1) per group."""
     p, by = len(cols), list(by)
@@ -59,25 +65,31 @@ def gram(df: DataFrame, cols: Sequence[str], by: Sequence[str], shift: Sequence[
     source = df.select(*by, moved.alias("x"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*by).schema), "i int, values array<double>"])
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             rows = [(*k, i, m[i]) for k, m in sums.items() for i in range(p + 1)]
             sums.clear()
-            return pd.DataFrame(rows, columns=[*by, "i", "values"])
+            kinds = [*types, pa.int32(), pa.list_(pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [*by, "i", "values"])
 
         for b in batches:
-            for key, part in b.groupby(by, sort=False, dropna=False) if by else [((), b)]:
-                x = np.vstack(part["x"].to_numpy())
-                key = key if isinstance(key, tuple) else (key,)
-                sums[key] = sums.get(key, 0.0) + x.T @ x
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column("x"))
+            types[:] = [b.schema.field(c).type for c in by]
+            for key, at in b.select(by).to_pandas().groupby(by, sort=False, dropna=False).indices.items() if by else [((), slice(None))]:
+                part, key = x[at], key if isinstance(key, tuple) else (key,)
+                key = tuple(k.item() if isinstance(k, np.generic) else k for k in key)
+                sums[key] = sums.get(key, 0.0) + part.T @ part
             if len(sums) * p * p > 20_000_000:  # many groups: hand on what there is
                 yield flush()
         if sums:
             yield flush()
 
-    return _sum_arrays(source.mapInPandas(fold, schema), [*by, "i"])
+    return _sum_arrays(source.mapInArrow(fold, schema), [*by, "i"])
 
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> list[float]:
@@ -325,12 +337,12 @@ def _logit_sums(data: DataFrame, weights: np.ndarray, held: Sequence[int | None]
     """One pass: Hessian, gradient and loss of every listed model on the rows outside its held-out fold."""
     p = weights.shape[1]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {m: np.zeros((p + 1, p + 1)) for m in ids}
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            x, y, f = np.vstack(b["x"].to_numpy()), b["y"].to_numpy(), b["fold"].to_numpy()
+            x, y, f = _matrix(b.column("x")), b.column("y").to_numpy(), b.column("fold").to_numpy()
             z = x @ weights[list(ids)].T
             prob = 1 / (1 + np.exp(-z))
             loss = np.logaddexp(0, z) - y[:, None] * z
@@ -340,9 +352,11 @@ def _logit_sums(data: DataFrame, weights: np.ndarray, held: Sequence[int | None]
                 s[:p, :p] += x.T @ (x * (use * prob[:, k] * (1 - prob[:, k]))[:, None])
                 s[:p, p] += x.T @ (use * (prob[:, k] - y))
                 s[p, p] += use @ loss[:, k]
-        yield pd.DataFrame([(m, i, s[i]) for m, s in sums.items() for i in range(p + 1)], columns=["m", "i", "values"])
+        rows = [(m, i, s[i]) for m, s in sums.items() for i in range(p + 1)]
+        kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["m", "i", "values"])
 
-    parts = data.mapInPandas(fold, "m int, i int, values array<double>")
+    parts = data.mapInArrow(fold, "m int, i int, values array<double>")
     out: dict[int, np.ndarray] = {m: np.zeros((p + 1, p + 1)) for m in ids}
     for r in _sum_arrays(parts, ["m", "i"]).collect():  # as many numbers as the models have, not the rows
         out[r.m][r.i] = r["values"]
@@ -407,19 +421,21 @@ def logit_cv(
         models = [(f, c) for c in cs for f in range(folds)]
         w = _newton(data, p, np.array([1 / c for _, c in models]), [f for f, _ in models], max_iter)
 
-        def held_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hits, total = np.zeros(len(models)), np.zeros(len(models))
             for b in batches:
-                if not len(b):
+                if not b.num_rows:
                     continue
-                m_x, y, f = np.vstack(b["x"].to_numpy()), b["y"].to_numpy(), b["fold"].to_numpy()
+                m_x, y, f = _matrix(b.column("x")), b.column("y").to_numpy(), b.column("fold").to_numpy()
                 right = ((m_x @ w.T) > 0) == (y[:, None] > 0.5)
                 for k, (held, _) in enumerate(models):
                     hits[k] += right[f == held, k].sum()
                     total[k] += (f == held).sum()
-            yield pd.DataFrame({"m": np.arange(len(models)), "hits": hits, "total": total})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(models)), pa.int32()), pa.array(hits), pa.array(total)], ["m", "hits", "total"]
+            )
 
-        counted = data.mapInPandas(held_out, "m int, hits double, total double").groupBy("m").agg(F.sum("hits"), F.sum("total"))
+        counted = data.mapInArrow(held_out, "m int, hits double, total double").groupBy("m").agg(F.sum("hits"), F.sum("total"))
         scored = {r[0]: r[1] / r[2] for r in counted.collect() if r[2]}
         cv = {c: float(np.mean([scored[k] for k, (_, ck) in enumerate(models) if ck == c and k in scored])) for c in cs}
         best = max(cs, key=lambda c: (cv[c], -c))
