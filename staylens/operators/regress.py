@@ -377,7 +377,7 @@ def _newton(data: DataFrame, p: int, lam: np.ndarray, held: Sequence[int | None]
         for m in open_models:
             s = sums[m]
             value = s[p, p] + 0.5 * lam[m] * (ridge * tried[m]) @ tried[m]
-            if value > last[m] * (1 + 1e-12) + 1e-12:
+            if value > last[m] * (1 + 1e-9):
                 tried[m] = (tried[m] + w[m]) / 2  # overshot: go half way back
                 if np.abs(tried[m] - w[m]).max() > 1e-7:
                     still.append(m)
