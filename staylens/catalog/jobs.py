@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from staylens.catalog import stand_ins as si
 from staylens.catalog.base import rounded
 from staylens.catalog.models import box_sql
-from staylens.catalog.texts import _AFINN, _BING, _GRAM, _SCORE, _STOP, _TOK, _afinn, _bing, _lexicon, _stop_words
+from staylens.catalog.texts import _AFINN, _BING, _GRAM, _SCORE, _STOP, _TOK, _afinn, _bing, _lexicon, _sections_sql, _stop_words
+from staylens.functions.text import ACCESS, LICENSE, NOTES, SPACE
 from staylens.operators import language, terms
 from staylens.operators.groups import cluster_profile
 from staylens.operators.segments import override_segments
@@ -213,6 +214,11 @@ p AS (SELECT cluster::INTEGER AS cluster, count(*) AS "count", avg(ml) AS avg_ma
   sum((ruled AND acc IS NULL)::INT)::BIGINT AS acceptance_imputed, sum((ruled AND resp IS NULL)::INT)::BIGINT AS response_imputed FROM c GROUP BY 1),
 v AS (SELECT *, "count" * avg_max_listings * (365 * avg_occupancy_estimate) * (avg_accommodates * avg_price_per_accommodates) AS value,
   "count" * avg_max_listings AS estimated_listing_count FROM p)"""
+_DESCRIBED = """SELECT doc_id, a || CASE WHEN doc_id % 3 <> 0 THEN ' The space ' ELSE ' ' END || b || CASE WHEN doc_id % 2 = 0 THEN ' Guest access ' ELSE ' ' END || c ||
+  CASE WHEN doc_id % 5 <> 0 THEN ' Other things to note ' ELSE ' ' END || d AS D FROM (SELECT doc_id, coalesce(array_to_string(p[1:t], '. '), '') AS a,
+  coalesce(array_to_string(p[t + 1:2 * t], '. '), '') AS b, coalesce(array_to_string(p[2 * t + 1:3 * t], '. '), '') AS c, coalesce(array_to_string(p[3 * t + 1:len(p)], '. '), '') AS d
+  FROM (SELECT doc_id, string_split(text, '. ') AS p, len(string_split(text, '. ')) // 4 AS t FROM documents))"""
+_SECTIONS = _sections_sql((SPACE, ACCESS, NOTES, LICENSE), _DESCRIBED)
 _PLACES = """places AS (SELECT DISTINCT doc_id % 97 AS id, (['CA', 'NY', 'HI', 'TX'])[(doc_id % 97) % 4 + 1] AS state,
   CASE WHEN (doc_id % 97) % 5 = 0 THEN 'Private room' ELSE 'Entire home/apt' END AS room_type FROM labels),"""
 _RECENT = f"""{_GRAM}, rec AS (SELECT d.doc_id AS id, d.doc_id % 97 AS listing_id, DATE '2019-01-01' + (d.doc_id % 365)::INT AS date, language
@@ -238,6 +244,13 @@ FROM b LEFT JOIN rows ON ppa > lo AND ppa <= hi GROUP BY 1, 2, 3""",
     "checkout_chore_table": f"WITH {_CHORE} SELECT chore, count(*) AS n, round(count(*) / (SELECT count(*) FROM q)::DOUBLE, 4) AS share, {_MEANS} FROM ch GROUP BY 1",
     "checkout_fees": f"WITH {_QUOTES} SELECT has AS has_instructions, fee IS NOT NULL AS has_cleaning_fee, count(*) AS n FROM q GROUP BY 1, 2",
     "checkout_dishes": f"WITH {_QUOTES} SELECT k % 7 = 0 AS dishes, count(*) AS n FROM q WHERE has GROUP BY 1",
+    "description_completion": f"""{_SECTIONS}, long AS (SELECT unnest(['Description', 'Space', 'Guest_access', 'Other_things_to_note']) AS section,
+  unnest([length(Description), length(Space), length(Guest_access), length(Other_things_to_note)]) AS len FROM sec)
+SELECT section, round(count(len) / count(*)::DOUBLE, 4) AS "percent", round(avg(len), 4) AS avg_length FROM long GROUP BY 1""",
+    "description_length_histogram": f"""{_SECTIONS}, x AS (SELECT length(Description) AS v FROM sec WHERE length(Description) <= 500),
+r AS (SELECT min(v)::DOUBLE AS lo, (max(v) - min(v))::DOUBLE / 29 AS w FROM x),
+b AS (SELECT greatest(ceil((v - (lo - w / 2)) / w) - 1, 0)::INTEGER AS bin, lo, w FROM x, r)
+SELECT bin, round(any_value(lo - w / 2 + bin * w), 4) AS lo, round(any_value(lo - w / 2 + (bin + 1) * w), 4) AS hi, count(*) AS n FROM b GROUP BY 1""",
     "host_segments_profile": f"""WITH {_HOSTS} SELECT cluster, "count", round(avg_max_listings, 4) AS avg_max_listings, round(avg_acceptance_rate, 4) AS avg_acceptance_rate,
   round(avg_response_rate, 4) AS avg_response_rate, round(avg_min_nights, 4) AS avg_min_nights, round(avg_occupancy_estimate, 4) AS avg_occupancy_estimate,
   round(avg_price_per_accommodates, 4) AS avg_price_per_accommodates, round(avg_accommodates, 4) AS avg_accommodates, round(avg_reviews_ltm, 4) AS avg_reviews_ltm,

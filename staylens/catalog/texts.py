@@ -200,14 +200,14 @@ QUERIES = {
 # --- SQL ------------------------------------------------------------------------------------
 
 
-def _sections_sql() -> str:
-    space, access, notes, lic = MARKERS
+def _sections_sql(markers=MARKERS, source: str = "SELECT doc_id, text AS D FROM documents") -> str:
+    space, access, notes, lic = markers
     steps = [
         ("D", space, "S"), ("S", access, "g1"), ("g1", notes, "o1"), ("o1", lic, "l1"), ("D", access, "g2"),
         ("g2", notes, "o2"), ("o2", lic, "l2"), ("S", notes, "o3"), ("o3", lic, "l3"), ("D", notes, "o4"),
         ("o4", lic, "l4"), ("D", lic, "l5"), ("S", lic, "l6"), ("g1", lic, "l7"), ("g2", lic, "l8"),
     ]
-    ctes = ["s0 AS (SELECT doc_id, text AS D FROM documents)"]
+    ctes = [f"s0 AS ({source})"]
     for i, (left, marker, right) in enumerate(steps):
         ctes.append(
             f"s{i + 1} AS (SELECT * REPLACE (string_split({left}, '{marker}')[1] AS {left}), string_split({left}, '{marker}')[2] AS {right} FROM s{i})"
