@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from staylens.llm import packing
+from fractions import Fraction
+
+from staylens.llm import ngram_join, packing
 from staylens.llm.stored import table
 
 
+def op1_ngram_jaccard_join(spark, folder):
+    """Components of documents whose 3-word shingles overlap by at least 90 in 100."""
+    _, members = ngram_join.ngram_join(table(spark, folder, "documents").select("doc_id", "text"), 3, Fraction(9, 10))
+    return members.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op10_best_fit_packing(spark, folder):
     """All documents packed into sequences of 4,096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op10_best_fit_packing,)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op10_best_fit_packing,)}
 SQL = {}
