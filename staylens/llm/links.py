@@ -3,13 +3,15 @@
 Items that share a key may be linked; a verifier tells. A first round holds each item of a key only against the smallest
 item of that key. What turns out to be one component needs no further look, however large the group is. Only items of
 one key that are in different components by then, and of which neither is the smallest of the key, are still open: they
-are taken pair by pair, which skew handling may split. So no link between two components is missed.
+are taken pair by pair, which skew handling may split. So no link between two items that share a key is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,35 +19,82 @@ from staylens.llm.components import components
 from staylens.llm.stored import Scratch
 
 Verify = Callable[[DataFrame], DataFrame]
+# Keys that are dealt with apart because a large part of all rows has them; bounds what is broadcast.
+HOT_KEYS = 4096
+# Share of the rows that tells them, and how many of it a key must have.
+HOT_SHARE, HOT_ROWS = 64, 32
 
 
-def shared_keys(marks: DataFrame, on: list[str]) -> DataFrame:
-    """Keys that at least two items have: smallest and largest item, and whether there may be more."""
-    return (
-        marks.groupBy(*on)
-        .agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .where("lo < hi")
+def _stars(on: list[str]):
+    """Over rows sorted by key and item: each item with the smallest one of its key, batch after batch."""
+
+    def over(batches):
+        last_key, hub, last_item = None, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(on))]
+            item = batch.column(len(on)).to_numpy(zero_copy_only=False)
+            fresh = np.zeros(n, bool)
+            for k in keys:
+                fresh[1:] |= k[1:] != k[:-1]
+            first = tuple(k[0] for k in keys)
+            fresh[0] = last_key is None or first != last_key
+            start = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
+            lo = np.where(start >= 0, item[np.maximum(start, 0)], hub)
+            again = np.zeros(n, bool)
+            again[1:] = (item[1:] == item[:-1]) & ~fresh[1:]
+            again[0] = not fresh[0] and item[0] == last_item
+            keep = (item != lo) & ~again
+            last_key, hub, last_item = tuple(k[-1] for k in keys), lo[-1], item[-1]
+            if keep.any():
+                mask = pa.array(keep)
+                columns = [batch.column(i).filter(mask) for i in range(len(on))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lo[keep]), pa.array(item[keep])], names=[*on, "lo", "item"])
+
+    return over
+
+
+def star_members(marks: DataFrame, on: list[str], sample: DataFrame, scratch: Scratch) -> DataFrame:
+    """(``on``, lo, item): every item of a key but the smallest, with the smallest; keys of one item are left out.
+
+    ``marks`` has columns ``on`` and ``item``. ``sample`` holds about one of HOT_SHARE of its rows and only tells which
+    keys are hot: those meet a broadcast of their smallest items, all others are dealt out by key and sorted.
+    """
+    hot = scratch.put(
+        sample.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS).select(*on)
     )
+    kinds = ", ".join(f"`{c}` {marks.schema[c].dataType.simpleString()}" for c in [*on, "item"])
+    kinds = kinds.replace("`item`", "lo long, item")
+    cold, parts = marks.select(*on, "item"), []
+    if not hot.isEmpty():
+        cold = cold.join(F.broadcast(hot), on, "left_anti")
+        ours = marks.select(*on, "item").join(F.broadcast(hot), on)
+        least = ours.groupBy(*on).agg(F.min("item").alias("lo"))
+        parts = [ours.join(F.broadcast(least), on).where("item > lo").select(*on, "lo", "item").distinct()]
+    dealt = cold.repartition(*on).sortWithinPartitions(*on, "item")
+    out = dealt.mapInArrow(_stars(on), kinds)
+    for p in parts:
+        out = out.unionByName(p)
+    return scratch.put(out)
 
 
-def linked_components(marks: DataFrame, on: list[str], verify: Verify, scratch: Scratch, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(verified links, (node, component) of all linked items).
+def linked_components(members: DataFrame, on: list[str], verify: Verify, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(verified links, (node, component) of all linked items) from ``star_members``.
 
-    ``marks`` has columns ``on`` and ``item`` and is read up to twice; ``verify`` keeps the true links of a table
-    (a, b) with a < b. ``keys`` may hold ``shared_keys(marks, on)`` as stored before.
+    ``verify`` keeps the true links of a table (a, b) with a < b.
     """
-    keys = keys if keys is not None else scratch.put(shared_keys(marks, on))
-    many = keys.where("n > 2").select(*on, "lo")
-    members = scratch.put(marks.join(many, on).where("item > lo").select(*on, "lo", "item").distinct())
-    star = members.select(F.col("lo").alias("a"), F.col("item").alias("b"))
-    pairs = keys.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    links = scratch.put(verify(star.unionByName(pairs).distinct()))
+    star = members.select(F.col("lo").alias("a"), F.col("item").alias("b")).distinct()
+    links = scratch.put(verify(star))
     found = scratch.put(components(links, scratch))
 
+    every = members.select(*on, "item").unionByName(members.groupBy(*on).agg(F.min("lo").alias("item")))
     own = found.select(F.col("node").alias("item"), "component")
-    known = members.join(own, "item", "left").withColumn("component", F.coalesce("component", "item"))
-    mixed = known.groupBy(*on).agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    opened = scratch.put(known.join(mixed.select(*on), on).select(*on, "item", "component"))
+    known = every.join(own, "item", "left").withColumn("component", F.coalesce("component", "item"))
+    mixed = known.groupBy(*on).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("item").alias("lo"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.where("least < most and n > 2")
+    opened = scratch.put(known.join(mixed.select(*on, "lo"), on).where("item > lo").select(*on, "item", "component"))
     if not opened.isEmpty():
         left = opened.select(*on, F.col("item").alias("a"), F.col("component").alias("ca"))
         right = opened.select(*on, F.col("item").alias("b"), F.col("component").alias("cb"))

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.links import linked_components, shared_keys
+from staylens.llm.links import HOT_SHARE, linked_components, star_members
 from staylens.llm.scan import list_array, map_batches, mix, runs, scan, segment_sums, shingles, signed, text_bytes
 from staylens.llm.stored import Scratch
 
@@ -217,28 +217,27 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: Fraction | float = Fracti
 
     marks = marks_of("own", 0).unionByName(marks_of("below", 1))
     on = ["band", "segment", "key"]
-    keys = scratch.put(shared_keys(marks, on))
+    some = F.pmod(F.xxhash64("item"), F.lit(HOT_SHARE)) == 0
+    members = star_members(marks, on, marks.where(some), scratch)
     sizes = filled.groupBy("band").agg(F.sum("n_shingles").alias("total"))
-    loads = (
-        keys.groupBy("band", "segment").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).join(F.broadcast(sizes), "band")
-    )
+    each = members.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    loads = each.groupBy("band", "segment").agg(F.sum(F.col("n") * (F.col("n") + 1) / 2).alias("pairs")).join(F.broadcast(sizes), "band")
     spare = {int(b): int(u) for b, u in enumerate(units)}
     # A row per segment with collisions: bounded by the longest document, not by their number.
     rows = [(r.band, r.segment, int(r.pairs), int(2 * r.total / spare[r.band])) for r in loads.collect()]
     out, two = allocate(rows, spare)
     if out:
-        chosen = docs.sparkSession.createDataFrame([(*p, 1) for p in out] + [(*p, 2) for p in two], "band int, segment int, kind int")
+        gone = docs.sparkSession.createDataFrame(sorted(out | two), "band int, segment int")
         reps = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-        extra = deletions(reps.dropDuplicates(["doc_id"]), n, threshold, largest, two)
-        marks = marks.join(F.broadcast(chosen.drop("kind")), ["band", "segment"], "left_anti").unionByName(extra, allowMissingColumns=False)
-        keys = scratch.put(shared_keys(marks.distinct(), on))
-        marks = marks.distinct()
-    links, found = linked_components(marks, on, verifier(docs, n, threshold), scratch, keys)
-    members = (
+        extra = scratch.put(deletions(reps, n, threshold, largest, two))
+        extra = star_members(extra, on, extra.where(some), scratch)
+        members = members.join(F.broadcast(gone), ["band", "segment"], "left_anti").unionByName(extra)
+    links, found = linked_components(members, on, verifier(docs, n, threshold), scratch)
+    classed = (
         sets.select("doc_id", *same)
         .join(classes, same, "left")
         .groupBy("doc_id")
         .agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("class_id", "doc_id")).alias("class_id"))
     )
-    members = members.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    return links, members.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    classed = classed.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    return links, classed.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))

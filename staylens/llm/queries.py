@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from staylens.llm import ngram_join, packing
+from staylens.llm import line_dedup, ngram_join, packing
 from staylens.llm.stored import table
 
 
@@ -14,10 +14,16 @@ def op1_ngram_jaccard_join(spark, folder):
     return members.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op5_line_dedup(spark, folder):
+    """All documents without the lines that repeat, exactly or nearly, an earlier line."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs)
+
+
 def op10_best_fit_packing(spark, folder):
     """All documents packed into sequences of 4,096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op10_best_fit_packing,)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_line_dedup, op10_best_fit_packing,)}
 SQL = {}
