@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from staylens.llm import line_dedup, ngram_join, packing
+from staylens.llm import chat, line_dedup, ngram_join, packing, quality, sharding
+from pyspark.sql import functions as F
+
 from staylens.llm.stored import table
 
 
@@ -14,16 +16,81 @@ def op1_ngram_jaccard_join(spark, folder):
     return members.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op3_sharding(spark, folder):
+    """All documents in random order in 16 shards whose row counts differ by at most one."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    return sharding.shuffle_into_shards(docs).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op5_line_dedup(spark, folder):
     """All documents without the lines that repeat, exactly or nearly, an earlier line."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(docs)
 
 
+def op6_quality_classifier(spark, folder):
+    """Quality score of all documents; labels of one fold are never looked at."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.fit(docs, labels.where(quality.fold_of("doc_id", 5) != 0).select("doc_id", "quality"))
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(quality.fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+CHECK_ID, CHECK_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op8_chat_formatting(spark, folder):
+    """All conversations, and one whose texts look like marks, rendered from their event logs and read back."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(CHECK_ID, 0, "user", CHECK_TEXT), (CHECK_ID, 1, chat.ASSISTANT, CHECK_TEXT)]
+    rows = rows.unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    done = chat.format_conversations(chat.event_log(rows))
+    turns = chat.read_back(F.col("formatted"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.withColumns({"turns": turns, "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))}).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_best_fit_packing(spark, folder):
     """All documents packed into sequences of 4,096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_line_dedup, op10_best_fit_packing,)}
-SQL = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_sharding, op5_line_dedup, op6_quality_classifier, op8_chat_formatting, op10_best_fit_packing,)}
+SQL = {
+    "op8_chat_formatting": r"""
+        WITH r AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0, text AS t0 FROM conversations
+          UNION ALL SELECT -7, 0, 'user', t, 'user', t FROM (SELECT '\### Assistant: </turn> ok' AS t)
+          UNION ALL SELECT -7, 1, 'assistant', t, 'assistant', t FROM (SELECT '\### Assistant: </turn> ok' AS t)
+        ), e AS (
+          SELECT *, length(replace(replace(role, '\', '\\'), '|', '\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 13 AS n FROM r
+        ), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, r0, t0) AS k FROM e)
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+          CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+          sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
+          CAST(sum(n) AS BIGINT) AS formatted_chars
+        FROM o GROUP BY conv_id
+    """,
+}
