@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from staylens.llm import chat, line_dedup, ngram_join, packing, quality, sharding
+from staylens.llm import chat, decontaminate, line_dedup, ngram_join, packing, quality, sharding
 from pyspark.sql import functions as F
 
 from staylens.llm.stored import table
@@ -31,6 +31,11 @@ def op3_sharding(spark, folder):
     )
 
 
+def op4_benchmark_decontamination(spark, folder):
+    """Benchmark items that stand in documents, exactly or with few edits, and where."""
+    return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_line_dedup(spark, folder):
     """All documents without the lines that repeat, exactly or nearly, an earlier line."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -76,7 +81,7 @@ def op10_best_fit_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_sharding, op5_line_dedup, op6_quality_classifier, op8_chat_formatting, op10_best_fit_packing,)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_sharding, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op8_chat_formatting, op10_best_fit_packing,)}
 SQL = {
     "op8_chat_formatting": r"""
         WITH r AS (
