@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from staylens.llm import chat, decontaminate, line_dedup, ngram_join, packing, quality, sharding
+from staylens.llm import chat, decontaminate, line_dedup, neighbours, ngram_join, packing, quality, sharding
 from pyspark.sql import functions as F
 
 from staylens.llm.stored import table
@@ -76,12 +76,18 @@ def op8_chat_formatting(spark, folder):
     )
 
 
+def op9_nearest_neighbours(spark, folder):
+    """The 5 nearest other vectors of every fiftieth vector."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op10_best_fit_packing(spark, folder):
     """All documents packed into sequences of 4,096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_sharding, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op8_chat_formatting, op10_best_fit_packing,)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_sharding, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op8_chat_formatting, op9_nearest_neighbours, op10_best_fit_packing,)}
 SQL = {
     "op8_chat_formatting": r"""
         WITH r AS (
