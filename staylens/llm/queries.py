@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from staylens.llm import chat, decontaminate, line_dedup, neighbours, ngram_join, packing, quality, sharding
+from staylens.llm import chat, decontaminate, line_dedup, lm_score, neighbours, ngram_join, packing, quality, sharding
 from pyspark.sql import functions as F
 
 from staylens.llm.stored import table
@@ -16,6 +16,14 @@ def op1_ngram_jaccard_join(spark, folder):
     return members.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op2_lm_scoring(spark, folder):
+    """Language-model and word-unigram scores of all documents, learned without one fold of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(quality.fold_of("doc_id", 7) == 2, F.lit(False))
+    scored = lm_score.lm_score(docs, docs.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_sharding(spark, folder):
     """All documents in random order in 16 shards whose row counts differ by at most one."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -87,7 +95,7 @@ def op10_best_fit_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_sharding, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op8_chat_formatting, op9_nearest_neighbours, op10_best_fit_packing,)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_sharding, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op8_chat_formatting, op9_nearest_neighbours, op10_best_fit_packing,)}
 SQL = {
     "op8_chat_formatting": r"""
         WITH r AS (

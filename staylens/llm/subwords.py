@@ -72,6 +72,13 @@ class WordEncoder:
         self.hashes, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint32)
 
+    def ends_word(self) -> np.ndarray:
+        """For each id, and one mark after the last, whether it ends a word."""
+        out = np.ones(self.size + 1, np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            out[i] = token.endswith(_SUFFIX)
+        return out
+
     def pretokens(self, text: str) -> list[str]:
         """Normalised pieces that the merges never cross."""
         return self.pieces.findall(self._normal(text))
