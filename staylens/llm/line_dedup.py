@@ -2,9 +2,10 @@
 
 Lines are what stands between line feeds, trimmed and with A-Z in lower case. A line is the set of its distinct runs of
 ``k`` characters. One hash per run, dealt to bins with a minimum each, gives a signature (empty bins borrow from filled
-ones by a fixed order); bands of the signature are the keys that candidates share. Candidates are verified by their
-exact Jaccard similarity, verified links become components by distributed union-find, and of each component the first
-line, by doc_id and place, is kept.
+ones by a fixed order); bands of the signature are the keys that candidates share: ten of five bins find 98 in 100 pairs
+at a similarity of 0.8, and 997 in 1,000 at 0.85. Candidates whose sizes or parity sketches rule a link out are left
+out, the others are verified by their exact Jaccard similarity. Links become components by distributed union-find, and
+of each component the first line, by doc_id and place, is kept.
 
 Keys that a large part of all lines has are found on a fixed share of the documents beforehand. Their lines meet the
 smallest line of the key by a broadcast of those few keys; all other keys are dealt out and sorted. Which way a key
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.links import HOT_SHARE, linked_components, star_members
-from staylens.llm.scan import CHUNK_BYTES, list_array, map_batches, mix, runs, segment_sums, signed, stream, text_bytes
+from staylens.llm.scan import CHUNK_BYTES, jaccard_possible, list_array, map_batches, mix, parity_sketches, runs, segment_sums, signed, stream, text_bytes
 from staylens.llm.stored import Scratch
 
 K = 5
 THRESHOLD = Fraction(4, 5)
-BANDS, ROWS = 14, 5
+BANDS, ROWS = 10, 5
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -75,14 +76,26 @@ def char_runs(lines: Lines, k: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.maximum(lines.end - lines.start - k + 1, 1)
     bounds = np.concatenate(([0], np.cumsum(count)))
     at = np.arange(bounds[-1]) + np.repeat(lines.start - bounds[:-1], count)
-    stop = np.repeat(lines.end, count)
     points = np.concatenate((lines.points, np.zeros(k, np.uint32)))
-    value = np.zeros(len(at), _U)
-    for j in range(k):
-        value += np.where(at + j < stop, points[at + j] + np.uint32(1), 0).astype(_U) * weight[j]
+    points = np.concatenate((lines.points, np.zeros(k, np.uint32)))
+    value = points[at].astype(_U) * weight[0]
+    for j in range(1, k):
+        value += points[at + j] * weight[j]
+    # A line shorter than k must not see what comes after it.
+    for i in np.flatnonzero(lines.end - lines.start < k).tolist():
+        own = lines.points[lines.start[i] : lines.end[i]]
+        value[bounds[i]] = (own * weight[: len(own)]).sum(dtype=_U) + _U(len(own))
     return mix(value), bounds
 
 
+def distinct_runs(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct run hashes line by line, by their upper 44 bits, and the bounds of each line (at most 2^20 lines)."""
+    owner = np.repeat(np.arange(len(bounds) - 1, dtype=_U), np.diff(bounds))
+    both = np.sort((owner << _U(44)) | (values >> _U(20)))
+    both = both[np.concatenate((np.ones(min(1, len(both)), bool), both[1:] != both[:-1]))]
+    return both & _U((1 << 44) - 1), np.searchsorted(both >> _U(44), np.arange(len(bounds), dtype=_U))
+
+
 def signatures(values: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
     """One-permutation MinHash: lines x bins, empty bins filled from others by a fixed order for each bin."""
     lines = len(bounds) - 1
@@ -117,7 +130,7 @@ def line_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             values, bounds = char_runs(lines, k)
             # Order matters for equality: runs enter with their place in the line.
             position = np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds))
-            item = mix(segment_sums(mix(values + position.astype(_U) * _U(0x9E3779B97F4A7C15)), bounds))
+            item = mix(segment_sums(values * (position.astype(_U) * _U(0x9E3779B97F4A7C16) + _U(1)), bounds))
             sign = signatures(values, bounds, bands * rows).reshape(len(item), bands, rows)
             keys = mix((sign * weight).sum(axis=2, dtype=_U) + np.arange(1, bands + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
             edges = np.searchsorted(lines.doc, np.arange(b - a + 1))
@@ -134,34 +147,49 @@ def line_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), over, "doc_id long, place array<int>, item array<long>, keys array<long>")
 
 
-def _packed_texts(docs: DataFrame, names: list[str], to: str) -> DataFrame:
-    """``names`` and the text as a compressed blob, which is what travels in shuffles."""
+def _packed_texts(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` and the text as a compressed ``blob``, which is what travels in shuffles."""
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1).compress
+        press = zstandard.ZstdCompressor(level=3).compress
         blobs = [None if t is None else press(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blobs, pa.binary())], names=[*names, to])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blobs, pa.binary())], names=[*names, "blob"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return map_batches(docs.select(*[F.col(f"`{c}`") for c in names], "text"), over, f"{kinds}, `{to}` binary")
+    return map_batches(docs.select(*[F.col(f"`{c}`") for c in names], "text"), over, f"{kinds}, blob binary")
 
 
-def similar_lines(docs: DataFrame, first: DataFrame, k: int, threshold: Fraction, scratch: Scratch):
-    """Verifier for pairs of items; ``first`` has for each item the doc_id and place where it stands first."""
-    up, down = threshold.numerator, threshold.denominator
-    texts = _packed_texts(docs, ["doc_id"], "blob")
+def fetch_lines(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """item, line and sketch (number of distinct runs, then parity words) for ``wanted`` (doc_id, place, item)."""
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Lines at the wanted places, of a document that has them."""
         open_up = zstandard.ZstdDecompressor().decompress
         items, lines = [], []
-        for blob, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for blob, pairs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             own = open_up(blob).decode().split("\n")
-            for w in wanted:
-                if w["place"] < len(own):
+            for w in pairs:
+                # Of rows that share a doc_id, another one may have the line.
+                if w["place"] < len(own) and own[w["place"]].strip(" \t\v\f\r"):
                     items.append(w["item"])
                     lines.append(own[w["place"]])
-        yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(lines, pa.string())], names=["item", "line"])
+        column = pa.array(lines, pa.string())
+        data, offsets = text_bytes(column)
+        for a, b in runs(offsets, CHUNK_BYTES // 2):
+            values, bounds = char_runs(Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), k)
+            flat, own = distinct_runs(values, bounds)
+            sketch = np.concatenate((np.diff(own)[:, None], signed(parity_sketches(flat, own))), axis=1)
+            sketch = list_array(pa.array(sketch.reshape(-1)), np.arange(b - a + 1) * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(items[a:b], pa.int64()), column.slice(a, b - a), sketch], names=["item", "line", "sketch"])
+
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("item", "place")).alias("wanted"))
+    joined = _packed_texts(docs, ["doc_id"]).join(by_doc, "doc_id").select("doc_id", "blob", "wanted")
+    return map_batches(joined, cut, "item long, line string, sketch array<long>")
+
+
+def similar_lines(lines: DataFrame, k: int, threshold: Fraction):
+    """Verifier for pairs of items; ``lines`` has their texts."""
+    up, down = threshold.numerator, threshold.denominator
+    lines = lines.select("item", "line")
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -171,23 +199,18 @@ def similar_lines(docs: DataFrame, first: DataFrame, k: int, threshold: Fraction
             new = list({t for t in texts if t not in seen})
             data, offsets = text_bytes(pa.array(new, pa.string()))
             for a, b in runs(offsets, CHUNK_BYTES // 2):
-                lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                values, bounds = char_runs(lines, k)
-                for i, d in enumerate(lines.doc.tolist()):
-                    seen[new[a + d]] = np.unique(values[bounds[i] : bounds[i + 1]])
+                values, bounds = char_runs(Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), k)
+                for i in range(b - a):
+                    seen[new[a + i]] = np.unique(values[bounds[i] : bounds[i + 1]])
             return [seen[t] for t in texts]
 
         keep = []
         for x, y in zip(runs_of(batch.column(2)), runs_of(batch.column(3))):
-            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * down >= up * max(len(x), len(y)) else 0
-            keep.append(bool(both) and both * down >= up * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both * down >= up * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.put(pairs)
-        items = pairs.select(F.col("a").alias("item")).unionByName(pairs.select(F.col("b").alias("item"))).distinct()
-        wanted = first.join(items, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item", "place")).alias("wanted"))
-        lines = scratch.put(map_batches(texts.join(wanted, "doc_id").select("doc_id", "blob", "wanted"), cut, "item long, line string").dropDuplicates(["item"]))
         both = pairs.join(lines.withColumnsRenamed({"item": "a", "line": "line_a"}), "a")
         both = both.join(lines.withColumnsRenamed({"item": "b", "line": "line_b"}), "b")
         return map_batches(both.select("a", "b", "line_a", "line_b"), over, "a long, b long")
@@ -201,19 +224,21 @@ def dropped_lines(docs: DataFrame, k: int = K, threshold: Fraction | float = THR
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     scratch = Scratch(docs.sparkSession, "line-dedup")
     stored = scratch.put(line_table(docs, k, bands, rows))
-    each = stored.select("doc_id", F.explode(F.arrays_zip("place", "item")).alias("l")).select("doc_id", "l.place", "l.item")
-    by_doc = each.groupBy("item", "doc_id").agg(F.min("place").alias("place"))
-    first = scratch.put(by_doc.groupBy("item").agg(F.min_by("place", "doc_id").alias("place"), F.min("doc_id").alias("doc_id")))
 
     def marks_of(some: DataFrame) -> DataFrame:
         line = F.floor(F.col("at") / bands).cast("int")
-        return some.select(F.posexplode("keys").alias("at", "key"), "item").select(
-            F.pmod("at", F.lit(bands)).cast("int").alias("band"), "key", F.get("item", line).alias("item")
-        )
+        return some.select(F.posexplode("keys").alias("at", "key"), "item").select("key", F.get("item", line).alias("item"))
 
     sample = stored.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SHARE)) == 0)
-    members = star_members(marks_of(stored), ["band", "key"], marks_of(sample), scratch)
-    _, found = linked_components(members, ["band", "key"], similar_lines(docs, first, k, threshold, scratch), scratch)
+    members = star_members(marks_of(stored), ["key"], marks_of(sample), scratch)
+    each = stored.select("doc_id", F.explode(F.arrays_zip("place", "item")).alias("l")).select("doc_id", "l.place", "l.item")
+    each = scratch.put(each)
+    scratch.drop(stored)
+    by_doc = each.groupBy("item", "doc_id").agg(F.min("place").alias("place"))
+    first = scratch.put(by_doc.groupBy("item").agg(F.min_by("place", "doc_id").alias("place"), F.min("doc_id").alias("doc_id")))
+    paired = members.select("item").unionByName(members.select(F.col("lo").alias("item"))).distinct()
+    lines = scratch.put(fetch_lines(docs, first.join(paired, "item"), k).dropDuplicates(["item"]))
+    _, found = linked_components(members, ["key"], similar_lines(lines, k, threshold), scratch, lines.select("item", "sketch"), jaccard_possible(threshold))
     # The line of a component that stands first is kept; all others of its items, and repeats of items, go.
     of_item = first.join(found.withColumnRenamed("node", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
     lead = of_item.groupBy("component").agg(F.min_by("item", F.struct("doc_id", "place")).alias("kept"))
@@ -227,15 +252,24 @@ def dropped_lines(docs: DataFrame, k: int = K, threshold: Fraction | float = THR
 def line_dedup(docs: DataFrame, k: int = K, threshold: Fraction | float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with the text that is left, and n_lines, n_dropped and emptied."""
     lost = dropped_lines(docs, k, threshold, bands, rows).withColumnsRenamed({"doc_id": "__doc", "dropped": "__dropped"})
-    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("__doc"), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__dropped"), i))
-    some = F.col("__dropped").isNotNull()
-    return joined.withColumns(
-        {
-            "n_lines": F.coalesce(F.size(lines), F.lit(0)),
-            "n_dropped": F.when(some, F.size("__dropped")).otherwise(0),
-            "emptied": some & (F.size(F.filter(left, lambda x: F.trim(x) != "")) == 0),
-            "text": F.when(some, F.array_join(left, "\n")).otherwise(F.col("text")),
-        }
-    ).drop("__doc", "__dropped")
+    others = [c for c in docs.columns if c != "text"]
+    joined = _packed_texts(docs, others).join(lost, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+
+    def rewrite(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        open_up = zstandard.ZstdDecompressor().decompress
+        texts, counts, gone, emptied = [], [], [], []
+        for blob, dropped in zip(batch.column(len(others)).to_pylist(), batch.column(len(others) + 1).to_pylist()):
+            text = None if blob is None else open_up(blob).decode()
+            own = [] if text is None else text.split("\n")
+            drop = {p for p in dropped or () if p < len(own)}
+            left = [line for i, line in enumerate(own) if i not in drop]
+            texts.append("\n".join(left) if drop else text)
+            counts.append(len(own))
+            gone.append(len(drop))
+            emptied.append(bool(drop) and not any(line.strip(" \t\v\f\r") for line in left))
+        made = [pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(gone, pa.int32()), pa.array(emptied, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *made], names=[*others, "text", "n_lines", "n_dropped", "emptied"])
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    out = map_batches(joined, rewrite, f"{kinds}, text string, n_lines int, n_dropped int, emptied boolean")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_dropped", "emptied")

@@ -11,7 +11,8 @@ subsets collide far more often than others of its band gets nothing, and the che
 for it: there the subset and all subsets short of one shingle are indexed, which finds any pair that differs in at most
 one shingle of that segment. The units of a band always exceed the difference allowed by one.
 
-Candidates are verified exactly on their texts, links become components. Equal sets are one class throughout.
+Candidates whose sizes or parity sketches rule a link out are left out, the others are verified exactly on
+their texts, links become components. Equal sets are one class throughout.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are their own component; fewer words
 than ``n`` make one shingle of the whole sequence. Repeated rows count once for each doc_id; rows without doc_id are
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.links import HOT_SHARE, linked_components, star_members
-from staylens.llm.scan import list_array, map_batches, mix, runs, scan, segment_sums, shingles, signed, text_bytes
+from staylens.llm.scan import jaccard_possible, list_array, map_batches, mix, parity_sketches, runs, scan, segment_sums, shingles, signed, text_bytes
 from staylens.llm.stored import Scratch
 
 _U = np.uint64
@@ -82,12 +83,14 @@ def documents_as_sets(docs: DataFrame, n: int, threshold: Fraction, largest: int
                 keys, at = _subset_keys(flat, bounds, b_of, np.maximum(units, 1))
                 keep = np.repeat(units > 0, np.diff(at))
                 columns.append(list_array(pa.array(signed(keys[keep])), np.concatenate(([0], np.cumsum(units)))))
+            sketch = np.concatenate((size.astype(np.int64)[:, None], signed(parity_sketches(flat, bounds))), axis=1)
+            sketch = list_array(pa.array(sketch.reshape(-1)), np.arange(b - a + 1) * 5)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(size), pa.array(signed(high)), pa.array(signed(low)), pa.array(band.astype(np.int32)), *columns],
-                names=["doc_id", "n_shingles", "high", "low", "band", "own", "below"],
+                [batch.column(0).slice(a, b - a), pa.array(size), pa.array(signed(high)), pa.array(signed(low)), pa.array(band.astype(np.int32)), *columns, sketch],
+                names=["doc_id", "n_shingles", "high", "low", "band", "own", "below", "sketch"],
             )
 
-    schema = "doc_id long, n_shingles long, high long, low long, band int, own array<long>, below array<long>"
+    schema = "doc_id long, n_shingles long, high long, low long, band int, own array<long>, below array<long>, sketch array<long>"
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null"), over, schema)
 
 
@@ -232,7 +235,8 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: Fraction | float = Fracti
         extra = scratch.put(deletions(reps, n, threshold, largest, two))
         extra = star_members(extra, on, extra.where(some), scratch)
         members = members.join(F.broadcast(gone), ["band", "segment"], "left_anti").unionByName(extra)
-    links, found = linked_components(members, on, verifier(docs, n, threshold), scratch)
+    sketches = ours.select(F.col("doc_id").alias("item"), "sketch").dropDuplicates(["item"])
+    links, found = linked_components(members, on, verifier(docs, n, threshold), scratch, sketches, jaccard_possible(threshold))
     classed = (
         sets.select("doc_id", *same)
         .join(classes, same, "left")

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Bytes of text that are looked at together; bounds the memory of a task (a longer document stands alone).
 CHUNK_BYTES = 2 << 20
@@ -155,6 +157,18 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def parity_sketches(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """256 bits for each set of hashes, as four 64-bit numbers: each element flips one bit.
+
+    Bits in which two sketches differ are never more than elements in which the sets differ.
+    """
+    sets = len(bounds) - 1
+    owner = np.repeat(np.arange(sets), np.diff(bounds))
+    place = owner * 256 + (mix(flat ^ _U(0x2545F4914F6CDD1D)) >> _U(56)).astype(np.int64)
+    odd = (np.bincount(place, minlength=sets * 256) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(sets, 256), axis=1).view(_U)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, dtype=_U).view(np.int64)
 
@@ -164,6 +178,18 @@ def list_array(values: pa.Array, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32), pa.int32()), values)
 
 
+def jaccard_possible(threshold: Fraction) -> Callable[[Column, Column], Column]:
+    """Test of two sketches (size, then parity words): false only if the sets cannot reach the threshold."""
+    up, down = threshold.numerator, threshold.denominator
+
+    def test(a: Column, b: Column) -> Column:
+        differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])).cast("long") for i in range(1, 5)), F.lit(0).cast("long"))
+        sizes = a[0] + b[0]
+        return (differ * (down + up) <= sizes * (down - up)) & (F.least(a[0], b[0]) * down >= F.greatest(a[0], b[0]) * up)
+
+    return test
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch; input rows are only ever seen batch by batch."""
 
