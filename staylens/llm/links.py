@@ -1,9 +1,9 @@
 """From shared keys to components of truly linked items, without all pairs of a group.
 
 Items that share a key may be linked; a verifier tells. A first round holds each item of a key only against the smallest
-item of that key. What turns out to be one component needs no further look, however large the group is. Only items of
-one key that are in different components by then, and of which neither is the smallest of the key, are still open: they
-are taken pair by pair, which skew handling may split. So no link between two items that share a key is missed.
+item of that key, the next ones against the next smallest. What turns out to be one component needs no further look,
+however large the group is. Only items of one key that are in different components after these rounds are still open:
+they are taken pair by pair, which skew handling may split. So no link between two items that share a key is missed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.components import components
@@ -80,27 +80,47 @@ def star_members(marks: DataFrame, on: list[str], sample: DataFrame, scratch: Sc
     return scratch.put(out)
 
 
-def linked_components(members: DataFrame, on: list[str], verify: Verify, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def linked_components(
+    members: DataFrame, on: list[str], verify: Verify, scratch: Scratch, sketches: DataFrame, may_link: Callable[[Column, Column], Column], rounds: int = 3
+) -> tuple[DataFrame, DataFrame]:
     """(verified links, (node, component) of all linked items) from ``star_members``.
 
-    ``verify`` keeps the true links of a table (a, b) with a < b.
+    ``verify`` keeps the true links of a table (a, b) with a < b. ``sketches`` has for each item a small ``sketch``, and
+    ``may_link`` is false for two sketches only if their items cannot be linked; it is tested within the joins.
     """
+    of_a, of_b = (sketches.select(F.col("item").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
     star = members.select(F.col("lo").alias("a"), F.col("item").alias("b")).distinct()
+    star = star.join(of_a, "a").join(of_b, "b").where(may_link(F.col("sa"), F.col("sb"))).select("a", "b")
     links = scratch.put(verify(star))
     found = scratch.put(components(links, scratch))
 
-    every = members.select(*on, "item").unionByName(members.groupBy(*on).agg(F.min("lo").alias("item")))
-    own = found.select(F.col("node").alias("item"), "component")
-    known = every.join(own, "item", "left").withColumn("component", F.coalesce("component", "item"))
-    mixed = known.groupBy(*on).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("item").alias("lo"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("least < most and n > 2")
-    opened = scratch.put(known.join(mixed.select(*on, "lo"), on).where("item > lo").select(*on, "item", "component"))
-    if not opened.isEmpty():
-        left = opened.select(*on, F.col("item").alias("a"), F.col("component").alias("ca"))
-        right = opened.select(*on, F.col("item").alias("b"), F.col("component").alias("cb"))
-        rest = left.join(right, on).where("a < b and ca != cb").select("a", "b").distinct()
-        more = scratch.put(verify(rest))
+    # ``lo`` is the last item of a key that was held against all others.
+    todo = members.select(*on, "lo", "item")
+    hubs = members.groupBy(*on).agg(F.min("lo").alias("lo")).withColumn("item", F.col("lo"))
+    todo = todo.unionByName(hubs)
+    for turn in range(rounds + 1):
+        own = found.select(F.col("node").alias("item"), "component")
+        known = todo.join(own, "item", "left").withColumn("component", F.coalesce("component", "item"))
+        mixed = known.groupBy(*on).agg(
+            F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.when(F.col("item") > F.col("lo"), F.col("item"))).alias("next")
+        )
+        mixed = mixed.where("least < most and next is not null").select(*on, "next")
+        opened = scratch.put(known.join(mixed, on).join(sketches, "item").select(*on, "lo", "next", "item", "component", "sketch"))
+        if opened.isEmpty():
+            break
+        last = turn == rounds
+        left, right = (
+            opened.where("item > lo").select(*[F.col(c).alias(f"{c}_{x}") for c in on], F.col("item").alias(x), F.col("component").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"))
+            for x in "ab"
+        )
+        if not last:
+            left = opened.where("item = next").select(*[F.col(c).alias(f"{c}_a") for c in on], F.col("item").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
+        same = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in on]
+        rest = left.join(right, [*same, F.col("a") < F.col("b"), F.col("ca") != F.col("cb"), may_link(F.col("sa"), F.col("sb"))])
+        more = scratch.put(verify(rest.select("a", "b").distinct()))
         if not more.isEmpty():
             links = links.unionByName(more)
-            found = scratch.put(components(links, scratch))
+            tree = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = scratch.put(components(tree.unionByName(more), scratch))
+        todo = opened.select(*on, F.col("next").alias("lo"), "item")
     return links, found
