@@ -31,6 +31,8 @@ K = 5
 # Nodes in a shard; bounds the memory of a task. Queries in a block.
 SHARD_NODES, QUERY_BLOCK = 4_000, 512
 DEGREE, BEAM, ALPHA = 24, 48, 1.2
+# Beam of a search; wider than the one that builds.
+SEARCH_BEAM = 80
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -166,7 +168,7 @@ def graphs(nodes: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard", "dim").applyInArrow(build, "shard int, dim int, start int, vectors binary, edges binary, ids array<array<long>>")
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", beam: int = BEAM) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest rows of ``df`` by cosine for each row of ``queries``."""
     scratch = Scratch(df.sparkSession, "neighbours")
     nodes = scratch.put(nodes_of(_usable(df, vec_id, vector), k))

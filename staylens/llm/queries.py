@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from staylens.llm import chat, decontaminate, line_dedup, lm_score, neighbours, ngram_join, packing, quality, sharding
+from staylens.llm import chat, decontaminate, line_dedup, lm_score, neighbours, ngram_join, packing, quality, sharding, token_counts
 from pyspark.sql import functions as F
 
 from staylens.llm.stored import table
@@ -63,6 +63,12 @@ def op6_quality_classifier(spark, folder):
     )
 
 
+def op7_token_counts(spark, folder):
+    """Token counts of all documents before and after three edits of each, which follow from the documents by rule."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.counts_after_edits(docs, token_counts.edits_by_rule(docs))
+
+
 CHECK_ID, CHECK_TEXT = -7, "\\### Assistant: </turn> ok"
 
 
@@ -95,7 +101,7 @@ def op10_best_fit_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_sharding, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op8_chat_formatting, op9_nearest_neighbours, op10_best_fit_packing,)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_sharding, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op7_token_counts, op8_chat_formatting, op9_nearest_neighbours, op10_best_fit_packing,)}
 SQL = {
     "op8_chat_formatting": r"""
         WITH r AS (
