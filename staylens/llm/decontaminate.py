@@ -220,6 +220,15 @@ def _searcher(block: list[tuple[int, str]], rate: float) -> _Searcher:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without the documents that hold an item."""
-    hits = find_items(docs, benchmark, rate, min_chars).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    """The rows of ``docs``, as they are, in which no item stands."""
+    at = docs.columns.index("text")
+    for block in _blocks(benchmark, min_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def over(batch: pa.RecordBatch, sent=sent) -> Iterator[pa.RecordBatch]:
+            searcher = _searcher(sent.value, rate)
+            clean = [not searcher.search(normalise(t.as_py() or "")) for t in batch.column(at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = map_batches(docs, over, docs.schema)
+    return docs

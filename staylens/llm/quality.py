@@ -125,22 +125,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return Model(good, bad, weights, mean, scale)
 
 
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    if not model.good:
+        return model.curve(np.zeros((len(texts), 0)))
+    sizes = _Sizes(model.good, model.bad)
+    # One text after the other: only one is in memory beside its batch.
+    return model.curve(np.concatenate([sizes([(t.as_py() or "").encode()]) for t in texts]))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if model.good:
-            sizes = _Sizes(model.good, model.bad)
-            x = np.concatenate([sizes([(t.as_py() or "").encode()]) for t in batch.column(1)])
-        else:
-            x = np.zeros((batch.num_rows, 0))
-        s = model.curve(x)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch.column(1)))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs.select("doc_id", "text"), over, f"doc_id {kind}, score double")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, as they are, whose score reaches the threshold."""
+    at = docs.columns.index("text")
+
+    def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(_scores(model, batch.column(at)) >= threshold))
+
+    return map_batches(docs, over, docs.schema)
+
+
 def fold_of(doc_id, folds: int):
     """crc32 of the id as text, modulo the number of folds."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds))

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Bytes of text that are looked at together; bounds the memory of a task (a longer document stands alone).
 CHUNK_BYTES = 2 << 20
@@ -190,7 +191,7 @@ def jaccard_possible(threshold: Fraction) -> Callable[[Column, Column], Column]:
     return test
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch; input rows are only ever seen batch by batch."""
 
     def over(batches):
