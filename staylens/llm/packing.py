@@ -2,9 +2,10 @@
 
 Documents become token pieces of at most ``capacity`` tokens. The pieces are dealt to partitions of bounded size and
 each partition is packed by best-fit decreasing. Dual feasible functions give a lower bound on the bins that any packing
-of that partition needs. A partition that meets its bound is certified and keeps its bins, but for the one that is
-filled least; partitions with a gap give back all bins with room to spare. What was given back is exchanged, dealt
-to fewer partitions and packed again, until one partition is left or a round saves nothing.
+of that partition needs. A partition that meets its bound, with less room left than a bin, is certified and keeps its
+bins but for the one that is filled least; other partitions give back all bins with room to spare, since the pieces of
+others may fit there. What was given back is exchanged, dealt anew and packed again, until one partition is left or a
+round saves nothing.
 
 Cases: null or empty texts are one piece (the end id alone); documents without an id and repeated rows are packed like
 any others; an empty table gives an empty result; further columns of the input are not looked at.
@@ -117,7 +118,7 @@ def _packer(capacity: int, turn: int, room: float):
         lengths = rows["length"].to_numpy().astype(np.int64)
         bins, offset, fill = best_fit(lengths, capacity)
         bound = lower_bound(lengths, capacity)
-        if len(fill) == bound:
+        if len(fill) == bound and len(fill) * capacity - lengths.sum() < capacity:
             back = np.zeros(len(fill), bool)
             back[int(fill.argmin())] = fill.min() < capacity
         else:
@@ -138,12 +139,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES, ro
     """
     scratch = Scratch(pieces.sparkSession, "packing")
     todo, left = scratch.put(pieces), []
-    rows, kinds, last, parts_before = todo.count(), pieces.schema, None, 0
+    rows, kinds, last = todo.count(), pieces.schema, None
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
     for turn in range(rounds):
         parts = max(1, -(-rows // per_task))
-        if turn and parts >= parts_before:
-            parts = max(1, parts_before // 2)
         # Any dealing will do; the place of a row in a stored table does not change when a task is run again.
         dealt = todo.withColumn("__part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(parts)))
         packed = scratch.put(
@@ -153,10 +152,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES, ro
         now = packed.agg(F.sum(F.when(back, 1)).alias("rows"), F.sum(F.when(back & F.col("__first"), 1)).alias("bins")).first()
         if last is not None:
             total = packed.where("__first").count()
-            if total >= last["bins"] and parts == parts_before:
+            if total >= (last["bins"] or 0):
                 break
-        left.append(packed)
-        rows, last, parts_before = now["rows"] or 0, now, parts
+        left.append(packed)  # a round without a saving is not kept: the one before has a place for its rows
+        rows, last = now["rows"] or 0, now
         if not rows or parts == 1:
             break
         todo = packed.where(back).select(*pieces.columns)

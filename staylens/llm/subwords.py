@@ -60,7 +60,7 @@ class WordEncoder:
             ended = token.endswith(_SUFFIX) and token != _SUFFIX
             raw = bytes(alphabet[c] for c in (token.removesuffix(_SUFFIX) if ended else token))
             ranks[raw + _MARK if ended else raw] = i
-        self.size = max(spec["model"]["vocab"].values()) + 1
+        self.size = 1 + max(*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]))
         self.core = tiktoken.Encoding("words", pat_str=r"\S+|\n", mergeable_ranks=ranks, special_tokens={})
         self.newline = ranks[b"\n"]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
