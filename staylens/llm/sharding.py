@@ -25,7 +25,7 @@ from staylens.runtime import materialize
 
 SHARDS = 16
 # Rows of a block, the unit of the second permutation.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 10_000
 _LOCAL = (1 << 33) - 1
 _NUMPY_LIMIT = 1_000_000_000
 
