@@ -51,8 +51,7 @@ def _occupancy(spark: SparkSession, d: str) -> occupancy.OccupancyData:
 
 def occupancy_rates_by_area(spark: SparkSession, d: str) -> DataFrame:
     rates = occupancy.occupancy_rates(_occupancy(spark, d).rows)["by_area"]
-    names = si.areas(spark, d).where(F.col("city") == "F")
-    return rounded(occupancy.area_map(names, rates).drop("geometry", "neighbourhood_cleansed"), 4)
+    return rounded(occupancy.area_map(si.areas(spark, d), rates).drop("geometry"), 4)
 
 
 def occupancy_rates_by_price(spark: SparkSession, d: str) -> DataFrame:
@@ -233,9 +232,9 @@ SELECT city, accommodates, any_value(n) AS n, round(any_value(q[1]), 4) AS q1, r
   count(*) FILTER (price < q[1] - 1.5 * (q[3] - q[1]) OR price > q[3] + 1.5 * (q[3] - q[1])) AS outliers FROM r JOIN q USING (city, accommodates) GROUP BY 1, 2""",
     "price_by_rating": f"WITH {_PRICED} SELECT city, round(rating, 4) AS review_scores_rating, round(avg(ppa), 4) AS avg_price_per_accommodates FROM rows WHERE rating >= 4 AND ppa <= 150 GROUP BY city, rating",
     "price_by_area": f"WITH {_PRICED} SELECT city, neighbourhood_cleansed, round(avg(ppa), 4) AS avg_price_per_accommodates, round(avg(walk_score), 4) AS avg_walk_score FROM rows WHERE neighbourhood_cleansed NOT IN ('area_3', 'area_7') GROUP BY 1, 2",
-    "occupancy_rates_by_area": f"""WITH {_OCC}, a AS (SELECT neighbourhood_cleansed, walk_score, count(*) AS n, sum(high)::BIGINT AS high_occupancy, avg(per_km) AS d FROM rows GROUP BY 1, 2 HAVING count(*) > 100)
-SELECT 'area_' || n_nationkey AS neighbourhood, walk_score, n, high_occupancy, round(d, 4) AS avg_listings_per_sq_km, round(high_occupancy / n::DOUBLE, 4) AS rate
-FROM nation LEFT JOIN a ON neighbourhood_cleansed = 'area_' || n_nationkey""",
+    "occupancy_rates_by_area": f"""WITH {_OCC}, a AS (SELECT city, neighbourhood_cleansed, walk_score, count(*) AS n, sum(high)::BIGINT AS high_occupancy, avg(per_km) AS d FROM rows GROUP BY 1, 2, 3 HAVING count(*) > 100)
+SELECT c.city, 'area_' || n_nationkey AS neighbourhood, walk_score, n, high_occupancy, round(d, 4) AS avg_listings_per_sq_km, round(high_occupancy / n::DOUBLE, 4) AS rate
+FROM nation CROSS JOIN (VALUES ('F'), ('O'), ('P')) c(city) LEFT JOIN a ON neighbourhood_cleansed = 'area_' || n_nationkey AND a.city = c.city""",
     "occupancy_rates_by_price": f"""WITH {_OCC}, b AS (SELECT i::INTEGER AS bin, (i * 25)::DOUBLE AS lo, (i * 25 + 25)::DOUBLE AS hi FROM range(8) t(i))
 SELECT bin, lo, hi, count(id) AS n, coalesce(sum(high), 0)::BIGINT AS high_occupancy, round(100.0::DOUBLE * sum(high) / nullif(count(id), 0), 4) AS rate
 FROM b LEFT JOIN rows ON ppa > lo AND ppa <= hi GROUP BY 1, 2, 3""",

@@ -190,7 +190,7 @@ def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
 def _bags(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     stop = [r[0] for r in _stop_words(_tokens(spark, d)).collect()]
     docs = _documents(spark, d).select("doc_id", F.filter(tx.words("text"), lambda w: ~w.isin(stop)).alias("terms"))
-    dtm, model = dtm_from_terms(materialize(docs), "doc_id", "terms", min_df=5.0)
+    dtm, model = dtm_from_terms(materialize(docs), "doc_id", "terms")
     return materialize(dtm), model.vocabulary
 
 

@@ -238,7 +238,7 @@ gr AS (SELECT doc_id, lang, c[i] || c[i + 1] || c[i + 2] AS gram FROM
 cn AS (SELECT lang, gram, count(*) AS n FROM gr GROUP BY 1, 2),
 tt AS (SELECT lang, sum(n) AS total FROM cn GROUP BY 1),
 pr AS (SELECT lang AS pl, gram, ln(n * 1e6 / total) AS weight FROM
-  (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS k FROM cn) JOIN tt USING (lang) WHERE k <= 300),
+  (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS k FROM cn) JOIN tt USING (lang)),
 sm AS (SELECT doc_id, pl, round(sum(weight), 6) AS score FROM gr JOIN pr USING (gram) GROUP BY 1, 2),
 lg AS (SELECT d.doc_id, d.lang, b.language, round(b.score, 2) AS score FROM documents d LEFT JOIN
   (SELECT doc_id, pl AS language, score FROM sm QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pl DESC) = 1) b USING (doc_id))"""

@@ -69,8 +69,8 @@ def ratio(a: ColumnLike, b: ColumnLike) -> Column:
 
 
 def rescale_rating(col: ColumnLike, top: float = 5, factor: float = 20) -> Column:
-    """Bring ratings given out of 100 down to the 0..5 scale."""
-    c = _c(col)
+    """Bring ratings given out of 100 down to the 0..5 scale; text that is no number is null."""
+    c = _c(col).try_cast("double")
     return F.when(c > top, c / factor).otherwise(c)
 
 

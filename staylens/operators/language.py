@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions.text import trigrams
 from staylens.runtime import broadcast_if_small, distinct_levels
 
 
-def language_profiles(df: DataFrame, text: str, lang: str, top: int = 300) -> DataFrame:
-    """(lang, gram, weight) for the ``top`` trigrams of each language; weight is the log of parts per million."""
+def language_profiles(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, gram, weight) for all trigrams of each language; weight is the log of parts per million."""
     grams = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(trigrams(text)).alias("gram"))
     counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
-    best = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)
-    return best.join(totals, "lang").select("lang", "gram", F.log(F.col("n") * 1e6 / F.col("total")).alias("weight"))
+    return counts.join(totals, "lang").select("lang", "gram", F.log(F.col("n") * 1e6 / F.col("total")).alias("weight"))
 
 
 def detect_language(df: DataFrame, id_col: str, text: str, profiles: DataFrame, chars: int | None = None) -> DataFrame:

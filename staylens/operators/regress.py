@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb, erf, sqrt
+from math import comb, exp, lgamma, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -114,13 +114,33 @@ def covariances(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np
 
 
 def _t_two_sided(t: float, dof: int) -> float:
-    """Two-sided p-value of Student's t by numerical integration of its density."""
-    if dof > 1000:
-        return 1 - erf(abs(t) / sqrt(2))
-    theta = np.linspace(0, np.arctan(abs(t) / sqrt(dof)), 20001)
-    inside = np.trapezoid(np.cos(theta) ** (dof - 1), theta)
-    whole = np.trapezoid(np.cos(np.linspace(0, np.pi / 2, 200001)) ** (dof - 1), dx=np.pi / 2 / 200000)
-    return float(max(0.0, 1 - inside / whole))
+    """Two-sided p-value of Student's t: the regularised incomplete beta function at dof / (dof + t^2)."""
+    return _incomplete_beta(dof / 2, 0.5, dof / (dof + t * t)) if np.isfinite(t) else 0.0
+
+
+def _incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction, from the side where that converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _incomplete_beta(b, a, 1 - x)
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / a
+    c, d, tiny = 1.0, 0.0, 1e-300
+    f = 1.0
+    for i in range(10_000):
+        m = i // 2
+        if i == 0:
+            step = 1.0
+        elif i % 2 == 0:
+            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / ((1 + step * d) or tiny)
+        c = (1 + step / c) or tiny
+        f *= c * d
+        if i and abs(1 - c * d) < 1e-15:
+            break
+    return front * (f - 1)
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:

@@ -67,13 +67,14 @@ def spread(df: DataFrame, keys: Sequence[str], key: str, value: str, values: Seq
     return wide if fill is None else wide.fillna(fill, [str(v) for v in values])
 
 
-def to_dtm(counts: DataFrame, doc: str, term: str, n: str, min_df: float = 1.0, vocab_size: int = 1 << 18) -> tuple[DataFrame, CountVectorizerModel]:
-    """Document-term matrix from long counts: rows (doc, features) and the vocabulary model."""
+def to_dtm(counts: DataFrame, doc: str, term: str, n: str, min_df: float = 1.0) -> tuple[DataFrame, CountVectorizerModel]:
+    """Document-term matrix of all terms from long counts: rows (doc, features) and the vocabulary model."""
     bags = counts.groupBy(doc).agg(F.flatten(F.collect_list(F.array_repeat(term, F.col(n).cast("int")))).alias("terms"))
-    return dtm_from_terms(bags, doc, "terms", min_df, vocab_size)
+    return dtm_from_terms(bags, doc, "terms", min_df)
 
 
-def dtm_from_terms(docs: DataFrame, doc: str, terms: str, min_df: float = 1.0, vocab_size: int = 1 << 18) -> tuple[DataFrame, CountVectorizerModel]:
-    """Document-term matrix from token arrays: rows (doc, features) and the vocabulary model."""
+def dtm_from_terms(docs: DataFrame, doc: str, terms: str, min_df: float = 1.0) -> tuple[DataFrame, CountVectorizerModel]:
+    """Document-term matrix of all terms from token arrays: rows (doc, features) and the vocabulary model."""
+    vocab_size = max(1, docs.select(F.explode(terms).alias("term")).distinct().count())
     model = CountVectorizer(inputCol=terms, outputCol="features", minDF=min_df, vocabSize=vocab_size).fit(docs)
     return model.transform(docs).select(doc, "features"), model

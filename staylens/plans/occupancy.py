@@ -53,8 +53,8 @@ def prepare(listings: DataFrame, areas: DataFrame, walkscore: DataFrame, min_sup
     df = df.withColumn("property_type", clean.recode("property_type", {"Apartment": "Apartment", "House": "House"}, "Other"))
     df = with_items(df, "braces")
     own = [c for c in SCALED if c not in ("listings_per_sq_km", "walk_score")]
-    extra = ["city", "calendar_updated", "minimum_nights", "accommodates", "number_of_reviews"]
-    keep = ["id", "filedate", "neighbourhood_cleansed", "days_booked_n30", "days_booked_n30_cat", "amenities_count", "items", *own, *CATEGORIES]
+    extra = ["calendar_updated", "minimum_nights", "accommodates", "number_of_reviews"]
+    keep = ["id", "city", "filedate", "neighbourhood_cleansed", "days_booked_n30", "days_booked_n30_cat", "amenities_count", "items", *own, *CATEGORIES]
     # the raw text is parsed once; what follows reads a few typed columns
     df = materialize(df.select(*keep, *extra))
     density = area_density(df, areas, walkscore).select("city", "filedate", "neighbourhood_cleansed", "listings_per_sq_km", "walk_score")
@@ -94,7 +94,7 @@ def occupancy_model(data: OccupancyData, max_iter: int = 100, n_perm: int = 10,
 
 def occupancy_rates(rows: DataFrame, least: int = 100) -> dict[str, DataFrame]:
     """Share of high-occupancy listings by area, month, price per guest, extra-guest fee and host size."""
-    by_area = rate_by(rows, ["neighbourhood_cleansed", "walk_score"], "high_occupancy", 1, ["listings_per_sq_km"])
+    by_area = rate_by(rows, ["city", "neighbourhood_cleansed", "walk_score"], "high_occupancy", 1, ["listings_per_sq_km"])
     sized = rows.where(F.col("host_total_listings_count") > 0).withColumn("num_listings_bin", clean.cap("host_total_listings_count", 10))
     return {
         "by_area": by_area.where(F.col("n") > least),
@@ -109,5 +109,5 @@ def occupancy_rates(rows: DataFrame, least: int = 100) -> dict[str, DataFrame]:
 
 def area_map(areas: DataFrame, by_area: DataFrame) -> DataFrame:
     """Every area with its rate where enough listings were seen."""
-    names = areas.select("neighbourhood", "geometry")
-    return names.join(by_area, F.col("neighbourhood") == F.col("neighbourhood_cleansed"), "left")
+    names = areas.select("city", "neighbourhood", "geometry")
+    return names.join(by_area.withColumnRenamed("neighbourhood_cleansed", "neighbourhood"), ["city", "neighbourhood"], "left")

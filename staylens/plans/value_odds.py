@@ -70,9 +70,9 @@ def feature_rows(listings: DataFrame, areas: DataFrame) -> DataFrame:
     sizes = areas.groupBy("city", F.col("neighbourhood").alias("neighbourhood_cleansed")).agg(F.sum(area_sq_km("geometry")).alias("sq_km"))
     counts = df.groupBy("filedate", "city", "neighbourhood_cleansed").agg(F.count("id").alias("listing_count"))
     density = counts.join(sizes, ["city", "neighbourhood_cleansed"]).select(
-        "city", "neighbourhood_cleansed", clean.ratio("listing_count", "sq_km").alias("listings_per_sq_km")
+        "filedate", "city", "neighbourhood_cleansed", clean.ratio("listing_count", "sq_km").alias("listings_per_sq_km")
     )
-    df = df.join(materialize(density), ["city", "neighbourhood_cleansed"])
+    df = df.join(materialize(density), ["filedate", "city", "neighbourhood_cleansed"])
     df = df.withColumns(
         {
             "property_type": clean.recode("property_type", PROPERTY_TYPES, "Other"),

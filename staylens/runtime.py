@@ -17,19 +17,20 @@ BROADCAST_ROWS = 200_000
 MAX_LEVELS = 10_000
 
 
+_LOCAL_ROOT: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediates, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session that names none gets a temporary folder of its own.
+    Only a local session that names none, as in tests, gets a temporary folder, one for its lifetime.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="staylens-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _LOCAL_ROOT.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="staylens-"))
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -14,6 +14,24 @@ from pyspark.sql import types as T
 from staylens.functions.clean import base_name, file_city, file_date
 
 # Free text in these files holds commas, quotes and line breaks.
+LISTING_TYPES = {
+    **dict.fromkeys(("id", "host_id"), "bigint"),
+    **dict.fromkeys(("last_review", "calendar_last_scraped"), "date"),
+    **dict.fromkeys(
+        (
+            "accommodates", "number_of_reviews", "number_of_reviews_ltm", "availability_30", "minimum_nights", "host_total_listings_count",
+            "host_listings_count", "calculated_host_listings_count",
+        ),
+        "int",
+    ),
+    **dict.fromkeys(
+        (
+            "bedrooms", "beds", "minimum_nights_avg_ntm", "maximum_nights_avg_ntm", "review_scores_rating", "review_scores_accuracy",
+            "review_scores_cleanliness", "review_scores_checkin", "review_scores_communication", "review_scores_location", "review_scores_value",
+        ),
+        "double",
+    ),
+}
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
@@ -73,19 +91,26 @@ def read_snapshots(
     schema: T.StructType | None = None,
     city_pattern: str | None = None,
 ) -> DataFrame:
-    """Gz CSV snapshots whose names hold all the given tokens, with ``filedate``, ``filecity`` and ``source_file``.
+    """Gz CSV snapshots whose names hold all the given tokens, with ``filedate``, ``city``, ``filecity`` and ``source_file``.
+
+    ``city`` is the city of the file name where the files have no such column. Without ``schema`` the columns that
+    jobs compute with get their types from ``LISTING_TYPES``; unreadable values become null.
 
     A gz file cannot be split, so the rows are rebalanced over the cluster right after the read.
     """
     wanted = [t for t in (kind, city, period, *tokens) if t]
     paths = [p for p in list_files(spark, f"{root.rstrip('/')}/*.gz") if all(t in p.rsplit("/", 1)[-1] for t in wanted)]
     df = read_files(spark, paths, schema)
+    if schema is None:
+        df = df.withColumns({c: F.col(c).try_cast(t) for c, t in LISTING_TYPES.items() if c in df.columns})
     df = df.withColumns(
         {
             "filedate": file_date("source_file"),
             "filecity": file_city("source_file", city_pattern) if city_pattern else file_city("source_file"),
         }
     )
+    if "city" not in df.columns:
+        df = df.withColumn("city", F.col("filecity"))
     return df.hint("rebalance")
 
 
@@ -103,22 +128,22 @@ def read_folder(spark: SparkSession, folder: str, schema: T.StructType | None =
 POINTS = "array<array<double>>"
 
 
-def read_geojson(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Polygons of one or more GeoJSON files: rows (neighbourhood, geometry, source_file).
+def read_geojson(spark: SparkSession, path: str | Sequence[str], city_pattern: str | None = None, properties: Sequence[str] = ("neighbourhood",)) -> DataFrame:
+    """Polygons of one or more GeoJSON files: rows (the properties, city, geometry, source_file).
 
-    ``geometry`` is always an array of polygons; a single polygon is wrapped.
+    ``geometry`` is always an array of polygons; a single polygon is wrapped. ``city`` comes from the file name.
     """
-    schema = (
-        "features array<struct<properties: struct<neighbourhood: string>, "
-        "geometry: struct<type: string, coordinates: string>>>"
-    )
+    fields = ", ".join(f"`{p}`: string" for p in properties)
+    schema = f"features array<struct<properties: struct<{fields}>, geometry: struct<type: string, coordinates: string>>>"
     df = with_source(spark.read.option("multiLine", True).schema(schema).json(path))
     feature = df.select("source_file", F.explode("features").alias("f"))
     shape, points = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     geometry = F.when(shape == "MultiPolygon", F.from_json(points, f"array<array<{POINTS}>>")).when(
         shape == "Polygon", F.array(F.from_json(points, f"array<{POINTS}>"))
     )
-    return feature.select(F.col("f.properties.neighbourhood").alias("neighbourhood"), geometry.alias("geometry"), "source_file")
+    city = file_city("source_file", city_pattern) if city_pattern else file_city("source_file")
+    names = [F.col("f.properties")[p].alias(p) for p in properties]
+    return feature.select(*names, city.alias("city"), geometry.alias("geometry"), "source_file")
 
 
 def source_name(col: str = "source_file"):

@@ -165,3 +165,12 @@ def test_reviews(spark):
     assert impact["both"].count() == 2 and impact["frequency"].agg(F.sum("n")).first()[0] >= 35
     charts = reviews.review_charts(scored, places, n=1000, points=32)
     assert charts["by_rating"].count() == 8 and charts["sentiment_density"].count() == 32
+
+
+def test_feature_rows_do_not_multiply(spark, listings, areas):
+    from staylens.plans import value_odds
+
+    one = listings.withColumns({"review_scores_value": F.lit(10.0), "security_deposit": F.lit("$100.00"), "amenities": F.lit("{Wifi}"), "number_of_reviews": F.lit(9)})
+    late = one.withColumns({"filedate": F.date_add("filedate", 31), "id": F.col("id") + 10_000_000})
+    rows = value_odds.feature_rows(one.unionByName(late), areas)
+    assert rows.count() == rows.select("id").distinct().count() == 2 * value_odds.feature_rows(one, areas).count() > 0

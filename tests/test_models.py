@@ -187,3 +187,19 @@ def test_topic_names(spark):
     best = topics.top_terms(spark.createDataFrame(beta, "topic int, term string, beta double"), 2)
     assert best.where("topic = 3").count() == 3  # a tie is kept
     assert {r.topic: r.topic_name for r in topics.name_topics(best).collect()} == {1: "1) a, b", 2: "2) x", 3: "3) p, q"}
+
+
+def test_p_value_has_one_formula():
+    from staylens.operators.regress import _t_two_sided
+
+    assert abs(_t_two_sided(3.5, 1000) - 0.000486) < 1e-6 and abs(_t_two_sided(3.5, 1000) - _t_two_sided(3.5, 1001)) < 1e-6
+    assert abs(_t_two_sided(1.0, 1) - 0.5) < 1e-12 and abs(_t_two_sided(-2.0, 2) - 0.18350341907227) < 1e-12
+    assert 0 < _t_two_sided(40.0, 500) < 1e-150 and _t_two_sided(0.0, 9) == 1
+
+
+def test_document_term_matrix_keeps_all_terms(spark):
+    from staylens.operators.reshape import dtm_from_terms
+
+    docs = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["d"]), (3, [])], "id long, terms array<string>")
+    rows, model = dtm_from_terms(docs, "id", "terms")
+    assert sorted(model.vocabulary) == ["a", "b", "c", "d"] and rows.count() == 3

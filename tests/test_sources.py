@@ -79,3 +79,18 @@ def test_runtime(spark, tmp_path):
     assert "broadcast" in small.lower() and "broadcast" not in large.lower()
     assert spread(spark.range(0, 4, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert column_names(["a.b", "A_B", "", "c"], ["c"]) == ["a_b", "A_B (2)", "blank", "c (2)"]
+
+
+def test_files_to_job(spark, tmp_path):
+    """Typed columns and the city come with the files."""
+    write_gz(tmp_path / "listings denver 2022-06-03.csv.gz", 'id,price,review_scores_rating,accommodates\n1,"$1,000.00",4.5,2\n2,$50.00,oops,4\n')
+    from staylens.plans.common import clean_listings
+
+    df = clean_listings(files.read_snapshots(spark, str(tmp_path), "listings", city_pattern=r"listings (\w+)"))
+    rows = {r.id: (r.city, r.price, r.review_scores_rating, r.price_per_accommodates) for r in df.collect()}
+    assert rows == {1: ("denver", 1000.0, 4.5, 500.0), 2: ("denver", 50.0, None, 12.5)}
+    (tmp_path / "denver shapes.geojson").write_text(
+        json.dumps({"type": "FeatureCollection", "features": [{"properties": {"neighbourhood": "n", "group": "g"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}]})
+    )
+    got = files.read_geojson(spark, str(tmp_path / "denver shapes.geojson"), properties=["neighbourhood", "group"]).first()
+    assert (got.neighbourhood, got.group, got.city) == ("n", "g", "denver")
