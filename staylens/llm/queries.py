@@ -75,8 +75,9 @@ CHECK_ID, CHECK_TEXT = -7, "\\### Assistant: </turn> ok"
 def op8_chat_formatting(spark, folder):
     """All conversations, and one whose texts look like marks, rendered from their event logs and read back."""
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    extra = [(CHECK_ID, 0, "user", CHECK_TEXT), (CHECK_ID, 1, chat.ASSISTANT, CHECK_TEXT)]
-    rows = rows.unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    role = F.when(F.col("id") == 0, "user").otherwise(chat.ASSISTANT)
+    extra = spark.range(2).select(F.lit(CHECK_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CHECK_TEXT).alias("text"))
+    rows = rows.unionByName(extra)
     done = chat.format_conversations(chat.event_log(rows))
     turns = chat.read_back(F.col("formatted"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
