@@ -342,6 +342,47 @@ def test_lm_score(docs, none):
     assert lm_score.lm_score(none, none).count() == 0
 
 
+def pairs_of(rows, encode, model):
+    """(class before, id) of all positions of shared classes, end marks included."""
+    n, found = encode.size + 1, collections.Counter()
+    for _, t in rows:
+        ids = [*subwords_of(t, encode), n - 1]
+        for a, b in zip([n, *ids[:-1]], ids):
+            if model.targets[b] >= lm_score.OWN:
+                found[int(model.targets[a]), int(b)] += 1
+    return found
+
+
+def subwords_of(text, encode):
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return encode.of_words(lm_score.scan(raw, np.array([0, len(raw)])), raw)[0].tolist()
+
+
+@pytest.fixture(scope="module")
+def varied(spark):
+    """Rows of short texts with many subword ids, and their frame."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(1, 7))))
+    rows = [(i, " ".join(word() for _ in range(int(rng.integers(0, 60))))) for i in range(60)] + [(60, None), (61, "")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_every_window_is_learned_from(varied, monkeypatch):
+    rows, docs = varied
+    encode, seen = subwords.encoder(subwords.default_path()), {}
+    learn, score = lm_score.train, lm_score.score_rows
+    monkeypatch.setattr(lm_score, "train", lambda kept, *a: seen.update(kept=kept.select("ids").toArrow().to_batches()) or learn(kept, *a))
+    monkeypatch.setattr(lm_score, "score_rows", lambda docs, model, *a: seen.update(model=model) or score(docs, model, *a))
+    lm_score.lm_score(docs, docs.where("doc_id % 7 != 2"))
+    training = [(d, t) for d, t in rows if d % 7 != 2]
+    model = seen["model"]
+    want = collections.Counter(int(model.targets[i]) for _, t in training for i in [*subwords_of(t, encode), encode.size])
+    got = [t for _, t in lm_score.examples(seen["kept"], model, 0)]
+    assert collections.Counter(np.concatenate(got)[np.concatenate(got) >= 0].tolist()) == want
+    counted = {(int(k) // len(model.of_id), int(k) % len(model.of_id)): int(n) for k, n in zip(model.pairs, model.times)}
+    assert counted == pairs_of(training, encode, model) and counted
+
+
 def test_model_is_a_distribution_and_causal():
     rng = np.random.default_rng(7)
     net = lm_score.Net(rng.normal(0, 0.3, lm_score.Net.SIZE).astype(np.float32))
