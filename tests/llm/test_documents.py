@@ -383,6 +383,17 @@ def test_every_window_is_learned_from(varied, monkeypatch):
     assert counted == pairs_of(training, encode, model) and counted
 
 
+def test_rare_pairs_count_too(varied, monkeypatch):
+    rows, docs = varied
+    scores = lambda: {r.doc_id: r.score for r in lm_score.lm_score(docs, docs.where("doc_id % 7 != 2")).collect()}
+    monkeypatch.setattr(lm_score, "train", lambda kept, model, class_share: lm_score.Net.fresh(class_share).flat)
+    want = scores()
+    for few in (0, 40):
+        monkeypatch.setattr(lm_score, "PAIRS", few)
+        got = scores()
+        assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+
+
 def test_model_is_a_distribution_and_causal():
     rng = np.random.default_rng(7)
     net = lm_score.Net(rng.normal(0, 0.3, lm_score.Net.SIZE).astype(np.float32))
