@@ -148,6 +148,27 @@ def test_line_dedup(docs):
         assert (r.text, r.n_dropped, r.emptied) == (left, len(own), bool(own) and not left.strip()) and r.lo == "x"
 
 
+def near_lines(pairs):
+    """One line a row; two by two their similarity is from 0.80 to 0.85."""
+    rng, rows = np.random.default_rng(4), []
+    while len(rows) < 2 * pairs:
+        a = list(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(48, 160))))
+        b = list(a)
+        for _ in range(int(rng.integers(1, 4))):
+            b[int(rng.integers(0, len(b)))] = str(rng.integers(0, 10))
+        x, y = ({"".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            rows += [(len(rows), "".join(a)), (len(rows) + 1, "".join(b))]
+    return rows
+
+
+def test_lines_near_the_threshold_are_found(spark):
+    rows = near_lines(800)
+    got = {r.doc_id for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_dropped}
+    want = set(line_fates(rows))
+    assert len(want) == 800 and got == want
+
+
 def test_line_dedup_empty(none):
     assert line_dedup.line_dedup(none).count() == 0
 
