@@ -63,7 +63,7 @@ def occupancy_rates_by_fee(spark: SparkSession, d: str) -> DataFrame:
 
 
 def occupancy_model(spark: SparkSession, d: str) -> DataFrame:
-    return occupancy.occupancy_model(_occupancy(spark, d), max_iter=10, n_perm=2)["shapley_summary"]
+    return occupancy.occupancy_model(_occupancy(spark, d))["shapley_summary"]
 
 
 def _chores(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -111,7 +111,7 @@ def description_network(spark: SparkSession, d: str) -> DataFrame:
 
 
 def host_segments(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(hosts.host_segments(si.listings(spark, d), maxit=2)["summary"], 4)
+    return rounded(hosts.host_segments(si.listings(spark, d))["summary"], 4)
 
 
 def host_segments_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +162,7 @@ def complaint_impact(spark: SparkSession, d: str) -> DataFrame:
     scored = materialize(_scored_reviews(spark, d))
     stop = materialize(_stop_words(terms.tokenize(si.documents(spark, d), "doc_id", "text")))
     places = materialize(si.rated_listings(spark, d))
-    found = reviews.complaint_topics(scored, places, stop, k=5, max_iter=5)
+    found = reviews.complaint_topics(scored, places, stop)
     return rounded(reviews.complaint_impact(found["gamma"], found["names"], scored, places)["both"], 4)
 
 

@@ -129,14 +129,14 @@ def _document_bands(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
 
 def gbt_importance(spark: SparkSession, d: str) -> DataFrame:
     docs, features = _document_bands(spark, d)
-    fit = trees.gbt_multiclass(docs, features, "band", max_iter=5, max_depth=3, min_rows=20)
+    fit = trees.gbt_multiclass(docs, features, "band", min_rows=20)
     return rounded(trees.importance(fit, spark), 6)
 
 
 def shapley_values(spark: SparkSession, d: str) -> DataFrame:
     docs, features = _document_bands(spark, d)
-    fit = trees.gbt_multiclass(docs, features, "band", max_iter=5, max_depth=3, min_rows=20)
-    return rounded(trees.shapley_sampling(fit, docs, "doc_id", n_perm=3, background=50), 6)
+    fit = trees.gbt_multiclass(docs, features, "band", min_rows=20)
+    return rounded(trees.shapley_sampling(fit, docs, "doc_id"), 6)
 
 
 def _customer_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +154,7 @@ PROFILE = ["n_orders", "avg_price", "max_price", "balance"]
 
 
 def impute_pmm(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(segments.impute_pmm(materialize(_customer_profile(spark, d)), "c_custkey", PROFILE, maxit=2), 4)
+    return rounded(segments.impute_pmm(materialize(_customer_profile(spark, d)), "c_custkey", PROFILE), 4)
 
 
 def _profile_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +169,7 @@ def kmeans_best(spark: SparkSession, d: str) -> DataFrame:
 
 
 def elbow(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(segments.elbow(_profile_vectors(spark, d), range(2, 7), nstart=2), 3)
+    return rounded(segments.elbow(_profile_vectors(spark, d)), 3)
 
 
 def pca_2d(spark: SparkSession, d: str) -> DataFrame:
@@ -196,19 +196,19 @@ def _bags(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
 
 def lda_topics(spark: SparkSession, d: str) -> DataFrame:
     dtm, vocabulary = _bags(spark, d)
-    model = topics.lda(dtm, k=5, max_iter=5)
+    model = topics.lda(dtm)
     best = materialize(topics.top_terms(topics.tidy_beta(model, vocabulary, spark)))
     return rounded(best.join(topics.name_topics(best), "topic"), 5)
 
 
 def lda_document_topics(spark: SparkSession, d: str) -> DataFrame:
     dtm, _ = _bags(spark, d)
-    return rounded(topics.tidy_gamma(topics.lda(dtm, k=5, max_iter=5), dtm, "doc_id"), 5)
+    return rounded(topics.tidy_gamma(topics.lda(dtm), dtm, "doc_id"), 5)
 
 
 def topic_search(spark: SparkSession, d: str) -> DataFrame:
     dtm, _ = _bags(spark, d)
-    return rounded(topics.topic_search(dtm, "doc_id", ks=(3, 6), max_iter=5), 4)
+    return rounded(topics.topic_search(dtm, "doc_id"), 4)
 
 
 # topics given by a rule on word length, so that SQL can say what the tables must hold
