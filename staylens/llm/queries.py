@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from staylens.llm import chat, decontaminate, line_dedup, lm_score, neighbours, ngram_join, packing, quality, sharding, token_counts
+from staylens.llm import chat, decontaminate, filter_audit, line_dedup, lm_score, neighbours, ngram_join, packing, quality, sharding, token_counts
 from pyspark.sql import functions as F
 
 from staylens.llm.stored import table
@@ -102,7 +102,13 @@ def op10_best_fit_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_sharding, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op7_token_counts, op8_chat_formatting, op9_nearest_neighbours, op10_best_fit_packing,)}
+def op11_filter_interaction_audit(spark, folder):
+    """What five filters remove in every order of them, for each language."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    return filter_audit.audit(docs, table(spark, folder, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_sharding, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op7_token_counts, op8_chat_formatting, op9_nearest_neighbours, op10_best_fit_packing, op11_filter_interaction_audit)}
 SQL = {
     "op8_chat_formatting": r"""
         WITH r AS (
@@ -119,4 +125,44 @@ SQL = {
           CAST(sum(n) AS BIGINT) AS formatted_chars
         FROM o GROUP BY conv_id
     """,
+    "op11_filter_interaction_audit": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+          FROM documents
+        ), flags AS (
+          SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+        ), m AS (
+          SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+            len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+            100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+            coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS e
+          FROM d LEFT JOIN flags ON d.doc_id = flags.doc_id
+        ), masks AS (
+          SELECT part, good, toxic, a, b, c, d, e, a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails, count(*) AS n
+          FROM m GROUP BY ALL
+        ), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), orders AS (
+          SELECT l1.x || l2.x || l3.x || l4.x || l5.x AS filter_order FROM letters l1, letters l2, letters l3, letters l4, letters l5
+          WHERE len(list_distinct([l1.x, l2.x, l3.x, l4.x, l5.x])) = 5
+        ), steps AS (SELECT filter_order, s AS step, filter_order[s] AS letter, filter_order[1:s - 1] AS before FROM orders, range(1, 6) t(s)
+        ), outcomes AS (
+          SELECT part, filter_order, step, letter, n, good, toxic, n_fails,
+            CASE letter WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS failing,
+            a AND contains(before, 'A') OR b AND contains(before, 'B') OR c AND contains(before, 'C') OR d AND contains(before, 'D')
+              OR e AND contains(before, 'E') AS gone
+          FROM masks, steps
+        ), counts AS (
+          SELECT part, filter_order, step, letter,
+            sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END)::BIGINT AS kept,
+            sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END)::BIGINT AS removed,
+            sum(CASE WHEN gone AND failing THEN n ELSE 0 END)::BIGINT AS redundant,
+            sum(CASE WHEN failing AND n_fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+            sum(CASE WHEN NOT gone AND failing THEN n * good ELSE 0 END)::BIGINT AS good_lost,
+            sum(CASE WHEN NOT gone AND failing THEN n * toxic ELSE 0 END)::BIGINT AS toxic_lost
+          FROM outcomes GROUP BY ALL
+        )
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+          (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+        FROM counts
+    """,
 }
