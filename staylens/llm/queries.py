@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from staylens.llm import chat, decontaminate, filter_audit, line_dedup, lm_score, neighbours, ngram_join, packing, quality, sharding, token_counts
+from staylens.llm import chat, decontaminate, filter_audit, line_dedup, lm_score, neighbours, ngram_join, packing, quality, sharding, token_counts, wavelet, whitening
 from pyspark.sql import functions as F
 
 from staylens.llm.stored import table
@@ -108,7 +108,18 @@ def op11_filter_interaction_audit(spark, folder):
     return filter_audit.audit(docs, table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_sharding, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op7_token_counts, op8_chat_formatting, op9_nearest_neighbours, op10_best_fit_packing, op11_filter_interaction_audit)}
+def op12_embedding_whitening(spark, folder):
+    """All vectors whitened by the four strongest components of the distinct ones."""
+    rows = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_token_id_output(spark, folder):
+    """Token ids of all documents written as wavelet files and read back from them."""
+    return wavelet.round_trip(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_sharding, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op7_token_counts, op8_chat_formatting, op9_nearest_neighbours, op10_best_fit_packing, op11_filter_interaction_audit, op12_embedding_whitening, op13_token_id_output)}
 SQL = {
     "op8_chat_formatting": r"""
         WITH r AS (
