@@ -24,15 +24,18 @@ looked at.
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, normalizers
 
 from staylens.llm.scan import list_array, map_batches, runs, scan, text_bytes
 from staylens.llm.stored import Scratch
@@ -44,19 +47,68 @@ END_ID = 1
 SHARD_TOKENS, PARTITION_TOKENS = 1 << 20, 1 << 25
 BLOCK = 2048
 LEVEL = 3
+# Pieces of words in one text for the library.
+LIBRARY_PIECES = 512
 
 _MARK = b"WVM1"
 _HEAD = struct.Struct("<4sBB2xqq")
 
 
 class LibraryEncoder(WordEncoder):
-    """Ids of words by the tokenizers library itself; a worker encodes each distinct word once."""
+    """Ids of words by the tokenizers library itself, to which a worker gives each distinct piece of words once.
+
+    Pieces (letters, a digit, or other signs in a row) are what merges never cross. Many of them, with spaces between, go
+    to the library in one text; each ends with an id that ends a word.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        super().__init__(path)
+        self.parts = regex.compile(self.pieces.pattern + "|\n")
+        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values()))
+        self.last = self.ends_word()[:-1] == 1
+        self.bare = Tokenizer.from_file(path)  # for pieces, which are normalised already
+        self.bare.normalizer = normalizers.Sequence([])
+
+    def _forget(self) -> None:
+        super()._forget()
+        self.known: dict[str, int] = {}
+        self.piece_ids, self.piece_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _meet(self, pieces: list[str]) -> None:
+        new = [p for p in dict.fromkeys(pieces) if p != "\n" and p not in self.known]
+        texts = [" ".join(new[a : a + LIBRARY_PIECES]) for a in range(0, len(new), LIBRARY_PIECES)]
+        got = [np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([*got, np.zeros(0, np.uint32)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new):
+            raise RuntimeError("the library cut the pieces of words otherwise")
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.piece_at = np.concatenate((self.piece_at, ends + len(self.piece_ids)))
+        self.piece_ids = np.concatenate((self.piece_ids, ids))
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in got], dtype=np.int64)))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(bounds[-1]))
-        return flat, bounds
+        joined = "\n".join(words)
+        if self.special.search(joined):
+            got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+            return np.concatenate([*got, np.zeros(0, np.uint32)]), np.concatenate(([0], np.cumsum([len(x) for x in got], dtype=np.int64)))
+        pieces = self.parts.findall(self._normal(joined) + "\n")
+        self._meet(pieces)
+        place = np.fromiter((self.known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        breaks = np.flatnonzero(place < 0)
+        place = np.delete(place, breaks)
+        size = self.piece_at[place + 1] - self.piece_at[place]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        take = np.arange(ends[-1]) + np.repeat(self.piece_at[place] - ends[:-1], size)
+        return self.piece_ids[take], np.concatenate(([0], ends[breaks - np.arange(len(breaks))]))
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids, bounds = self.encode(words)
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.at = np.insert(self.at, place, bounds[:-1] + len(self.flat))
+        self.sizes = np.insert(self.sizes, place, np.diff(bounds).astype(np.int32))
+        self.flat = np.concatenate((self.flat, ids))
 
 
 @functools.lru_cache(maxsize=2)
@@ -64,9 +116,15 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def id_type(path: str) -> str:
+    """The narrowest type that holds all ids of a vocabulary."""
+    return "<u2" if encoder(path).size <= 1 << 16 else "<u4"
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_crc32, and its ids with the end id, as little-endian bytes."""
+    """One row per document: doc_id, n_tokens, ids_crc32, and its ids with the end id, as bytes of ``id_type``."""
     path = path or default_path()
+    narrow = id_type(path)
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -76,9 +134,13 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             words = scan(raw, offsets[a : b + 1] - offsets[a])
             ids, word_bounds = encode.of_words(words, raw)
             bounds = word_bounds[words.bounds]
-            own = [np.append(ids[bounds[d] : bounds[d + 1]], np.uint32(END_ID)).astype("<u4").tobytes() for d in range(b - a)]
+            ended = np.insert(ids.astype("<u4"), bounds[1:], END_ID)
             counts = np.diff(bounds) + 1
-            crc = pa.array([zlib.crc32(x) for x in own], pa.int64())
+            ends = np.cumsum(counts).tolist()
+            wide, thin = ended.tobytes(), ended.astype(narrow).tobytes()
+            width = len(thin) // len(ended)
+            crc = pa.array([zlib.crc32(wide[4 * x : 4 * y]) for x, y in zip([0, *ends], ends)], pa.int64())
+            own = [thin[width * x : width * y] for x, y in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), crc, pa.array(own, pa.binary())], names=["doc_id", "n_tokens", "ids_crc32", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -95,10 +157,11 @@ class WaveletMatrix:
     @staticmethod
     def build(ids: np.ndarray, bounds: np.ndarray) -> WaveletMatrix:
         """From ids and the bounds of the documents in them."""
-        at, n = ids.astype(np.uint32), len(ids)
+        n, bits = len(ids), max(1, int(ids.max(initial=0)).bit_length())
+        at = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, before = [], []
-        for k in range(max(1, int(ids.max(initial=0)).bit_length()) - 1, -1, -1):
-            bit = (at >> np.uint32(k)) & np.uint32(1) != 0
+        for k in range(bits - 1, -1, -1):
+            bit = at & at.dtype.type(1 << k) != 0
             padded = np.zeros(-(-n // BLOCK) * BLOCK, bool)
             padded[:n] = bit
             planes.append(np.packbits(padded, bitorder="little"))
@@ -200,19 +263,19 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids, from the last plane up."""
-        value = np.zeros(self.n, np.uint32)
+        value = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k in range(len(self.planes) - 1, -1, -1):
             bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(value)
             above[~bit] = value[: self.zeros[k]]
-            above[bit] = value[self.zeros[k] :] | np.uint32(1 << (len(self.planes) - 1 - k))
+            above[bit] = value[self.zeros[k] :] | value.dtype.type(1 << (len(self.planes) - 1 - k))
             value = above
-        return value
+        return value.astype(np.uint32)
 
 
 def write_files(docs: DataFrame, folder: str, path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode ``docs`` and write one file per shard into ``folder``, in order of (part, shard)."""
-    scratch = Scratch(docs.sparkSession, "wavelet")
+    scratch, narrow = Scratch(docs.sparkSession, "wavelet"), id_type(path or default_path())
     # A stored number keeps apart equal documents of one id, so that ranges can cut between them.
     encoded = scratch.put(encode_documents(docs, path).withColumn("apart", F.xxhash64(F.monotonically_increasing_id())))
     total = encoded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
@@ -224,7 +287,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, shard_tok
         part, shard, before, ids, parts, counts = TaskContext.get().partitionId(), 0, 0, [], [], []
 
         def close() -> pa.RecordBatch:
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(parts), "<u4"), np.concatenate(([0], np.cumsum(counts))))
+            matrix = WaveletMatrix.build(np.frombuffer(b"".join(parts), narrow), np.concatenate(([0], np.cumsum(counts))))
             owners = pa.concat_arrays(ids)
             names = ["part", "shard", "before", "n_tokens", "doc_ids", "matrix"]
             where = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([matrix.n], pa.int64())]

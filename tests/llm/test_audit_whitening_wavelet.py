@@ -216,3 +216,15 @@ def test_files_as_registered(spark):
     starts = np.cumsum([0] + [len(x) for x in ids])
     want = [(d, int(s), len(x), zlib.crc32(x.tobytes())) for (d, _), s, x in zip(given, starts, ids)]
     assert [tuple(r) for r in QUERIES["op13_token_id_output"](spark, folder).orderBy("doc_id").collect()] == want
+
+
+def test_words_as_the_library_encodes_them():
+    rng = np.random.default_rng(6)
+    pool = ["'s", "'ve", "''s", "J̌", "İ", "้", "Σ", "ς", "ﬁ", "漢字", "é", "é", "́", "가", "가", "🙂", "\xa0", " ", "​", "x", "Y", "1", "²", "#", "***'"]
+    pool += ["</w>", "Ġ", "\x7f", "\x00", "ẞ", "ǅ", "क", "ि", "ͅ", "<|endoftext|>", "<|startoftext|>"]
+    words = ["".join(rng.choice(pool) for _ in range(rng.integers(1, 12))) for _ in range(3000)]
+    encode, library = wavelet.encoder(subwords.default_path()), Tokenizer.from_file(subwords.default_path())
+    plain = [w for w in words if "<|" not in w]
+    for some in (plain, words, []):
+        ids, bounds = encode.encode(some)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [library.encode(w, add_special_tokens=False).ids for w in some]
