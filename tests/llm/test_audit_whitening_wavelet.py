@@ -225,6 +225,6 @@ def test_words_as_the_library_encodes_them():
     words = ["".join(rng.choice(pool) for _ in range(rng.integers(1, 12))) for _ in range(3000)]
     encode, library = wavelet.encoder(subwords.default_path()), Tokenizer.from_file(subwords.default_path())
     plain = [w for w in words if "<|" not in w]
-    for some in (plain, words, []):
+    for some in (plain, words, [""]):
         ids, bounds = encode.encode(some)
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [library.encode(w, add_special_tokens=False).ids for w in some]
