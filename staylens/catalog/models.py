@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.catalog.base import rounded, table
-from staylens.catalog.texts import _AFINN, _BING, _SCORE, _TOK, _afinn, _documents, _stop_words, _tokens
+from staylens.catalog.texts import _AFINN, _BING, _SCORE, _STOP, _TOK, _afinn, _documents, _stop_words, _tokens
 from staylens.functions import text as tx
 from staylens.functions.geo import WGS84_A, WGS84_F, area_sq_km
 from staylens.operators import evaluate, regress, segments, sentiment, terms, topics, trees
 from staylens.operators.groups import trend
-from staylens.operators.reshape import dtm_from_terms
+from staylens.operators.reshape import to_dtm
+from staylens.operators.topic_models import compare_topics
 from staylens.plans.common import supported_items
 from staylens.runtime import materialize
 
@@ -187,28 +188,53 @@ def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
     return found.join(rows.select("vec_id", "label"), "vec_id").groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bags(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    stop = [r[0] for r in _stop_words(_tokens(spark, d)).collect()]
-    docs = _documents(spark, d).select("doc_id", F.filter(tx.words("text"), lambda w: ~w.isin(stop)).alias("terms"))
-    dtm, model = dtm_from_terms(materialize(docs), "doc_id", "terms")
-    return materialize(dtm), model.vocabulary
+def _word_counts(spark: SparkSession, d: str) -> DataFrame:
+    tokens = _tokens(spark, d)
+    return materialize(terms.term_counts(terms.drop_stop_words(tokens, materialize(_stop_words(tokens))), ["doc_id"]))
+
+
+def document_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the document-term matrix, described so that SQL can say them: cells, tokens, and ids weighted by counts."""
+    rows, _ = to_dtm(_word_counts(spark, d), "doc_id", "word", "n")
+    weighed = F.aggregate(F.zip_with("term_ids", "counts", lambda i, n: i * n), F.lit(0).cast("long"), lambda a, x: a + x)
+    tokens = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", F.size("term_ids").alias("cells"), tokens.alias("tokens"), weighed.alias("weighed"))
 
 
 def lda_topics(spark: SparkSession, d: str) -> DataFrame:
-    dtm, vocabulary = _bags(spark, d)
-    model = topics.lda(dtm)
-    best = materialize(topics.top_terms(topics.tidy_beta(model, vocabulary, spark)))
+    model = topics.lda(_word_counts(spark, d), "doc_id", "word", "n")
+    best = materialize(topics.top_terms(topics.tidy_beta(model)))
     return rounded(best.join(topics.name_topics(best), "topic"), 5)
 
 
+def lda_term_sums(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for the term weights of any fit: all terms in all topics, adding up to one, none below zero."""
+    beta = topics.tidy_beta(topics.lda(_word_counts(spark, d), "doc_id", "word", "n"))
+    return beta.groupBy("topic").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("beta"), 6).alias("total"), (F.min("beta") >= 0).alias("valid"))
+
+
 def lda_document_topics(spark: SparkSession, d: str) -> DataFrame:
-    dtm, _ = _bags(spark, d)
-    return rounded(topics.tidy_gamma(topics.lda(dtm), dtm, "doc_id"), 5)
+    """What holds for the topic shares of any fit: all topics in every document, adding up to one, none below zero."""
+    gamma = topics.tidy_gamma(topics.lda(_word_counts(spark, d), "doc_id", "word", "n"))
+    return gamma.groupBy("document").agg(F.count(F.lit(1)).alias("topics"), F.round(F.sum("gamma"), 6).alias("total"), (F.min("gamma") > 0).alias("valid"))
 
 
 def topic_search(spark: SparkSession, d: str) -> DataFrame:
-    dtm, _ = _bags(spark, d)
-    return rounded(topics.topic_search(dtm, "doc_id"), 4)
+    return rounded(topics.topic_search(_word_counts(spark, d), "doc_id", "word", "n"), 4)
+
+
+def topic_criteria(spark: SparkSession, d: str) -> DataFrame:
+    """The measures that the search ranks models by, of two topics given by a rule: words of even and of odd length."""
+    counts = materialize(terms.term_counts(_tokens(spark, d), ["doc_id"]))
+    words = counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("topic", F.explode(F.array(F.lit(1), F.lit(2))))
+    weight = F.when(F.length("word") % 2 + 1 == F.col("topic"), F.col("n")).otherwise(0) + 1.0
+    words = materialize(words.select("topic", F.col("word").alias("term"), weight.alias("w")))
+    beta = words.join(words.groupBy("topic").agg(F.sum("w").alias("total")), "topic").select("topic", "term", (F.col("w") / F.col("total")).alias("beta"))
+    shares = counts.groupBy(F.col("doc_id").alias("document")).agg(F.sum("n").alias("n"), F.sum(F.when(F.length("word") % 2 == 0, F.col("n")).otherwise(0)).alias("even"))
+    shares = materialize(shares.withColumn("g", (F.col("even") + 1) / (F.col("n") + 2)))
+    gamma = shares.select("document", F.lit(1).alias("topic"), F.col("g").alias("gamma")).unionByName(shares.select("document", F.lit(2).alias("topic"), (1 - F.col("g")).alias("gamma")))
+    found = compare_topics(beta, gamma, shares.select("document", "n"))
+    return spark.createDataFrame([(m, round(v, 6)) for m, v in found.items()], "criterion string, value double")
 
 
 # topics given by a rule on word length, so that SQL can say what the tables must hold
@@ -272,7 +298,7 @@ QUERIES = {
     for f in (
         polygon_area, ols_summary, relative_importance, one_hot_standardize, lasso_cv, influence_index, logit_odds,
         classifier_report, confusion_three, confusion_roc, roc_auc, r2_by_flag, gbt_importance, shapley_values, impute_pmm,
-        kmeans_best, elbow, pca_2d, embedding_clusters, lda_topics, lda_document_topics, topic_search, topic_top_terms,
+        kmeans_best, elbow, pca_2d, embedding_clusters, document_terms, lda_topics, lda_term_sums, lda_document_topics, topic_search, topic_criteria, topic_top_terms,
         topic_names, topic_frequency, topic_severity, topic_impact, severity_impact_trend,
     )
 }
@@ -343,6 +369,23 @@ SELECT round(score, 6) AS score, round(cp / ap::DOUBLE, 6) AS tpr, round(cn / an
     "roc_auc": f"""WITH {_LAB} SELECT round(sum((a.score > b.score)::INT + 0.5::DOUBLE * (a.score = b.score)::INT) / count(*), 6) AS auc,
   (SELECT round(avg((label = prediction)::INT), 6) FROM lab) AS accuracy FROM lab a JOIN lab b ON a.label = 1 AND b.label = 0""",
     "r2_by_flag": """SELECT l_returnflag, round(1 - sum((l_extendedprice - l_quantity * 1500) ^ 2) / (var_pop(l_extendedprice) * count(*)), 6) AS r2 FROM lineitem GROUP BY 1""",
+    "document_terms": f"""WITH {_TOK}, {_STOP}, c AS (SELECT doc_id, word, count(*) AS n FROM tok WHERE word NOT IN (SELECT word FROM stop) GROUP BY 1, 2),
+v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS term_id FROM c GROUP BY 1)
+SELECT doc_id, count(*)::INTEGER AS cells, sum(n)::BIGINT AS tokens, sum(n * term_id)::BIGINT AS weighed FROM c JOIN v USING (word) GROUP BY 1""",
+    "lda_term_sums": f"""WITH {_TOK}, {_STOP} SELECT topic::INTEGER AS topic, count(DISTINCT word) AS terms, 1.0::DOUBLE AS total, true AS valid
+FROM tok, range(1, 41) r(topic) WHERE word NOT IN (SELECT word FROM stop) GROUP BY 1""",
+    "lda_document_topics": f"""WITH {_TOK}, {_STOP} SELECT doc_id AS document, 40::BIGINT AS topics, 1.0::DOUBLE AS total, true AS valid
+FROM tok WHERE word NOT IN (SELECT word FROM stop) GROUP BY 1""",
+    "topic_criteria": f"""WITH {_TOK}, w AS (SELECT word, count(*) AS n, length(word) % 2 AS odd FROM tok GROUP BY 1),
+raw AS (SELECT CASE WHEN odd = 0 THEN n ELSE 0 END + 1.0::DOUBLE AS a, CASE WHEN odd = 1 THEN n ELSE 0 END + 1.0::DOUBLE AS b FROM w),
+p AS (SELECT a / sum(a) OVER () AS a, b / sum(b) OVER () AS b FROM raw),
+m AS (SELECT sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * ln(a / b)) AS kl, sum(b * ln(b / a)) AS lk FROM p),
+e AS (SELECT *, sqrt((aa + bb + sqrt((aa - bb) ^ 2 + 4 * ab * ab)) / 2) AS s1, sqrt((aa + bb - sqrt((aa - bb) ^ 2 + 4 * ab * ab)) / 2) AS s2 FROM m),
+g AS (SELECT count(*) AS n, (count(*) FILTER (length(word) % 2 = 0) + 1) / (count(*) + 2)::DOUBLE AS g FROM tok GROUP BY doc_id),
+l AS (SELECT sum(n * g) / max(n) AS l1, sum(n * (1 - g)) / max(n) AS l2 FROM g)
+SELECT 'cao_juan' AS criterion, round(ab / sqrt(aa * bb), 6) AS value FROM m
+UNION ALL SELECT 'arun', round(s1 * ln(s1 / l1) + s2 * ln(s2 / l2) + l1 * ln(l1 / s1) + l2 * ln(l2 / s2), 6) FROM e, l
+UNION ALL SELECT 'deveaud', round((kl + lk) / 4, 6) FROM m""",
     "topic_top_terms": f"""WITH {_TOK}, {_TOPIC} SELECT topic::INTEGER AS topic, term, round(beta, 8) AS beta FROM beta QUALIFY rank() OVER (PARTITION BY topic ORDER BY beta DESC) <= 10""",
     "topic_names": f"WITH {_TOK}, {_TOPIC} SELECT topic::INTEGER AS topic, topic_name FROM nm",
     "topic_frequency": f"WITH {_TOK}, {_TOPIC} SELECT topic::INTEGER AS topic, topic_name, count(*) AS n FROM ng GROUP BY 1, 2",

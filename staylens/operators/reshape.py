@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staylens.runtime import broadcast_if_small
+from staylens.operators.ranks import with_row_number
+from staylens.runtime import broadcast_if_small, materialize
 
 
 def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -67,14 +67,20 @@ def spread(df: DataFrame, keys: Sequence[str], key: str, value: str, values: Seq
     return wide if fill is None else wide.fillna(fill, [str(v) for v in values])
 
 
-def to_dtm(counts: DataFrame, doc: str, term: str, n: str, min_df: float = 1.0) -> tuple[DataFrame, CountVectorizerModel]:
-    """Document-term matrix of all terms from long counts: rows (doc, features) and the vocabulary model."""
-    bags = counts.groupBy(doc).agg(F.flatten(F.collect_list(F.array_repeat(term, F.col(n).cast("int")))).alias("terms"))
-    return dtm_from_terms(bags, doc, "terms", min_df)
+def to_dtm(counts: DataFrame, doc: str, term: str, n: str) -> tuple[DataFrame, DataFrame]:
+    """Document-term matrix of all terms from long counts, and its dictionary, both tables.
+
+    The dictionary (term, term_id) numbers the terms from 0 in their order. The matrix has one row per document: the ids of
+    its terms, ascending, and how often each stands in it.
+    """
+    counts = counts.dropna(subset=[doc, term]).groupBy(F.col(doc).alias(doc), F.col(term).alias("term")).agg(F.sum(n).alias("n")).where("n > 0")
+    counts = materialize(counts)
+    numbered = with_row_number(counts.select("term").distinct(), [F.asc("term")], name="term_id")
+    dictionary = materialize(numbered.select("term", (F.col("term_id") - 1).alias("term_id")))
+    cells = counts.join(dictionary, "term").groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("term_id", "n"))).alias("cells"))
+    return cells.select(doc, F.col("cells.term_id").alias("term_ids"), F.col("cells.n").alias("counts")), dictionary
 
 
-def dtm_from_terms(docs: DataFrame, doc: str, terms: str, min_df: float = 1.0) -> tuple[DataFrame, CountVectorizerModel]:
-    """Document-term matrix of all terms from token arrays: rows (doc, features) and the vocabulary model."""
-    vocab_size = max(1, docs.select(F.explode(terms).alias("term")).distinct().count())
-    model = CountVectorizer(inputCol=terms, outputCol="features", minDF=min_df, vocabSize=vocab_size).fit(docs)
-    return model.transform(docs).select(doc, "features"), model
+def dtm_from_terms(docs: DataFrame, doc: str, terms: str) -> tuple[DataFrame, DataFrame]:
+    """``to_dtm`` of token arrays."""
+    return to_dtm(docs.select(doc, F.explode(terms).alias("term"), F.lit(1).alias("n")), doc, "term", "n")

@@ -65,16 +65,18 @@ def complaint_topics(
 ) -> dict[str, DataFrame]:
     """Topics of the negative reviews: term weights, document shares, best terms and generated names."""
     counts = materialize(complaint_terms(complaint_tokens(reviews, listings, stop_words)))
-    dtm, vocabulary = to_dtm(counts, "id", "word", "n")
-    dtm = materialize(dtm)
-    model = topics.lda(dtm, k, seed, max_iter)
-    beta = topics.tidy_beta(model, vocabulary.vocabulary, counts.sparkSession)
+    dtm, dictionary = to_dtm(counts, "id", "word", "n")
+    model = topics.lda(counts, "id", "word", "n", k, seed, max_iter)
+    if model is None:
+        raise ValueError("no negative review has a word left")
+    beta = topics.tidy_beta(model)
     best = materialize(topics.top_terms(beta, n_terms))
     return {
         "counts": counts,
         "dtm": dtm,
+        "dictionary": dictionary,
         "beta": beta,
-        "gamma": materialize(topics.tidy_gamma(model, dtm, "id")),
+        "gamma": materialize(topics.tidy_gamma(model)),
         "top_terms": best,
         "names": topics.name_topics(best),
     }

@@ -30,7 +30,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL_ROOT.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="staylens-"))
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOT:
+        _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="staylens-")
+    return _LOCAL_ROOT[app]
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -44,6 +47,31 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Stored tables of an iteration: each round reads what the one before has written, and drops it when done."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self._paths: dict[int, str] = {}
+        self._n = 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self._n += 1
+        path = f"{self.root}/{self._n}"
+        out = materialize(df, path)
+        self._paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            path = self._paths.pop(id(df), None)
+            if path:
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a counted bound; past the bound the plan is left to Catalyst and AQE."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

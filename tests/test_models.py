@@ -165,23 +165,6 @@ def test_overrides(spark):
     assert [r.cluster for r in segments.override_segments(df).orderBy("id").collect()] == [3, 8, 9, None, None]
 
 
-def test_topics(spark):
-    from staylens.operators.reshape import to_dtm
-
-    words = {0: ["dirty", "stain", "dust"], 1: ["noise", "loud", "street"]}
-    counts = spark.createDataFrame([(d, w, 3) for d in range(40) for w in words[d % 2]], "id int, word string, n long")
-    dtm, vocab = to_dtm(counts, "id", "word", "n")
-    model = topics.lda(dtm, k=2, max_iter=20)
-    beta = topics.tidy_beta(model, vocab.vocabulary, spark)
-    best = topics.top_terms(beta, 3)
-    groups = {frozenset(r.term for r in best.where(F.col("topic") == t).collect()) for t in (1, 2)}
-    assert groups == {frozenset(words[0]), frozenset(words[1])}
-    gamma = topics.tidy_gamma(model, dtm, "id").toPandas()
-    assert np.allclose(gamma.groupby("document").gamma.sum(), 1)
-    found = topics.topic_search(dtm, "id", [2, 3], max_iter=5).collect()
-    assert [r.k for r in found] == [2, 3] and all(np.isfinite([r.cao_juan, r.arun, r.deveaud]).all() for r in found)
-
-
 def test_topic_names(spark):
     beta = [(1, "a", 0.4), (1, "b", 0.2), (1, "c", 0.1), (2, "x", 0.5), (2, "y", 0.245), (3, "p", 0.3), (3, "q", 0.3), (3, "r", 0.3)]
     best = topics.top_terms(spark.createDataFrame(beta, "topic int, term string, beta double"), 2)
@@ -200,6 +183,7 @@ def test_p_value_has_one_formula():
 def test_document_term_matrix_keeps_all_terms(spark):
     from staylens.operators.reshape import dtm_from_terms
 
-    docs = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["d"]), (3, [])], "id long, terms array<string>")
-    rows, model = dtm_from_terms(docs, "id", "terms")
-    assert sorted(model.vocabulary) == ["a", "b", "c", "d"] and rows.count() == 3
+    docs = spark.createDataFrame([(1, ["b", "a", "c", "b", None]), (2, ["d"]), (3, []), (None, ["e"])], "id long, terms array<string>")
+    rows, dictionary = dtm_from_terms(docs, "id", "terms")
+    assert {r.term: r.term_id for r in dictionary.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    assert sorted((r.id, r.term_ids, r.counts) for r in rows.collect()) == [(1, [0, 1, 2], [1, 2, 1]), (2, [3], [1])]

@@ -25,7 +25,7 @@ SIZES = [
     ("lda_topics", topics, "lda", LDA),
     ("lda_document_topics", topics, "lda", LDA),
     ("complaint_impact", reviews, "complaint_topics", LDA),
-    ("topic_search", topics, "topic_search", {"ks": range(5, 101, 5), "max_iter": 50}),
+    ("topic_search", topics, "topic_search", {"ks": range(5, 101, 5), "sweeps": 60}),
 ]
 
 
