@@ -135,9 +135,21 @@ def gbt_importance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shapley_values(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for the values of any fit: one per feature, adding up to the score that the trees themselves give."""
     docs, features = _document_bands(spark, d)
     fit = trees.gbt_multiclass(docs, features, "band", min_rows=20)
-    return rounded(trees.shapley_sampling(fit, docs, "doc_id"), 6)
+    values = trees.shapley_exact(fit, docs, "doc_id")
+    own = fit.score(docs).select("doc_id", F.posexplode("raw").alias("class", "score"))
+    sums = values.groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("features"), (F.sum("shapley") + F.max("base")).alias("total"))
+    both = sums.join(own, ["doc_id", "class"])
+    return both.select("doc_id", "class", "features", (F.abs(F.col("total") - F.col("score")) < 1e-6).alias("adds_up"))
+
+
+def shapley_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Mean absolute value of each feature for each class."""
+    docs, features = _document_bands(spark, d)
+    return rounded(trees.shapley_summary(trees.shapley_exact(trees.gbt_multiclass(docs, features, "band", min_rows=20), docs, "doc_id")), 6)
+
 
 
 def _customer_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -297,7 +309,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         polygon_area, ols_summary, relative_importance, one_hot_standardize, lasso_cv, influence_index, logit_odds,
-        classifier_report, confusion_three, confusion_roc, roc_auc, r2_by_flag, gbt_importance, shapley_values, impute_pmm,
+        classifier_report, confusion_three, confusion_roc, roc_auc, r2_by_flag, gbt_importance, shapley_values, shapley_ranking, impute_pmm,
         kmeans_best, elbow, pca_2d, embedding_clusters, document_terms, lda_topics, lda_term_sums, lda_document_topics, topic_search, topic_criteria, topic_top_terms,
         topic_names, topic_frequency, topic_severity, topic_impact, severity_impact_trend,
     )
@@ -369,6 +381,7 @@ SELECT round(score, 6) AS score, round(cp / ap::DOUBLE, 6) AS tpr, round(cn / an
     "roc_auc": f"""WITH {_LAB} SELECT round(sum((a.score > b.score)::INT + 0.5::DOUBLE * (a.score = b.score)::INT) / count(*), 6) AS auc,
   (SELECT round(avg((label = prediction)::INT), 6) FROM lab) AS accuracy FROM lab a JOIN lab b ON a.label = 1 AND b.label = 0""",
     "r2_by_flag": """SELECT l_returnflag, round(1 - sum((l_extendedprice - l_quantity * 1500) ^ 2) / (var_pop(l_extendedprice) * count(*)), 6) AS r2 FROM lineitem GROUP BY 1""",
+    "shapley_values": "SELECT doc_id, class::INTEGER AS class, 4::BIGINT AS features, true AS adds_up FROM documents, range(3) r(class)",
     "document_terms": f"""WITH {_TOK}, {_STOP}, c AS (SELECT doc_id, word, count(*) AS n FROM tok WHERE word NOT IN (SELECT word FROM stop) GROUP BY 1, 2),
 v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS term_id FROM c GROUP BY 1)
 SELECT doc_id, count(*)::INTEGER AS cells, sum(n)::BIGINT AS tokens, sum(n * term_id)::BIGINT AS weighed FROM c JOIN v USING (word) GROUP BY 1""",

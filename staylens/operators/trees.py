@@ -1,4 +1,4 @@
-"""Boosted trees for ordered classes, their importances, and sampled Shapley values."""
+"""Boosted trees for ordered classes, their importances, and what each feature adds to a score."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from staylens.operators.ranks import sample_n
-from staylens.runtime import broadcast_if_small, materialize, side_by_side
+from staylens.operators.tree_shapley import shapley
+from staylens.runtime import side_by_side
 
 
 @dataclass
@@ -79,56 +79,9 @@ def importance(fit: TreeFit, spark, n: int = 25) -> DataFrame:
     return spark.createDataFrame(rows, "variable string, importance double").orderBy(F.desc("importance"), "variable").limit(n)
 
 
-def shapley_sampling(
-    fit: TreeFit,
-    df: DataFrame,
-    id_col: str,
-    n_perm: int = 10,
-    background: int = 100,
-    seed: int = 123,
-) -> DataFrame:
-    """Shapley values by permutation sampling (Štrumbelj and Kononenko, 2014).
-
-    Rows (id, class, feature, shapley, base, prediction). For each row and permutation a background row is
-    changed into the row one feature at a time; a feature's value is the mean change of the score it
-    brings. The values of a row add up to prediction minus base.
-    """
-    p = len(fit.features)
-    x = F.array(*[F.col(f"`{f}`").cast("double") for f in fit.features])
-    rows = df.select(F.col(id_col), x.alias("x"))
-    pool = materialize(sample_n(rows, background, id_col, seed))
-    size = pool.count()
-    # a window over the background rows only, a fixed small number
-    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(id_col, F.lit(seed)), F.col(id_col))
-    numbered = pool.select((F.row_number().over(order) - 1).alias("bg"), F.col("x").alias("b"))
-
-    perm = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    perm = perm.withColumn("bg", F.pmod(F.xxhash64(id_col, "perm", F.lit(seed)), F.lit(size)).cast("int"))
-    perm = perm.join(broadcast_if_small(numbered, max(background, 1)), "bg")
-    lots = F.array(*[F.struct(F.xxhash64(id_col, "perm", F.lit(seed), F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in range(p)])
-    perm = perm.withColumn("order", F.transform(F.array_sort(lots), lambda e: e["j"]))
-    place = F.array(*[F.array_position("order", F.lit(j)).cast("int") - 1 for j in range(p)])
-    perm = perm.withColumn("place", place).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(p))))
-    mixed = F.array(*[F.when(F.get("place", F.lit(j)) < F.col("s"), F.get("x", F.lit(j))).otherwise(F.get("b", F.lit(j))) for j in range(p)])
-    scored = fit.raw(perm.withColumn("v", array_to_vector(mixed)).select(id_col, "order", "s", "v"), "v")
-
-    # a score counts for the feature just switched and against the one switched next
-    ends = F.array(
-        F.struct(F.when(F.col("s") > 0, F.get("order", F.col("s") - 1)).alias("j"), F.lit(1.0).alias("sign")),
-        F.struct(F.when(F.col("s") < p, F.get("order", F.col("s"))).alias("j"), F.lit(-1.0).alias("sign")),
-    )
-    parts = scored.select(id_col, "s", F.posexplode("raw").alias("c", "f"), ends.alias("e"))
-    parts = parts.select(id_col, "s", "c", "f", F.inline("e"))
-    name = F.element_at(F.array(*[F.lit(f) for f in fit.features]), F.col("j") + 1)
-    cls = F.element_at(F.array(*[F.lit(c) for c in fit.classes]), F.col("c") + 1)
-    values = parts.where(F.col("j").isNotNull()).groupBy(id_col, cls.alias("class"), name.alias("feature")).agg(
-        (F.sum(F.col("sign") * F.col("f")) / n_perm).alias("shapley")
-    )
-    ends_of = scored.where(F.col("s").isin(0, p)).select(id_col, "s", F.posexplode("raw").alias("c", "f"))
-    levels = ends_of.groupBy(id_col, cls.alias("class")).agg(
-        F.avg(F.when(F.col("s") == 0, F.col("f"))).alias("base"), F.avg(F.when(F.col("s") == p, F.col("f"))).alias("prediction")
-    )
-    return values.join(levels, [id_col, "class"])
+def shapley_exact(fit: TreeFit, df: DataFrame, id_col: str) -> DataFrame:
+    """Rows (id, class, feature, shapley, base, prediction); the values of a row add up to prediction minus base."""
+    return shapley(fit.models, fit.classes, fit.features, df, id_col)
 
 
 def shapley_summary(values: DataFrame) -> DataFrame:

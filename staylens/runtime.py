@@ -56,9 +56,13 @@ class Rounds:
         self._paths: dict[int, str] = {}
         self._n = 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def place(self) -> str:
+        """A folder that nothing was written to yet."""
         self._n += 1
-        path = f"{self.root}/{self._n}"
+        return f"{self.root}/{self._n}"
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = self.place()
         out = materialize(df, path)
         self._paths[id(out)] = path
         return out

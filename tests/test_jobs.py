@@ -77,7 +77,7 @@ def test_occupancy(listings, areas, walkscore):
     assert rates["by_price"].count() == 8 and rates["by_host_size"].agg(F.max("num_listings_bin")).first()[0] == 10
     assert rates["by_month"].first().month == "2022-03" and rates["by_fee"].count() == 2
     assert occupancy.area_map(areas, rates["by_area"]).count() == 6
-    out = occupancy.occupancy_model(data, max_iter=2, n_perm=1)
+    out = occupancy.occupancy_model(data, max_iter=2)
     assert out["confusion"].count() == 3 and 0 <= out["accuracy"].first()[0] <= 1
     assert out["shapley_summary"].count() == 3 * len(data.features)
 

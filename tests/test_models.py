@@ -108,10 +108,12 @@ def test_trees_and_shapley(spark):
     fit = trees.gbt_multiclass(df, list("abc"), "y", max_iter=5, max_depth=3, min_rows=10)
     assert fit.score(df).where("prediction = y").count() > 560
     assert trees.importance(fit, spark, 2).first().variable == "a"
-    values = trees.shapley_sampling(fit, df, "id", n_perm=2, background=20).toPandas()
+    values = trees.shapley_exact(fit, df, "id").toPandas()
     total = values.groupby(["id", "class"]).agg(s=("shapley", "sum"), base=("base", "first"), pred=("prediction", "first"))
     assert len(values) == 600 * 3 * 3
     assert np.allclose(total.s + total.base, total.pred, atol=1e-9)
+    raw = {(r["id"], r["class"]): r["f"] for r in fit.score(df).select("id", F.posexplode("raw").alias("class", "f")).collect()}
+    assert all(abs(total.pred[k] - v) < 1e-9 for k, v in raw.items())
     assert trees.shapley_summary(spark.createDataFrame(values)).where("class = 0").first().feature == "a"
     assert trees.shapley_row(spark.createDataFrame(values), "id", 5, 0).count() == 3
 

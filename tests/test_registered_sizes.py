@@ -20,8 +20,7 @@ SIZES = [
     ("host_segments", hosts, "host_segments", {"k": 7, "nstart": 5, "maxit": 5}),
     ("gbt_importance", trees, "gbt_multiclass", BOOSTED),
     ("shapley_values", trees, "gbt_multiclass", BOOSTED),
-    ("shapley_values", trees, "shapley_sampling", {"n_perm": 10, "background": 100}),
-    ("occupancy_model", occupancy, "occupancy_model", {"max_iter": 100, "n_perm": 10}),
+    ("occupancy_model", occupancy, "occupancy_model", {"max_iter": 100}),
     ("lda_topics", topics, "lda", LDA),
     ("lda_document_topics", topics, "lda", LDA),
     ("complaint_impact", reviews, "complaint_topics", LDA),
@@ -42,8 +41,6 @@ def test_sizes(spark, monkeypatch, name, module, operator, wanted):
         bound.apply_defaults()
         raise Called({k: bound.arguments[k] for k in wanted})
 
-    if operator == "shapley_sampling":
-        monkeypatch.setattr(trees, "gbt_multiclass", lambda *a, **k: None)
     monkeypatch.setattr(module, operator, stop)
     with pytest.raises(Called) as e:
         entry.queries()[name](spark, FOLDER)
