@@ -9,11 +9,10 @@ from staylens.catalog.base import rounded, table
 from staylens.catalog.texts import _AFINN, _BING, _SCORE, _STOP, _TOK, _afinn, _documents, _stop_words, _tokens
 from staylens.functions import text as tx
 from staylens.functions.geo import WGS84_A, WGS84_F, area_sq_km
-from staylens.operators import evaluate, regress, segments, sentiment, terms, topics, trees
+from staylens.operators import evaluate, regress, segments, sentiment, sparse_logit, terms, topics, trees
 from staylens.operators.groups import trend
 from staylens.operators.reshape import to_dtm
 from staylens.operators.topic_models import compare_topics
-from staylens.plans.common import supported_items
 from staylens.runtime import materialize
 
 NUMERIC = ["l_quantity", "l_discount", "l_tax"]
@@ -78,20 +77,55 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
                        (F.col("quality") + F.col("toxic")).alias("level"))
 
 
-def logit_odds(spark: SparkSession, d: str) -> DataFrame:
-    """Odds of good quality by frequent words of a document."""
+# Labelled documents that a word must stand in to become a feature.
+WORD_SUPPORT = 40
+
+
+def _word_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents with the numbers of their well-supported words, and the dictionary of those."""
     labels = table(spark, d, "labels").select("doc_id", "quality")
     docs = _documents(spark, d).select("doc_id", "text").join(labels, "doc_id")
     labelled = materialize(docs.select("doc_id", "quality", F.array_distinct(tx.words("text")).alias("items")))
-    counts = materialize(labelled.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")))
-    names = supported_items(counts, int(0.4 * labelled.count()))
-    support = counts.where(F.col("item").isin(names))
-    rows = labelled.select("doc_id", "quality", *[F.array_contains("items", w).cast("int").alias(f"w_{w}") for w in names])
-    fit = regress.logit_cv(rows, "doc_id", [f"w_{w}" for w in names], "quality")
-    odds = regress.odds_table(fit.table(spark), support.withColumn("item", F.concat(F.lit("w_"), "item")))
+    counts = labelled.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    dictionary = sparse_logit.item_dictionary(counts, "item", WORD_SUPPORT)
+    rows = labelled.select("doc_id", "quality").join(sparse_logit.sparse_items(labelled, "doc_id", "items", dictionary), "doc_id")
+    return materialize(rows), dictionary
+
+
+def _fit_words(rows: DataFrame, dictionary: DataFrame) -> regress.LogitFit:
+    names = [r["item"] for r in dictionary.orderBy("item_id").collect()]
+    return regress.logit_cv_sparse(rows, "doc_id", names, "quality")
+
+
+def logit_odds(spark: SparkSession, d: str) -> DataFrame:
+    """Odds of good quality by the words of a document."""
+    rows, dictionary = _word_rows(spark, d)
+    odds = regress.odds_table(_fit_words(rows, dictionary).table(spark), dictionary.select("item", "n"))
     return rounded(odds, 3)
 
 
+def logit_optimum(spark: SparkSession, d: str) -> DataFrame:
+    """What holds at the best coefficients: the penalised likelihood has no slope. Joins work it out, not the fitting code."""
+    rows, dictionary = _word_rows(spark, d)
+    fit = _fit_words(rows, dictionary)
+    coefs = materialize(dictionary.join(fit.table(spark).withColumnRenamed("variable", "item"), "item"))
+    cells = materialize(rows.select("doc_id", "quality", F.explode(F.col("idx").cast("array<bigint>")).alias("item_id")))
+    z = cells.join(coefs, "item_id").groupBy("doc_id", "quality").agg((F.sum("coef") + F.lit(fit.intercept)).alias("z"))
+    off = materialize(z.select("doc_id", (1 / (1 + F.exp(-F.col("z"))) - F.col("quality")).alias("off")))
+    slopes = cells.join(off, "doc_id").groupBy("item_id").agg(F.sum("off").alias("off")).join(coefs, "item_id")
+    slopes = slopes.select((F.col("off") + F.col("coef") / F.lit(fit.c)).alias("slope"))
+    slopes = slopes.unionByName(off.agg(F.sum("off").alias("slope")))
+    flat = slopes.agg(F.count(F.lit(1)).alias("coefficients"), (F.max(F.abs("slope")) / F.lit(rows.count())).alias("steepest"))
+    return flat.select("coefficients", (F.col("steepest") < 2 * sparse_logit.SETTLED).alias("flat"))
+
+
+def odds_of_rule(spark: SparkSession, d: str) -> DataFrame:
+    """Odds table of coefficients given by a rule, with the support of each word."""
+    _, dictionary = _word_rows(spark, d)
+    coefs = dictionary.select(F.col("item").alias("variable"), ((F.length("item") % 7 - 3) / 4).alias("coef"))
+    return rounded(regress.odds_table(coefs, dictionary.select("item", "n")), 6)
+
+
 def classifier_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.classification_report(_labelled(spark, d), [0, 1]), 6)
 
@@ -308,7 +342,7 @@ def severity_impact_trend(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        polygon_area, ols_summary, relative_importance, one_hot_standardize, lasso_cv, influence_index, logit_odds,
+        polygon_area, ols_summary, relative_importance, one_hot_standardize, lasso_cv, influence_index, logit_odds, logit_optimum, odds_of_rule,
         classifier_report, confusion_three, confusion_roc, roc_auc, r2_by_flag, gbt_importance, shapley_values, shapley_ranking, impute_pmm,
         kmeans_best, elbow, pca_2d, embedding_clusters, document_terms, lda_topics, lda_term_sums, lda_document_topics, topic_search, topic_criteria, topic_top_terms,
         topic_names, topic_frequency, topic_severity, topic_impact, severity_impact_trend,
@@ -347,6 +381,8 @@ ng AS (SELECT doc_id, topic, topic_name FROM gm JOIN nm USING (topic) WHERE gamm
 _SEV = "sev AS (SELECT topic, topic_name, -avg(afinn_sentiment) AS s FROM ng JOIN sc USING (doc_id) GROUP BY 1, 2)"
 _IMP = "imp AS (SELECT topic, topic_name, avg(r / 20) AS a, count(*) AS n FROM ng JOIN ls ON ls.id = doc_id % 97 GROUP BY 1, 2)"
 
+_LWORD = f"""{_TOK}, sup AS (SELECT word, count(DISTINCT doc_id) AS n FROM tok JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT doc_id) >= {WORD_SUPPORT})"""
+
 SQL = {
     "polygon_area": f"""
 WITH b AS (SELECT c_custkey, c_custkey % 150 - 75.0::DOUBLE AS lat FROM customer)
@@ -381,6 +417,9 @@ SELECT round(score, 6) AS score, round(cp / ap::DOUBLE, 6) AS tpr, round(cn / an
     "roc_auc": f"""WITH {_LAB} SELECT round(sum((a.score > b.score)::INT + 0.5::DOUBLE * (a.score = b.score)::INT) / count(*), 6) AS auc,
   (SELECT round(avg((label = prediction)::INT), 6) FROM lab) AS accuracy FROM lab a JOIN lab b ON a.label = 1 AND b.label = 0""",
     "r2_by_flag": """SELECT l_returnflag, round(1 - sum((l_extendedprice - l_quantity * 1500) ^ 2) / (var_pop(l_extendedprice) * count(*)), 6) AS r2 FROM lineitem GROUP BY 1""",
+    "logit_optimum": f"""WITH {_LWORD} SELECT count(*) + 1 AS coefficients, true AS flat FROM sup""",
+    "odds_of_rule": f"""WITH {_LWORD} SELECT word AS variable, (length(word) % 7 - 3) / 4.0::DOUBLE AS coef, n,
+  round((exp((length(word) % 7 - 3) / 4.0::DOUBLE) - 1) * 100, 6) AS odds_change_pct FROM sup""",
     "shapley_values": "SELECT doc_id, class::INTEGER AS class, 4::BIGINT AS features, true AS adds_up FROM documents, range(3) r(class)",
     "document_terms": f"""WITH {_TOK}, {_STOP}, c AS (SELECT doc_id, word, count(*) AS n FROM tok WHERE word NOT IN (SELECT word FROM stop) GROUP BY 1, 2),
 v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS term_id FROM c GROUP BY 1)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from staylens.functions.clean import odds_change_pct, ratio, row_count, row_mean
+from staylens.operators.sparse_logit import fit_path, sparse_columns
 from staylens.runtime import MAX_LEVELS, column_names
 
 # --- features -------------------------------------------------------------------------------
@@ -348,74 +349,18 @@ class LogitFit:
             z = z + F.col(f"`{f}`") * F.lit(float(b))
         return df.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("prediction", (F.col("score") > 0.5).cast("int"))
 
+    def score_sparse(self, rows: DataFrame) -> DataFrame:
+        """``score`` for rows with ``idx`` and ``val``; the coefficients are looked up by number."""
+        coef = F.array(*[F.lit(float(b)) for b in self.coef])
+        terms = F.zip_with("idx", "val", lambda i, v: F.get(coef, i) * v)
+        z = F.aggregate(terms, F.lit(self.intercept), lambda a, t: a + t)
+        return rows.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("prediction", (F.col("score") > 0.5).cast("int"))
+
     def table(self, spark) -> DataFrame:
         """Rows (variable, coef)."""
         return spark.createDataFrame([(f, float(b)) for f, b in zip(self.features, self.coef)], "variable string, coef double")
 
 
-def _logit_sums(data: DataFrame, weights: np.ndarray, held: Sequence[int | None], ids: Sequence[int]) -> dict[int, np.ndarray]:
-    """One pass: Hessian, gradient and loss of every listed model on the rows outside its held-out fold."""
-    p = weights.shape[1]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {m: np.zeros((p + 1, p + 1)) for m in ids}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y, f = _matrix(b.column("x")), b.column("y").to_numpy(), b.column("fold").to_numpy()
-            z = x @ weights[list(ids)].T
-            prob = 1 / (1 + np.exp(-z))
-            loss = np.logaddexp(0, z) - y[:, None] * z
-            for k, m in enumerate(ids):
-                use = np.ones(len(y)) if held[m] is None else (f != held[m]).astype(float)
-                s = sums[m]
-                s[:p, :p] += x.T @ (x * (use * prob[:, k] * (1 - prob[:, k]))[:, None])
-                s[:p, p] += x.T @ (use * (prob[:, k] - y))
-                s[p, p] += use @ loss[:, k]
-        rows = [(m, i, s[i]) for m, s in sums.items() for i in range(p + 1)]
-        kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["m", "i", "values"])
-
-    parts = data.mapInArrow(fold, "m int, i int, values array<double>")
-    out: dict[int, np.ndarray] = {m: np.zeros((p + 1, p + 1)) for m in ids}
-    for r in _sum_arrays(parts, ["m", "i"]).collect():  # as many numbers as the models have, not the rows
-        out[r.m][r.i] = r["values"]
-    return out
-
-
-def _newton(data: DataFrame, p: int, lam: np.ndarray, held: Sequence[int | None], max_iter: int) -> np.ndarray:
-    """Fit all models together: each pass over the rows takes one Newton step in every model not yet settled."""
-    count = len(lam)
-    w = np.zeros((count, p))
-    last, tried = np.full(count, np.inf), w.copy()
-    open_models = list(range(count))
-    ridge = np.ones(p)
-    ridge[-1] = 0.0  # the intercept is free
-    for _ in range(max_iter):
-        sums = _logit_sums(data, tried, held, open_models)
-        still = []
-        for m in open_models:
-            s = sums[m]
-            value = s[p, p] + 0.5 * lam[m] * (ridge * tried[m]) @ tried[m]
-            if value > last[m] * (1 + 1e-9):
-                tried[m] = (tried[m] + w[m]) / 2  # overshot: go half way back
-                if np.abs(tried[m] - w[m]).max() > 1e-7:
-                    still.append(m)
-                continue
-            w[m], last[m] = tried[m], value
-            grad = s[:p, p] + lam[m] * ridge * w[m]
-            step = np.linalg.lstsq(s[:p, :p] + np.diag(lam[m] * ridge + 1e-12), grad, rcond=None)[0]
-            tried[m] = w[m] - step
-            if np.abs(step).max() > 1e-6:
-                still.append(m)
-            else:
-                w[m] = tried[m]
-        open_models = still
-        if not open_models:
-            break
-    return w
-
-
 def logit_cv(
     df: DataFrame,
     key: str,
@@ -426,43 +371,30 @@ def logit_cv(
     max_iter: int = 1000,
     seed: int = 123,
 ) -> LogitFit:
-    """L2 logistic regression with the penalty chosen by cross-validated accuracy (lowest C among equals).
-
-    All folds and penalties are fitted side by side, so the rows are read once per Newton step and not
-    once per model and step.
-    """
+    """L2 logistic regression on number columns with the penalty chosen by cross-validated accuracy (lowest C among equals)."""
     features = list(features)
-    p = len(features) + 1
-    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features], F.lit(1.0))
+    return logit_cv_sparse(sparse_columns(df, features, key, label), key, features, label, cs, folds, max_iter, seed)
+
+
+def logit_cv_sparse(
+    rows: DataFrame,
+    key: str,
+    features: Sequence[str],
+    label: str,
+    cs: Sequence[float] = tuple(np.logspace(-4, 4, 10)),
+    folds: int = 5,
+    max_iter: int = 1000,
+    seed: int = 123,
+) -> LogitFit:
+    """``logit_cv`` of rows (key, idx, val, label): ``idx`` numbers into ``features``, whose names are as many as coefficients."""
     fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(folds)).cast("int")
-    data = df.select(x.alias("x"), F.col(label).cast("double").alias("y"), fold.alias("fold")).dropna()
+    data = rows.select("idx", "val", F.col(label).cast("double").alias("y"), fold.alias("fold")).dropna()
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = [(f, c) for c in cs for f in range(folds)]
-        w = _newton(data, p, np.array([1 / c for _, c in models]), [f for f, _ in models], max_iter)
-
-        def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hits, total = np.zeros(len(models)), np.zeros(len(models))
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                m_x, y, f = _matrix(b.column("x")), b.column("y").to_numpy(), b.column("fold").to_numpy()
-                right = ((m_x @ w.T) > 0) == (y[:, None] > 0.5)
-                for k, (held, _) in enumerate(models):
-                    hits[k] += right[f == held, k].sum()
-                    total[k] += (f == held).sum()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(models)), pa.int32()), pa.array(hits), pa.array(total)], ["m", "hits", "total"]
-            )
-
-        counted = data.mapInArrow(held_out, "m int, hits double, total double").groupBy("m").agg(F.sum("hits"), F.sum("total"))
-        scored = {r[0]: r[1] / r[2] for r in counted.collect() if r[2]}
-        cv = {c: float(np.mean([scored[k] for k, (_, ck) in enumerate(models) if ck == c and k in scored])) for c in cs}
-        best = max(cs, key=lambda c: (cv[c], -c))
-        final = _newton(data, p, np.array([1 / best]), [None], max_iter)[0]
+        w, best, cv = fit_path(data, len(features), cs, folds, max_iter)
     finally:
         data.unpersist()
-    return LogitFit(features, final[:-1], float(final[-1]), float(best), cv)
+    return LogitFit(list(features), w[:-1], float(w[-1]), best, cv)
 
 
 def odds_table(coefs: DataFrame, support: DataFrame | None = None, item: str = "item") -> DataFrame:

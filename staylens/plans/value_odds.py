@@ -11,15 +11,16 @@ from staylens.functions.text import explode_items
 from staylens.operators import evaluate
 from staylens.operators.groups import sample_std
 from staylens.operators.ranks import dedupe_last, quantiles, train_test
-from staylens.operators.regress import LogitFit, logit_cv, odds_table, one_hot, standardize
-from staylens.plans.common import add_indicators, clean_listings, supported_items, with_items
+from staylens.operators.regress import logit_cv, logit_cv_sparse, odds_table, one_hot, standardize
+from staylens.operators.sparse_logit import item_dictionary, sparse_items
+from staylens.plans.common import clean_listings, with_items
 from staylens.runtime import materialize
 
 CLASSES = [0, 1]
 
 
-def _scores(fit: LogitFit, test: DataFrame) -> dict[str, DataFrame]:
-    scored = materialize(fit.score(test).select(F.col("has_value").alias("label"), "prediction", "score"))
+def _scores(scored: DataFrame) -> dict[str, DataFrame]:
+    scored = materialize(scored.select(F.col("has_value").alias("label"), "prediction", "score"))
     return {
         "accuracy": evaluate.accuracy(scored),
         "confusion": evaluate.confusion_matrix(scored, CLASSES),
@@ -28,29 +29,28 @@ def _scores(fit: LogitFit, test: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def amenity_rows(listings: DataFrame, min_support: int = 1000) -> tuple[DataFrame, list[str], DataFrame]:
-    """Last snapshot of each rated listing with its well-supported amenities as 0/1 columns."""
+def amenity_rows(listings: DataFrame, min_support: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Last snapshot of each rated listing with the numbers of its well-supported amenities, and their dictionary."""
     df = listings.where(
         (F.col("review_scores_rating") <= 5) & (F.col("review_scores_value") <= 5) & (F.col("number_of_reviews") >= 5)
     )
     df = df.select("id", "filedate", "amenities", "review_scores_value", "price")
     df = dedupe_last(df, ["id"], ["filedate"])
-    df = df.withColumn("has_value", clean.flag(F.col("review_scores_value") >= 4.8))
+    df = materialize(df.withColumn("has_value", clean.flag(F.col("review_scores_value") >= 4.8)))
     mentions = explode_items(df.where(F.col("amenities").isNotNull()), "amenities", "brackets")
-    counts = materialize(mentions.groupBy("item").agg(F.count(F.lit(1)).alias("n")))
-    df = with_items(df, "brackets")
-    vocabulary = supported_items(counts, min_support + 1)
-    rows, names = add_indicators(df.where(F.arrays_overlap("items", F.array(*[F.lit(v) for v in vocabulary]))), vocabulary)
-    support = counts.join(counts.sparkSession.createDataFrame(list(zip(vocabulary, names)), "item string, variable string"), "item")
-    return materialize(rows.drop("items", "amenities")), names, support.select("variable", "n")
+    dictionary = item_dictionary(mentions.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item", min_support + 1)
+    items = sparse_items(with_items(df, "brackets"), "id", "items", dictionary)
+    return materialize(df.drop("amenities").join(items, "id")), dictionary
 
 
 def amenity_odds(listings: DataFrame, min_support: int = 1000, seed: int = 123) -> dict[str, DataFrame]:
     """Change of the odds by each amenity, with hold-out scores."""
-    rows, names, support = amenity_rows(listings, min_support)
+    rows, dictionary = amenity_rows(listings, min_support)
     rows = train_test(rows, "id", seed=seed)
-    fit = logit_cv(rows.where(~F.col("is_test")), "id", names, "has_value", seed=seed)
-    return {"odds": odds_table(fit.table(rows.sparkSession), support, "variable"), **_scores(fit, rows.where("is_test"))}
+    names = [r["item"] for r in dictionary.orderBy("item_id").collect()]  # as many as coefficients
+    fit = logit_cv_sparse(rows.where(~F.col("is_test")), "id", names, "has_value", seed=seed)
+    support = dictionary.select(F.col("item").alias("variable"), "n")
+    return {"odds": odds_table(fit.table(rows.sparkSession), support, "variable"), **_scores(fit.score_sparse(rows.where("is_test")))}
 
 
 SCALED = ["host_total_listings_count", "bedrooms_per_accommodates", "security_deposit", "cleaning_fee", "extra_people", "listings_per_sq_km"]
@@ -100,7 +100,7 @@ def feature_odds(listings: DataFrame, areas: DataFrame, seed: int = 123) -> dict
     fit = logit_cv(scaled.where(~F.col("is_test")), "id", names, "has_value", seed=seed)
     return {
         "odds": odds_table(fit.table(wide.sparkSession)),
-        **_scores(fit, scaled.where("is_test")),
+        **_scores(fit.score(scaled.where("is_test"))),
         "quantiles": quantiles(rows, SCALED, 0.95),
         "std": sample_std(wide, SCALED),
     }
