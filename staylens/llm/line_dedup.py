@@ -1,31 +1,33 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are what stands between line feeds, trimmed and with A-Z in lower case. A line is the set of its distinct runs of
-``k`` characters. One hash per run, dealt to bins with a minimum each, gives a signature (empty bins borrow from filled
+Lines are what stands between line feeds, trimmed and with A-Z in lower case. Equal lines, told by 128 bits, are one item,
+which stands for its first place by doc_id; what follows looks at each distinct item once, however often it stands in the
+table. An item is the set of its distinct runs of ``k`` characters. One hash per run, dealt to bins with a minimum each, gives a signature (empty bins borrow from filled
 ones by a fixed order); bands of the signature are the keys that candidates share: twenty of five bins miss 4 in 10,000 pairs
 at a similarity of 0.8, and fewer above it. Candidates whose sizes or parity sketches rule a link out are left
 out, the others are verified by their exact Jaccard similarity. Links become components by distributed union-find, and
 of each component the first line, by doc_id and place, is kept.
 
-Keys that a large part of all lines has are found on a fixed share of the documents beforehand. Their lines meet the
-smallest line of the key by a broadcast of those few keys; all other keys are dealt out and sorted. Which way a key
+Keys that a large part of all items has are found on a fixed share of the items beforehand. Their items meet the
+smallest item of the key by a broadcast of those few keys; all other keys are dealt out and sorted. Which way a key
 takes does not change a result.
 
 Cases: a line without characters other than white space is never dropped; a line shorter than ``k`` is one run. Rows
-without doc_id or text are kept as they are and take no part. Repeated rows of one doc_id are treated alike: the same
-line at the same place counts once. A document of which every line was dropped has an empty text and ``emptied`` is
-true. Further columns are handed on. An empty table gives an empty result. Lines are told apart by 64-bit hashes.
+without doc_id or text are kept as they are and take no part. Rows that share a doc_id are told apart by their texts: a
+line is dropped from the row it stands in and from no other, and the first of such rows is the one with the smallest
+hash. Rows equal in both are treated alike: the same line at the same place counts once. A document of which every line
+was dropped has an empty text and ``emptied`` is true. Further columns are handed on. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.links import HOT_SHARE, linked_components, star_members
@@ -77,7 +79,6 @@ def char_runs(lines: Lines, k: int) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.concatenate(([0], np.cumsum(count)))
     at = np.arange(bounds[-1]) + np.repeat(lines.start - bounds[:-1], count)
     points = np.concatenate((lines.points, np.zeros(k, np.uint32)))
-    points = np.concatenate((lines.points, np.zeros(k, np.uint32)))
     value = points[at].astype(_U) * weight[0]
     for j in range(1, k):
         value += points[at + j] * weight[j]
@@ -119,32 +120,35 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def line_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id with, line by line, place, item (64-bit hash of the line) and its band keys (``bands`` for each line)."""
+def _row() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64("text")
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """doc_id and row with, line by line, place and item (two 64-bit hashes of the line)."""
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, offsets = text_bytes(batch.column(1))
-        weight = stream(12, rows) | _U(1)
+        data, offsets = text_bytes(batch.column(2))
         for a, b in runs(offsets, CHUNK_BYTES // 2):
             lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            values, bounds = char_runs(lines, k)
-            # Order matters for equality: runs enter with their place in the line.
-            position = np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds))
-            item = mix(segment_sums(values * (position.astype(_U) * _U(0x9E3779B97F4A7C16) + _U(1)), bounds))
-            sign = signatures(values, bounds, bands * rows).reshape(len(item), bands, rows)
-            keys = mix((sign * weight).sum(axis=2, dtype=_U) + np.arange(1, bands + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
+            size = lines.end - lines.start
+            bounds = np.concatenate(([0], np.cumsum(size)))
+            position = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
+            points = lines.points[position + np.repeat(lines.start, size)].astype(_U) + _U(1)
+            # Order matters for equality: characters enter with their place in the line.
+            hashes = [
+                mix(segment_sums(mix(points * _U(odd) + position.astype(_U) * _U(0x9E3779B97F4A7C15)), bounds) + size.astype(_U))
+                for odd in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+            ]
             edges = np.searchsorted(lines.doc, np.arange(b - a + 1))
+            arrays = [lines.place.astype(np.int32), *map(signed, hashes)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(a, b - a),
-                    list_array(pa.array(lines.place.astype(np.int32)), edges),
-                    list_array(pa.array(signed(item)), edges),
-                    list_array(pa.array(signed(keys.reshape(-1))), edges * bands),
-                ],
-                names=["doc_id", "place", "item", "keys"],
+                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[list_array(pa.array(x), edges) for x in arrays]],
+                names=["doc_id", "row", "place", "h1", "h2"],
             )
 
-    return map_batches(docs.select("doc_id", "text"), over, "doc_id long, place array<int>, item array<long>, keys array<long>")
+    return map_batches(docs.select("doc_id", "row", "text"), over, "doc_id long, row long, place array<int>, h1 array<long>, h2 array<long>")
 
 
 def _packed_texts(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -159,31 +163,56 @@ def _packed_texts(docs: DataFrame, names: list[str]) -> DataFrame:
     return map_batches(docs.select(*[F.col(f"`{c}`") for c in names], "text"), over, f"{kinds}, blob binary")
 
 
-def fetch_lines(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """item, line and sketch (number of distinct runs, then parity words) for ``wanted`` (doc_id, place, item)."""
+def fetch_lines(docs: DataFrame, wanted: DataFrame, make: Callable[[pa.Array, pa.Array], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``make`` makes of items and their lines, for ``wanted`` (doc_id, row, place, item)."""
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         open_up = zstandard.ZstdDecompressor().decompress
-        items, lines = [], []
-        for blob, pairs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        items, lines, size = [], [], 0
+        for blob, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own = open_up(blob).decode().split("\n")
             for w in pairs:
-                # Of rows that share a doc_id, another one may have the line.
-                if w["place"] < len(own) and own[w["place"]].strip(" \t\v\f\r"):
-                    items.append(w["item"])
-                    lines.append(own[w["place"]])
-        column = pa.array(lines, pa.string())
-        data, offsets = text_bytes(column)
-        for a, b in runs(offsets, CHUNK_BYTES // 2):
-            values, bounds = char_runs(Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), k)
+                items.append(w["item"])
+                lines.append(own[w["place"]])
+                size += len(lines[-1])
+            if size > CHUNK_BYTES:
+                yield from make(pa.array(items, pa.int64()), pa.array(lines, pa.string()))
+                items, lines, size = [], [], 0
+        if items:
+            yield from make(pa.array(items, pa.int64()), pa.array(lines, pa.string()))
+
+    by_row = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("item", "place")).alias("wanted"))
+    # Rows equal in doc_id and text all meet the same line.
+    texts = _packed_texts(docs, ["doc_id", "row"])
+    joined = texts.join(by_row, ["doc_id", "row"]).select("blob", "wanted")
+    return map_batches(joined, cut, schema)
+
+
+def _lines_of(column: pa.Array) -> Iterator[tuple[int, int, Lines]]:
+    data, offsets = text_bytes(column)
+    for a, b in runs(offsets, CHUNK_BYTES // 2):
+        yield a, b, Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+def keys_and_sketches(k: int, bands: int, rows: int) -> Callable[[pa.Array, pa.Array], Iterator[pa.RecordBatch]]:
+    """item, its band keys and its sketch (number of distinct runs, then parity words)."""
+
+    def make(items: pa.Array, column: pa.Array) -> Iterator[pa.RecordBatch]:
+        weight = stream(12, rows) | _U(1)
+        for a, b, lines in _lines_of(column):
+            values, bounds = char_runs(lines, k)
+            sign = signatures(values, bounds, bands * rows).reshape(b - a, bands, rows)
+            keys = mix((sign * weight).sum(axis=2, dtype=_U) + np.arange(1, bands + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
             flat, own = distinct_runs(values, bounds)
             sketch = np.concatenate((np.diff(own)[:, None], signed(parity_sketches(flat, own))), axis=1)
-            sketch = list_array(pa.array(sketch.reshape(-1)), np.arange(b - a + 1) * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(items[a:b], pa.int64()), column.slice(a, b - a), sketch], names=["item", "line", "sketch"])
+            lists = [list_array(pa.array(x.reshape(-1)), np.arange(b - a + 1) * x.shape[1]) for x in (signed(keys), sketch)]
+            yield pa.RecordBatch.from_arrays([items.slice(a, b - a), *lists], names=["item", "keys", "sketch"])
+
+    return make
+
 
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("item", "place")).alias("wanted"))
-    joined = _packed_texts(docs, ["doc_id"]).join(by_doc, "doc_id").select("doc_id", "blob", "wanted")
-    return map_batches(joined, cut, "item long, line string, sketch array<long>")
+def _texts(items: pa.Array, column: pa.Array) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([items, column], names=["item", "line"])
 
 
 def similar_lines(lines: DataFrame, k: int, threshold: Fraction):
@@ -197,9 +226,8 @@ def similar_lines(lines: DataFrame, k: int, threshold: Fraction):
         def runs_of(column: pa.Array) -> list[np.ndarray]:
             texts = column.to_pylist()
             new = list({t for t in texts if t not in seen})
-            data, offsets = text_bytes(pa.array(new, pa.string()))
-            for a, b in runs(offsets, CHUNK_BYTES // 2):
-                values, bounds = char_runs(Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), k)
+            for a, b, own in _lines_of(pa.array(new, pa.string())):
+                values, bounds = char_runs(own, k)
                 for i in range(b - a):
                     seen[new[a + i]] = np.unique(values[bounds[i] : bounds[i + 1]])
             return [seen[t] for t in texts]
@@ -219,41 +247,46 @@ def similar_lines(lines: DataFrame, k: int, threshold: Fraction):
 
 
 def dropped_lines(docs: DataFrame, k: int = K, threshold: Fraction | float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, dropped): places of the lines to drop, for documents that have any."""
+    """(doc_id, row, dropped): places of the lines to drop, for rows that have any."""
     threshold = Fraction(threshold).limit_denominator(1000)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").where("doc_id is not null and text is not null")
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    stored = scratch.put(line_table(docs, k, bands, rows))
+    each = line_table(docs).select("doc_id", "row", F.explode(F.arrays_zip("place", "h1", "h2")).alias("l"))
+    each = scratch.put(each.select("doc_id", "row", "l.place", "l.h1", "l.h2"))
+    # One row per distinct line: its first place, and a number that later steps call it by.
+    first = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "place")).alias("at"))
+    first = scratch.put(first.select("h1", "h2", "at.*", F.monotonically_increasing_id().alias("item")))
+    marked = scratch.put(fetch_lines(docs, first, keys_and_sketches(k, bands, rows), "item long, keys array<long>, sketch array<long>").dropDuplicates(["item"]))
 
     def marks_of(some: DataFrame) -> DataFrame:
-        line = F.floor(F.col("at") / bands).cast("int")
-        return some.select(F.posexplode("keys").alias("at", "key"), "item").select("key", F.get("item", line).alias("item"))
-
-    sample = stored.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SHARE)) == 0)
-    members = star_members(marks_of(stored), ["key"], marks_of(sample), scratch)
-    each = stored.select("doc_id", F.explode(F.arrays_zip("place", "item")).alias("l")).select("doc_id", "l.place", "l.item")
-    each = scratch.put(each)
-    scratch.drop(stored)
-    by_doc = each.groupBy("item", "doc_id").agg(F.min("place").alias("place"))
-    first = scratch.put(by_doc.groupBy("item").agg(F.min_by("place", "doc_id").alias("place"), F.min("doc_id").alias("doc_id")))
-    paired = members.select("item").unionByName(members.select(F.col("lo").alias("item"))).distinct()
-    lines = scratch.put(fetch_lines(docs, first.join(paired, "item"), k).dropDuplicates(["item"]))
-    _, found = linked_components(members, ["key"], similar_lines(lines, k, threshold), scratch, lines.select("item", "sketch"), jaccard_possible(threshold))
+        return some.select("item", F.explode("keys").alias("key")).select("key", "item")
+
+    members = star_members(marks_of(marked), ["key"], marks_of(marked.where(F.pmod(F.xxhash64("item"), F.lit(HOT_SHARE)) == 0)), scratch)
+    paired = scratch.put(members.select("item").unionByName(members.select(F.col("lo").alias("item"))).distinct())
+    sketches = scratch.put(marked.select("item", "sketch").join(paired, "item"))
+    scratch.drop(marked)
+    lines = scratch.put(fetch_lines(docs, first.join(paired, "item"), _texts, "item long, line string").dropDuplicates(["item"]))
+    _, found = linked_components(members, ["key"], similar_lines(lines, k, threshold), scratch, sketches, jaccard_possible(threshold))
     # The line of a component that stands first is kept; all others of its items, and repeats of items, go.
     of_item = first.join(found.withColumnRenamed("node", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
-    lead = of_item.groupBy("component").agg(F.min_by("item", F.struct("doc_id", "place")).alias("kept"))
-    fate = of_item.join(lead, "component").select(
-        "item", F.when(F.col("item") == F.col("kept"), F.col("doc_id")).alias("keep_doc"), F.when(F.col("item") == F.col("kept"), F.col("place")).alias("keep_place")
-    )
-    lost = each.distinct().join(fate, "item").where(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & F.col("place").eqNullSafe(F.col("keep_place"))))
-    return lost.groupBy("doc_id").agg(F.collect_set("place").alias("dropped"))
+    lead = of_item.groupBy("component").agg(F.min(F.struct("doc_id", "row", "place", "item")).alias("kept"))
+    kept = F.when(F.col("item") == F.col("kept.item"), F.struct("doc_id", "row", "place"))
+    fate = scratch.put(of_item.join(lead, "component").select("h1", "h2", kept.alias("kept")))
+    for used in (members, paired, sketches, lines, first):
+        scratch.drop(used)
+    lost = each.join(fate, ["h1", "h2"]).where(~F.struct("doc_id", "row", "place").eqNullSafe(F.col("kept")))
+    lost = scratch.put(lost.groupBy("doc_id", "row").agg(F.collect_set("place").alias("dropped")))
+    scratch.drop(each)
+    scratch.drop(fate)
+    return lost
 
 
 def line_dedup(docs: DataFrame, k: int = K, threshold: Fraction | float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with the text that is left, and n_lines, n_dropped and emptied."""
-    lost = dropped_lines(docs, k, threshold, bands, rows).withColumnsRenamed({"doc_id": "__doc", "dropped": "__dropped"})
+    lost = dropped_lines(docs, k, threshold, bands, rows).withColumnsRenamed({"doc_id": "__doc", "row": "__row", "dropped": "__dropped"})
     others = [c for c in docs.columns if c != "text"]
-    joined = _packed_texts(docs, others).join(lost, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    texts = _packed_texts(docs.withColumn("__own", _row()), [*others, "__own"])
+    joined = texts.join(lost, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.col("__own") == F.col("__row")), "left").drop("__doc", "__row", "__own")
 
     def rewrite(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         open_up = zstandard.ZstdDecompressor().decompress

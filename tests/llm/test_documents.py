@@ -169,6 +169,18 @@ def test_lines_near_the_threshold_are_found(spark):
     assert len(want) == 800 and got == want
 
 
+def test_rows_that_share_a_doc_id_lose_only_their_own_lines(spark):
+    x, y, z = (prose(np.random.default_rng(i), 20) for i in range(3))
+    rows = [(0, x), (1, x), (1, y), (2, f"{z}\n{x}"), (2, f"{y}\n{z}"), (2, f"{y}\n{z}"), (3, None), (None, x)]
+    got = line_dedup.line_dedup(spark.createDataFrame([(*r, 1, "h") for r in rows], "doc_id long, text string, row int, h1 string")).collect()
+    assert len(got) == len(rows) and {r.h1 for r in got} == {"h"}
+    alone = sorted((r.doc_id, r.text, r.emptied) for r in got if r.doc_id in (0, 1))
+    assert alone == [(0, x, False), (1, "", True), (1, y, False)]
+    twice = sorted(r.text for r in got if r.doc_id == 2)
+    assert twice in (sorted([z, "", ""]), sorted(["", z, z]))
+    assert [r.text for r in got if r.doc_id is None] == [x] and [r.text for r in got if r.doc_id == 3] == [None]
+
+
 def test_line_dedup_empty(none):
     assert line_dedup.line_dedup(none).count() == 0
 

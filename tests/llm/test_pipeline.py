@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not th
 
 def test_registration():
     names = set(entry.queries())
-    assert "pipeline" in names and {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert "pipeline" in names and {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
