@@ -6,11 +6,13 @@ pieces, at least one of them has to stand in the document unchanged. One automat
 each whole document; where a piece stands, the window in which the item could lie is verified with Myers' bit-parallel
 distance, so nothing within the budget is missed and nothing beyond it is reported.
 
-The items travel to the tasks by broadcasts of bounded size: a larger benchmark takes more passes over the documents,
-and its text passes the driver block by block.
+Items of fewer than ``exact_chars`` normalised characters would be met by chance with edits: they have to stand in a
+document word for word, from the start of a word to the end of one.
 
-Cases: null and empty texts of documents or items match nothing; items of fewer than ``min_chars`` normalised characters
-are not looked for, since they occur by chance; repeated rows and items are searched each; rows without doc_id are
+The items are normalised and grouped by Spark and travel to the tasks by broadcasts of bounded size: a larger benchmark
+takes more passes over the documents, and the driver holds one block of it at a time.
+
+Cases: null and empty texts of documents or items match nothing, nor do items without a letter or digit; repeated rows and items are searched each; rows without doc_id are
 searched like others. A tie of places goes to the first. Empty tables give an empty result. Further columns of the
 documents are not looked at here, and kept by ``decontaminate``.
 """
@@ -31,7 +33,7 @@ from staylens.llm.scan import map_batches
 from staylens.llm.stored import Scratch
 
 RATE = 0.08
-MIN_CHARS = 40
+EXACT_CHARS = 40
 # Characters of benchmark text in one pass; bounds the automaton in each task.
 BLOCK_CHARS = 4_000_000
 
@@ -101,12 +103,13 @@ def myers(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
 class _Searcher:
     items: list[tuple[int, str]]
     rate: float
+    exact_chars: int = EXACT_CHARS
 
     def __post_init__(self):
         self.budget = []
         found: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text) in enumerate(self.items):
-            k, cuts = pieces(len(text), self.rate)
+            k, cuts = pieces(len(text), self.rate if len(text) >= self.exact_chars else 0)
             self.budget.append(k)
             for a, b in cuts:
                 found.setdefault(text[a:b], []).append((n, a))
@@ -122,6 +125,8 @@ class _Searcher:
             at = last + 1 - size
             for n, offset in where:
                 k, m = self.budget[n], len(self.items[n][1])
+                if m < self.exact_chars and (text[at - 1 : at] not in ("", " ") or text[last + 1 : last + 2] not in ("", " ")):
+                    continue
                 lo, hi = at - offset - k, at - offset + m + k
                 own = windows.setdefault(n, [])
                 if own and own[-1][0] <= lo <= own[-1][1]:
@@ -154,23 +159,28 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, min_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Normalised items in blocks of bounded size, each text once with its smallest id."""
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """Normalised items in blocks of bounded size, each normalised text once with its smallest id."""
+
+    def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = pa.array([normalise(t.as_py()) for t in batch.column(1)], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["item_id", "text"])
+
+    given = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    least = map_batches(given, over, f"item_id {kind}, text string").where("text != ''").groupBy("text").agg(F.min("item_id").alias("item_id"))
     block, size = [], 0
-    least = benchmark.where("text is not null and item_id is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     for row in least.orderBy("item_id").toLocalIterator():
-        text = normalise(row["text"])
-        if len(text) >= min_chars:
-            block.append((row["item_id"], text))
-            size += len(text)
-            if size >= BLOCK_CHARS:
-                yield block
-                block, size = [], 0
+        block.append((row["item_id"], row["text"]))
+        size += len(row["text"])
+        if size >= BLOCK_CHARS:
+            yield block
+            block, size = [], 0
     if block:
         yield block
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """doc_id, item_id, distance, and start and end of the passage in characters of the document's own text.
 
     One row for each document and item that occurs in it, at the place with the fewest edits. Equal item texts go by
@@ -180,13 +190,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_ch
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, distance int, start int, end int"
-    blocks = list(_blocks(benchmark, min_chars))
-    out = None
-    for block in blocks:
+    out, blocks = None, _blocks(benchmark)
+    block = next(blocks, None)
+    while block is not None:
         sent = spark.sparkContext.broadcast(block)
 
         def over(batch: pa.RecordBatch, sent=sent) -> Iterator[pa.RecordBatch]:
-            searcher = _searcher(sent.value, rate)
+            searcher = _searcher(sent.value, rate, exact_chars)
             rows = []
             for d, value in enumerate(batch.column(1)):
                 text = value.as_py() or ""
@@ -201,32 +211,34 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_ch
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], names=["doc_id", "item_id", "distance", "start", "end"])
 
         found = map_batches(docs.select("doc_id", "text"), over, schema)
-        if len(blocks) > 1:
-            found = scratch.put(found)
+        block = next(blocks, None)
+        if block is not None or out is not None:
+            found = scratch.put(found)  # one pass per block, and its items need not stay
+            sent.unpersist()
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-_BUILT: dict[tuple[int, float], _Searcher] = {}
+_BUILT: dict[tuple[int, float, int], _Searcher] = {}
 
 
-def _searcher(block: list[tuple[int, str]], rate: float) -> _Searcher:
+def _searcher(block: list[tuple[int, str]], rate: float, exact_chars: int) -> _Searcher:
     """The automaton of a block, built once in each worker (a broadcast value stays the same object there)."""
-    key = (id(block), rate)
+    key = (id(block), rate, exact_chars)
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = _Searcher(block, rate)
+        _BUILT[key] = _Searcher(block, rate, exact_chars)
     return _BUILT[key]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """The rows of ``docs``, as they are, in which no item stands."""
     at = docs.columns.index("text")
-    for block in _blocks(benchmark, min_chars):
+    for block in _blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def over(batch: pa.RecordBatch, sent=sent) -> Iterator[pa.RecordBatch]:
-            searcher = _searcher(sent.value, rate)
+            searcher = _searcher(sent.value, rate, exact_chars)
             clean = [not searcher.search(normalise(t.as_py() or "")) for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -7,7 +7,7 @@ dictionary), so the calibration, a logistic curve fitted on labelled rows that n
 evidence together with both and gives a score from 0 to 1.
 
 The fit uses a bounded sample of the labelled rows: per label at most ``rows`` rows, the first by a hash of the id, and of
-those at most ``megabytes`` of text; one half trains the dictionary, the other the curve. Scoring reads every whole text.
+those at most ``megabytes`` of text, a text that no longer fits being passed over; one half trains the dictionary, the other the curve. Scoring reads every whole text.
 
 Cases: null texts count as empty and are scored like them; rows without doc_id are scored and not held out; if a label
 has too few rows to train a dictionary on, every score is the share of label 1 among the labelled rows (0.5 without
@@ -101,14 +101,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         kept = some.join(docs.select("doc_id", "text").where("text is not null and text != ''"), "doc_id")
-        kept = kept.withColumn("size", F.octet_length("text")).where(F.col("size") <= megabytes * 20_000)
+        # A text that does not fit any more is passed over, and those after it are tried.
         own, left = [], megabytes << 20
-        for r in kept.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").toLocalIterator():
+        size = F.octet_length("text")
+        for r in kept.where(size <= left).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").toLocalIterator():
             raw = r["text"].encode()
-            left -= len(raw)
-            if left < 0:
-                break
-            own.append(raw)
+            if len(raw) <= left:
+                left -= len(raw)
+                own.append(raw)
         texts[y] = own
     share = rates.get(1, 0) / sum(rates.values()) if rates else 0.5
     share = min(max(share, 1e-6), 1 - 1e-6)

@@ -209,6 +209,40 @@ def test_decontaminate(spark, docs):
     assert decontaminate.find_items(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_stand_word_for_word(spark):
+    bench = spark.createDataFrame([(1, "E = mc2"), (2, "the Cat, sat"), (3, "..."), (4, "xy"), (5, "THE cat sat")], "item_id long, text string")
+    rows = [(1, "so e=MC2!"), (2, "we mc2 x"), (3, "e mc2s"), (4, "The cat sat"), (5, "the cats sat"), (6, "the cat sad"), (7, "xyz yx"), (8, "a xyz, xy"), (9, "e mc2s e mc2"), (10, "...")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.distance, r.start, r.end) for r in decontaminate.find_items(frame, bench).collect()}
+    assert found == {(1, 1): (0, 3, 8), (4, 2): (0, 0, 11), (8, 4): (0, 7, 9), (9, 1): (0, 7, 12)}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(frame, bench).collect()) == [2, 3, 5, 6, 7, 10]
+
+
+def test_a_benchmark_of_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    items = [(i, prose(rng, 15)) for i in range(9)]
+    frame = spark.createDataFrame([(i, f"{prose(rng, 10)} {t} {prose(rng, 10)}") for i, t in items[::2]] + [(50, prose(rng, 40))], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 250)
+    assert len(list(decontaminate._blocks(bench))) >= 3
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_items(frame, bench).collect()) == [(i, i) for i in range(0, 9, 2)]
+    assert [r.doc_id for r in decontaminate.decontaminate(frame, bench).collect()] == [50]
+
+
+def test_quality_learns_from_long_texts(spark, monkeypatch):
+    """Texts of a megabyte are learned from; one that does not fit into what is left is passed over."""
+    sizes = []
+
+    def stop(size, texts):
+        sizes.append(sorted(len(t) for t in texts))
+        raise quality.zstandard.ZstdError("stop")
+
+    monkeypatch.setattr(quality.zstandard, "train_dictionary", stop)
+    frame = spark.createDataFrame([(i, "x" * 1_000_000) for i in range(4)], "doc_id long, text string")
+    quality.fit(frame, spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int"), megabytes=3)
+    assert sizes == [[1_000_000, 1_000_000]]  # every second of three that fit
+
+
 def test_edit_search_misses_nothing():
     rng = np.random.default_rng(2)
 
