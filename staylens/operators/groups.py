@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,8 +180,9 @@ def density_curve(
     return out.select(*by, (F.lit(lo) + F.col("i") * gap).alias("x"), (F.col("s") / F.col("n")).alias("density"))
 
 
-def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Minimum, quartiles, mean, maximum, deviation and missing values, one row per column."""
+def profile(df: DataFrame, cols: Sequence[str], more: Mapping[str, float] | None = None) -> DataFrame:
+    """Minimum, quartiles, mean, maximum, deviation and missing values, one row per column, and ``more`` quantiles by name."""
+    wanted = {"q1": 0.25, "median": 0.5, "q3": 0.75, **(more or {})}
     long = df.select(*[F.col(c).cast("double") for c in cols]).unpivot([], list(cols), "column", "value")
     simple = long.groupBy("column").agg(
         F.count("value").alias("n"),
@@ -191,8 +192,8 @@ def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.max("value").alias("max"),
         F.stddev_samp("value").alias("sd"),
     )
-    q = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75]).select(
-        "column", *[F.get("q", F.lit(i)).alias(a) for i, a in enumerate(["q1", "median", "q3"])]
+    q = exact_quantiles(long, ["column"], "value", list(wanted.values())).select(
+        "column", *[F.get("q", F.lit(i)).alias(a) for i, a in enumerate(wanted)]
     )
     return simple.join(q, "column", "left")
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.runtime import materialize
+from staylens.runtime import broadcast_if_small, materialize
 
 _RANGE = "__range"
 
@@ -64,44 +64,66 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, name: str = "__
     return df.dropna(subset=[*keys, value]).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(name))
 
 
+# Cells that a span of values is cut into, rows of a wanted cell at which it is looked at value by value, and most rounds.
+CELLS, CELL_ROWS, ROUNDS = 4_096, 200_000, 12
+
+
+def _cells(data: DataFrame, keys: Sequence[str], spans: DataFrame) -> DataFrame:
+    """The cells of ``spans`` that hold a wanted rank, as narrower spans with the ranks that they hold."""
+    t, a, b = F.col("t"), F.col("__a"), F.col("__b")
+    cell = F.when(b > a, F.least(F.floor((t - a) / (b - a) * CELLS), F.lit(CELLS - 1))).otherwise(0)
+    inside = _inside(data, keys, spans.select(*keys, "__a", "__b"))
+    counts = inside.groupBy(*keys, "__a", cell.alias("__cell")).agg(F.min("t").alias("__lo"), F.max("t").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*keys, "__a").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__cell")
+    out = counts.join(spans.drop("__b", "__n"), [*keys, "__a"]).withColumn("__first", F.col("__base") + F.col("__before"))
+    out = out.withColumn("__held", F.filter("__ranks", lambda r: (r >= F.col("__first")) & (r < F.col("__first") + F.col("__n")))).where(F.size("__held") > 0)
+    named = {"__lo": "__a", "__hi": "__b", "__first": "__base", "__held": "__ranks", "__n": "__n", "__total": "__total"}
+    return out.select(*keys, *[F.col(c).alias(n) for c, n in named.items()])
+
+
+def _inside(data: DataFrame, keys: Sequence[str], spans: DataFrame) -> DataFrame:
+    """Rows within a span of their group, with its bounds; the spans of a group do not overlap."""
+    within = F.col("t").between(F.col("__a"), F.col("__b"))
+    if not keys:
+        return data.join(F.broadcast(spans), within)  # two spans for each wanted quantile at most
+    return data.join(broadcast_if_small(spans), list(keys)).where(within)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Quantiles with linear interpolation per group, as array column ``q`` beside the count ``n``.
 
-    Only the ranges that hold a wanted position are looked at row by row.
+    A selection without a sort: the span of each group's values, on a scale that long tails do not stretch, is cut into
+    cells that one aggregate counts. Only cells that hold a wanted rank are cut further, and looked at value by value
+    when they hold few rows. All groups and quantiles go through the same passes.
     """
-    counts = value_counts(df.select(*keys, F.col(value).cast("double").alias("v")), keys, "v", "n")
-    stored = _stored_ranges(counts, keys, [F.col("v")])
-    offsets = _offsets(stored, keys, {"n": F.col("n")})
-    whole = Window.partitionBy(*keys)
-    offsets = materialize(offsets.withColumn("total", F.sum("n__in").over(whole)))
-
-    def position(q: float) -> Column:
-        return F.lit(float(q)) * (F.col("total") - 1)
-
-    wanted = {}
+    keys = list(keys)
+    v = F.col("v")
+    scale = F.least(F.greatest(F.signum(v) * F.log1p(F.abs(v)), F.lit(-1000.0)), F.lit(1000.0))
+    data = df.select(*keys, F.col(value).cast("double").alias("v")).dropna(subset=[*keys, "v"]).withColumn("t", scale)
+    total = F.col("__total")
+    places = {}
     for i, q in enumerate(probs):
-        wanted[f"lo{i}"] = F.floor(position(q))
-        wanted[f"hi{i}"] = F.ceil(position(q))
-    holds = F.lit(False)
-    for c in wanted.values():
-        holds = holds | ((c >= F.col("n__off")) & (c < F.col("n__off") + F.col("n__in")))
-
-    on = [*keys, _RANGE]
-    inside = Window.partitionBy(*on).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    near = (
-        stored.join(offsets.where(holds), on)
-        .withColumn("first", F.col("n__off") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .withColumn("last", F.col("first") + F.col("n") - 1)
-    )
+        at = F.lit(float(q)) * (total - 1)
+        places[f"__lo{i}"], places[f"__hi{i}"] = F.floor(at), F.ceil(at)
+    spans = data.groupBy(*keys).agg(F.min("t").alias("__a"), F.max("t").alias("__b"), F.count(F.lit(1)).alias("__total")).where(total > 0)
+    spans = materialize(spans.withColumns({"__base": F.lit(0).cast("long"), "__ranks": F.array_distinct(F.array(*places.values())), "__n": total}))
+    for _ in range(ROUNDS):
+        # A cell whose values are all equal on the scale is not cut any further.
+        if spans.where((F.col("__b") > F.col("__a")) & (F.col("__n") > CELL_ROWS)).isEmpty():
+            break
+        spans = materialize(_cells(data, keys, spans))
+    values = _inside(data, keys, spans.select(*keys, "__a", "__b")).groupBy(*keys, "__a", "v").agg(F.count(F.lit(1)).alias("__m"))
+    earlier = Window.partitionBy(*keys, "__a").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    near = values.withColumn("__first", F.coalesce(F.sum("__m").over(earlier), F.lit(0))).join(spans.drop("__b", "__n", "__ranks"), [*keys, "__a"])
+    first = F.col("__base") + F.col("__first")
     picked = near.groupBy(*keys).agg(
-        F.max("total").alias("total"),
-        *[F.max(F.when(c.between(F.col("first"), F.col("last")), F.col("v"))).alias(a) for a, c in wanted.items()],
+        F.max("__total").alias("__total"),
+        *[F.max(F.when(c.between(first, first + F.col("__m") - 1), v)).alias(name) for name, c in places.items()],
     )
-    values = [
-        F.col(f"lo{i}") + (position(q) - F.floor(position(q))) * (F.col(f"hi{i}") - F.col(f"lo{i}"))
-        for i, q in enumerate(probs)
-    ]
-    return picked.select(*keys, F.col("total").alias("n"), F.array(*values).alias("q"))
+    between = [F.lit(float(q)) * (total - 1) - F.floor(F.lit(float(q)) * (total - 1)) for q in probs]
+    found = [F.col(f"__lo{i}") + F.when(w > 0, w * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).otherwise(0.0) for i, w in enumerate(between)]
+    return picked.select(*keys, total.alias("n"), F.array(*found).alias("q"))
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], q: float) -> DataFrame:

@@ -17,6 +17,33 @@ def hot(spark):
     return pdf, spark.createDataFrame(pdf).repartition(7)
 
 
+@pytest.mark.parametrize("cells, rows", [(4096, 200_000), (3, 2), (2, 1)])
+def test_quantiles_by_selection(spark, monkeypatch, cells, rows):
+    monkeypatch.setattr(ranks, "CELLS", cells)
+    monkeypatch.setattr(ranks, "CELL_ROWS", rows)
+    monkeypatch.setattr(ranks, "ROUNDS", 4)
+    rng = np.random.default_rng(8)
+    groups = {
+        "normal": rng.normal(size=101), "tail": np.exp(rng.normal(size=60) * 30), "ties": rng.integers(0, 3, 90).astype(float), "one": np.array([5.0]),
+        "signs": np.array([-1e308, -2.0, -1e-300, 0.0, -0.0, 1e-300, 3.0, 1e308]), "same": np.full(40, -7.25), "two": np.array([1.0, 2.0]),
+    }
+    data = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("normal", None), (None, 1.0), ("empty", None)]
+    probs = [0.0, 0.1, 0.25, 0.5, 0.95, 1.0]
+    df = spark.createDataFrame(data, "k string, v double").repartition(4)
+    got = {r.k: r for r in ranks.exact_quantiles(df, ["k"], "v", probs).collect()}
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        assert got[k].n == len(vs)
+        want = np.sort(vs)
+        for q, x in zip(probs, got[k].q):
+            at = q * (len(vs) - 1)
+            lo, hi = want[int(np.floor(at))], want[int(np.ceil(at))]
+            assert lo <= x <= hi and x == pytest.approx(lo + (at - np.floor(at)) * (hi - lo), rel=1e-12) if np.isfinite(hi - lo) else True
+    alone = ranks.exact_quantiles(df.where("k = 'normal'"), [], "v", [0.5]).collect()
+    assert alone[0].q[0] == pytest.approx(np.median(groups["normal"]))
+    assert ranks.exact_quantiles(df.where("false"), ["k"], "v", [0.5]).count() == 0
+
+
 def test_exact_quantiles(hot):
     pdf, df = hot
     got = {r.k: r for r in ranks.exact_quantiles(df, ["k"], "v", [0, 0.25, 0.5, 0.95, 1]).collect()}
