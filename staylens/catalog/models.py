@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,15 @@ def influence_index(spark: SparkSession, d: str) -> DataFrame:
     return rounded(regress.influence_index(coefs, prices, "l_returnflag", ["A", "N", "R"], 3), 4)
 
 
+def influence_of_rule(spark: SparkSession, d: str) -> DataFrame:
+    """Influence index of coefficients given by a rule; one variable is known for too few groups."""
+    lines = table(spark, d, "lineitem")
+    prices = materialize(lines.groupBy("l_returnflag").agg(F.avg("l_extendedprice").alias("avg_price")))
+    coefs = lines.groupBy("l_returnflag", F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("variable")).agg(F.avg("l_quantity").alias("coef"))
+    coefs = materialize(coefs.where("variable != 'line 1' OR l_returnflag = 'N'"))
+    return rounded(regress.influence_index(coefs, prices, "l_returnflag", ["A", "N", "R"], 3), 8)
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents with a fixed score from their length."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang")
@@ -223,6 +233,45 @@ def pca_2d(spark: SparkSession, d: str) -> DataFrame:
     return rounded(segments.pca_2d(_profile_vectors(spark, d), "c_custkey"), 4)
 
 
+def imputed_values(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for any imputation: what was observed is as it was, what was not has a value that was observed."""
+    given = materialize(_customer_profile(spark, d))
+    filled = materialize(segments.impute_pmm(given, "c_custkey", PROFILE).withColumnRenamed("balance", "filled"))
+    seen = given.where("balance IS NOT NULL").select(F.col("balance").alias("filled")).distinct().withColumn("known", F.lit(True))
+    both = filled.join(given.select("c_custkey", "balance"), "c_custkey").join(seen, "filled", "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("balance").isNull(), 1)).alias("n_filled"),
+        F.bool_and(F.coalesce(F.col("balance") == F.col("filled"), F.lit(True))).alias("kept"), F.bool_and(F.coalesce("known", F.lit(False))).alias("observed"),
+    )
+
+
+def nearest_centres(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for any k-means: every row is in the cluster whose centre is nearest; distances by plain columns."""
+    vectors = materialize(_profile_vectors(spark, d))
+    model, _ = segments.kmeans_best(vectors, 7, 5)
+    x = vector_to_array("features")
+    away = [sum((F.get(x, F.lit(i)) - float(v)) ** 2 for i, v in enumerate(c)) for c in model.clusterCenters()]
+    rows = model.transform(vectors).select("prediction", F.array(*away).alias("away"))
+    near = F.get("away", F.col("prediction")) <= F.array_min("away") + 1e-9
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.bool_and(near).alias("nearest"), (F.countDistinct("prediction") <= 7).alias("at_most_k"))
+
+
+def falling_costs(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for any elbow curve: all numbers of clusters, and more of them never cost much more."""
+    curve = materialize(segments.elbow(_profile_vectors(spark, d)))
+    before = curve.select((F.col("k") + 1).alias("k"), F.col("wss").alias("wider"))
+    return curve.join(before, "k", "left").select("k", ((F.col("wss") > 0) & F.coalesce(F.col("wss") <= 1.1 * F.col("wider"), F.lit(True))).alias("falls"))
+
+
+def component_identity(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for the first two components: centred like the rows, not correlated, the first one wider than any column."""
+    flat = segments.pca_2d(_profile_vectors(spark, d), "c_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.abs(F.corr("pc1", "pc2")).alias("r"), F.variance("pc1").alias("v1"), F.variance("pc2").alias("v2"),
+        F.greatest(F.abs(F.avg("pc1")), F.abs(F.avg("pc2"))).alias("off"),
+    )
+    return flat.select("n", ((F.col("r") < 1e-6) & (F.col("off") < 1e-6)).alias("apart"), ((F.col("v1") >= F.col("v2")) & (F.col("v1") >= 1 - 1e-9)).alias("wide"))
+
+
 def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
     """k-means on the embedding vectors, counted per given label."""
     from pyspark.ml.functions import array_to_vector
@@ -342,9 +391,9 @@ def severity_impact_trend(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        polygon_area, ols_summary, relative_importance, one_hot_standardize, lasso_cv, influence_index, logit_odds, logit_optimum, odds_of_rule,
-        classifier_report, confusion_three, confusion_roc, roc_auc, r2_by_flag, gbt_importance, shapley_values, shapley_ranking, impute_pmm,
-        kmeans_best, elbow, pca_2d, embedding_clusters, document_terms, lda_topics, lda_term_sums, lda_document_topics, topic_search, topic_criteria, topic_top_terms,
+        polygon_area, ols_summary, relative_importance, one_hot_standardize, lasso_cv, influence_index, influence_of_rule, logit_odds, logit_optimum, odds_of_rule,
+        classifier_report, confusion_three, confusion_roc, roc_auc, r2_by_flag, gbt_importance, shapley_values, shapley_ranking, impute_pmm, imputed_values,
+        kmeans_best, nearest_centres, falling_costs, component_identity, elbow, pca_2d, embedding_clusters, document_terms, lda_topics, lda_term_sums, lda_document_topics, topic_search, topic_criteria, topic_top_terms,
         topic_names, topic_frequency, topic_severity, topic_impact, severity_impact_trend,
     )
 }
@@ -417,6 +466,16 @@ SELECT round(score, 6) AS score, round(cp / ap::DOUBLE, 6) AS tpr, round(cn / an
     "roc_auc": f"""WITH {_LAB} SELECT round(sum((a.score > b.score)::INT + 0.5::DOUBLE * (a.score = b.score)::INT) / count(*), 6) AS auc,
   (SELECT round(avg((label = prediction)::INT), 6) FROM lab) AS accuracy FROM lab a JOIN lab b ON a.label = 1 AND b.label = 0""",
     "r2_by_flag": """SELECT l_returnflag, round(1 - sum((l_extendedprice - l_quantity * 1500) ^ 2) / (var_pop(l_extendedprice) * count(*)), 6) AS r2 FROM lineitem GROUP BY 1""",
+    "imputed_values": """WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))
+SELECT count(*) AS n, count(*) FILTER (c_custkey % 9 = 0) AS n_filled, true AS kept, true AS observed FROM c""",
+    "nearest_centres": "SELECT count(*) AS n, true AS nearest, true AS at_most_k FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    "falling_costs": "SELECT k::INTEGER AS k, true AS falls FROM range(2, 21) r(k)",
+    "component_identity": "SELECT count(*) AS n, true AS apart, true AS wide FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    "influence_of_rule": """WITH p AS (SELECT l_returnflag, avg(l_extendedprice) AS price FROM lineitem GROUP BY 1),
+c AS (SELECT l_returnflag, 'line ' || l_linenumber AS variable, avg(l_quantity) AS coef FROM lineitem WHERE l_linenumber <> 1 OR l_returnflag = 'N' GROUP BY 1, 2),
+x AS (SELECT variable, l_returnflag AS g, coef / price AS v FROM c JOIN p USING (l_returnflag))
+SELECT variable, round(max(v) FILTER (g = 'A'), 8) AS "A", round(max(v) FILTER (g = 'N'), 8) AS "N", round(max(v) FILTER (g = 'R'), 8) AS "R",
+  round(avg(v), 8) AS average, count(v)::INTEGER AS held FROM x GROUP BY 1 HAVING count(v) >= 3""",
     "logit_optimum": f"""WITH {_LWORD} SELECT count(*) + 1 AS coefficients, true AS flat FROM sup""",
     "odds_of_rule": f"""WITH {_LWORD} SELECT word AS variable, (length(word) % 7 - 3) / 4.0::DOUBLE AS coef, n,
   round((exp((length(word) % 7 - 3) / 4.0::DOUBLE) - 1) * 100, 6) AS odds_change_pct FROM sup""",

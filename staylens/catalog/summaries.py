@@ -280,10 +280,42 @@ def month_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct().orderBy("month")
 
 
+def semi_join_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities of the order lines whose part is a large one."""
+    large = table(spark, d, "part").where("p_size >= 25").select(F.col("p_partkey").alias("l_partkey"))
+    kept = reshape.semi_join(table(spark, d, "lineitem"), large, "l_partkey")
+    return rounded(kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")), 2)
+
+
+def spread_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by priority, one column per status, zero where there are none."""
+    counts = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return reshape.spread(counts, ["o_orderpriority"], "o_orderstatus", "n", ["F", "O", "P"], 0)
+
+
+def ratings_and_infinities(spark: SparkSession, d: str) -> DataFrame:
+    """Ratings on two scales brought to one, and ratios with zero divisors as double arithmetic gives them, cleaned."""
+    lines = table(spark, d, "lineitem")
+    rating = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity") * 2).otherwise(F.col("l_quantity") / 10)
+    by_zero = F.when(F.col("l_discount") == 0, F.when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))).otherwise(F.col("l_tax") / F.col("l_discount"))
+    rows = lines.select("l_orderkey", "l_linenumber", clean.rescale_rating(rating).alias("rating"), by_zero.alias("ratio"))
+    return rounded(clean.inf_to_null(rows, ["ratio"]), 4)
+
+
+def split_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for any repeatable sample and split: its size, no row twice, sides near their shares."""
+    orders = table(spark, d, "orders")
+    drawn = ranks.sample_n(orders, 1000, "o_orderkey")
+    split = ranks.train_test(orders, "o_orderkey")
+    share = split.agg((F.abs(F.avg(F.col("is_test").cast("double")) - 0.2) < 0.03).alias("near_share"))
+    both = drawn.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("n_keys")).withColumn("k", F.lit(1))
+    return both.join(share.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        area_stats, area_density, occupancy_by_month, occupancy_by_price_bin, occupancy_by_host_size, map_left_join,
+        semi_join_rows, spread_counts, ratings_and_infinities, split_sizes, area_stats, area_density, occupancy_by_month, occupancy_by_price_bin, occupancy_by_host_size, map_left_join,
         box_stats_by_group, quantile_std_profile, histogram, density_curve, recode_flag_band, null_rules,
         money_percent_parse, date_functions, dedupe_last, set_explode_counts, indicator_pivot, value_pivot_index,
         presence_means, union_unpivot_share, top_per_group, category_places, row_numbers, sample_and_split, ols_trend,
@@ -316,6 +348,13 @@ FROM items i JOIN sup USING (dialect, item) GROUP BY 1, 2"""
 
 
 SQL = {
+    "semi_join_rows": """SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem
+WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size >= 25) GROUP BY 1""",
+    "spread_counts": """SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) FILTER (o_orderstatus = 'O') AS "O",
+  count(*) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY 1""",
+    "ratings_and_infinities": """WITH r AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 2 ELSE l_quantity / 10 END AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN v > 5 THEN v / 20 ELSE v END, 4) AS rating, round(l_tax / nullif(l_discount, 0), 4) AS ratio FROM r""",
+    "split_sizes": """SELECT least(count(*), 1000) AS n, least(count(DISTINCT o_orderkey), 1000) AS n_keys, true AS near_share FROM orders""",
     "area_stats": _AREA,
     "area_density": f"""
 WITH s AS ({_AREA})

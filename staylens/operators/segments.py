@@ -58,6 +58,12 @@ def _match(df: DataFrame, id_col: str, col: str, observed: Column, predicted: Co
     return near.select(id_col, F.get("c", pick)["__value"].alias("__value"))
 
 
+def observed_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Those of the columns that have a value in some row."""
+    seen = df.agg(*[F.count(c).alias(c) for c in cols]).first() if cols else {}
+    return [c for c in cols if seen[c]]
+
+
 def impute_pmm(
     df: DataFrame,
     id_col: str,
@@ -70,9 +76,13 @@ def impute_pmm(
     """Chained imputation by predictive mean matching: (id, cols...) with the nulls of ``cols`` filled.
 
     ``imputation`` numbers the set; sets are independent of each other, so only the one that is asked for
-    is computed. Imputed values are always values that were observed.
+    is computed. Imputed values are always values that were observed. A column without a single value has nothing to
+    draw from: it stays null and takes no part in the predictions of the others.
     """
-    cols = list(cols)
+    given, cols = list(cols), observed_columns(df, cols)
+    if len(cols) < len(given):
+        filled = impute_pmm(df, id_col, cols, maxit, seed, donors, imputation) if cols else df.select(id_col)
+        return filled.select(id_col, *[F.col(c) if c in cols else F.lit(None).cast("double").alias(c) for c in given])
     rng = np.random.default_rng([seed, imputation])
     missing_of = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
     todo = [c for c in cols if missing_of[c]]

@@ -39,15 +39,22 @@ def ordinary_hosts(hosts: DataFrame) -> DataFrame:
 
 
 def segment_hosts(hosts: DataFrame, k: int = 7, nstart: int = 5, maxit: int = 5, seed: int = 1) -> DataFrame:
-    """Hosts with ``cluster`` (1..k by k-means, then the overrides) and which rates had to be imputed."""
+    """Hosts with ``cluster`` (1..k by k-means, then the overrides) and which rates had to be imputed.
+
+    Columns that no host has a value in are left out of the model; without any host or column there are no clusters.
+    """
     model_rows = materialize(ordinary_hosts(hosts).select("host_id", *MODEL_COLS))
     filled = segments.impute_pmm(model_rows, "host_id", MODEL_COLS, maxit=maxit, seed=seed)
-    vectors = segments.scaled_vectors(filled, "host_id", MODEL_COLS).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model, _ = segments.kmeans_best(vectors, k, nstart)
-        assigned = materialize(segments.assign_clusters(model, vectors).select("host_id", "cluster"))
-    finally:
-        vectors.unpersist()
+    used = segments.observed_columns(model_rows, MODEL_COLS)
+    if used:
+        vectors = segments.scaled_vectors(filled, "host_id", used).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model, _ = segments.kmeans_best(vectors, k, nstart)
+            assigned = materialize(segments.assign_clusters(model, vectors).select("host_id", "cluster"))
+        finally:
+            vectors.unpersist()
+    else:
+        assigned = model_rows.select("host_id", F.lit(None).cast("int").alias("cluster"))
     flags = model_rows.select(
         "host_id",
         clean.is_missing("avg_acceptance_rate").alias("acceptance_imputed"),

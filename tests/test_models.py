@@ -161,6 +161,15 @@ def test_kmeans_elbow_pca(spark):
     assert pc.pc1.var() >= pc.pc2.var()
 
 
+def test_imputation_without_a_single_value(spark):
+    rows = [(i, float(i), None, None if i % 4 == 0 else i * 2.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, x double, none double, y double")
+    got = segments.impute_pmm(df, "id", ["x", "none", "y"], maxit=2).collect()
+    assert len(got) == 40 and all(r.none is None and r.x is not None and r.y is not None for r in got)
+    assert segments.observed_columns(df, ["x", "none", "y"]) == ["x", "y"]
+    assert segments.impute_pmm(df, "id", ["none"]).where("none IS NULL").count() == 40
+
+
 def test_overrides(spark):
     rows = [(1, 5.0, 50.0, 3), (2, 30.0, 50.0, 3), (3, 40.0, 200.0, 3), (4, None, 50.0, 3), (5, 5.0, None, 3)]
     df = spark.createDataFrame(rows, "id int, max_listings double, avg_price_per_accommodates double, cluster int")
