@@ -403,14 +403,9 @@ WITH g AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
 s AS (SELECT o_orderstatus, count(*) AS n,
       0.9 * least(stddev_samp(o_totalprice), (quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25)) / 1.34) * count(*) ^ (-0.2) AS h
       FROM orders GROUP BY 1),
-p AS (SELECT o_orderstatus, n, h, lo, hi, lo - 4 * h AS l0, (hi - lo + 8 * h) / 511 AS st, (o_totalprice - (lo - 4 * h)) / ((hi - lo + 8 * h) / 511) AS place
-      FROM orders JOIN s USING (o_orderstatus), g),
-b AS (SELECT o_orderstatus, n, h, lo, hi, l0, st, floor(place) AS cell, 1 - (place - floor(place)) AS w FROM p
-      UNION ALL SELECT o_orderstatus, n, h, lo, hi, l0, st, floor(place) + 1, place - floor(place) FROM p),
-c AS (SELECT o_orderstatus, n, h, lo, hi, l0, st, cell, sum(w) AS w FROM b GROUP BY ALL)
-SELECT o_orderstatus, round(lo + i * (hi - lo) / 63, 4) AS x,
-       round(1e6 * sum(w * exp(-0.5 * ((lo + i * (hi - lo) / 63 - (l0 + cell * st)) / h) ^ 2) / (h * sqrt(2 * pi()))) / any_value(n), 4) AS density
-FROM c, range(64) t(i) GROUP BY o_orderstatus, lo, hi, i""",
+pts AS (SELECT i, lo + i * (hi - lo) / 63 AS x FROM g, range(64) t(i))
+SELECT o_orderstatus, round(any_value(x), 4) AS x, round(1e6 * sum(exp(-0.5 * ((x - o_totalprice) / h) ^ 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 4) AS density
+FROM orders JOIN s USING (o_orderstatus), pts GROUP BY o_orderstatus, i""",
     "recode_flag_band": """
 SELECT CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS status,
        CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'strict' ELSE o_orderpriority END AS priority,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from staylens.functions.clean import ratio, strict_avg, strict_max
 from staylens.operators.ranks import exact_quantiles
-from staylens.runtime import materialize
+from staylens.runtime import broadcast_if_small, materialize
 
 
 def area_stats(df: DataFrame, keys: Sequence[str], id_col: str, price: str) -> DataFrame:
@@ -111,6 +111,10 @@ def box_stats(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     return spread.select(*keys, "n", "whisker_lo", "q1", "median", "q3", "whisker_hi", "outliers")
 
 
+# Width of a density cell in bandwidths, moments kept of each cell, and bandwidths past which a kernel is below 1e-17.
+CELL_WIDTH, MOMENTS, REACH = 0.25, 12, 9.0
+
+
 def density_curve(
     df: DataFrame,
     col: str,
@@ -120,64 +124,66 @@ def density_curve(
 ) -> DataFrame:
     """Gaussian kernel density per group at ``points`` places, as rows (by..., x, density).
 
-    Rule-of-thumb bandwidth 0.9 min(sd, IQR/1.34) n^-0.2. The values are first spread linearly over a
-    fixed fine grid, so past that one aggregate the work no longer depends on the number of rows.
+    Rule-of-thumb bandwidth 0.9 min(sd, IQR/1.34) n^-0.2. A value is seen by its cell, a quarter of a bandwidth wide: one
+    aggregate keeps twelve moments of the values about the middle of each cell, from which the Hermite series gives the
+    sum of their kernels to double precision. A cell only meets the places within nine bandwidths of it, so past that
+    aggregate the work follows the places, not the rows. Null and NaN values and groups of null name are left out; groups
+    of one value have a bandwidth of 1; without values there is no curve.
     """
     by = list(by)
-    x = F.col(col).cast("double")
-    data = df.select(*by, x.alias("x")).dropna()
+    keys = by or ["__all"]
+    data = df.select(*by, F.col(col).cast("double").alias("x")).dropna()
     if limits:
         data = data.where(F.col("x").between(*limits))
-        lo, hi = map(float, limits)
-    else:
-        lo, hi = data.agg(F.min("x"), F.max("x")).first()
-        if lo is None:
-            lo = hi = 0.0
     if not by:
         data = data.withColumn("__all", F.lit(0))
-    keys = by or ["__all"]
-
-    iqr = exact_quantiles(data, keys, "x", [0.25, 0.75]).select(
-        *keys, (F.get("q", F.lit(1)) - F.get("q", F.lit(0))).alias("iqr")
-    )
-    spread = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd")
+    stats = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )
+    quartiles = exact_quantiles(data, keys, "x", [0.25, 0.75]).select(*keys, (F.get("q", F.lit(1)) - F.get("q", F.lit(0))).alias("iqr"))
     narrow = F.least(F.col("sd"), F.col("iqr") / 1.34)
     narrow = F.when(narrow > 0, narrow).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
-    widths = materialize(
-        spread.join(iqr, keys).select(*keys, "n", (0.9 * narrow * F.pow(F.col("n"), F.lit(-0.2))).alias("h"))
-    )
-
-    # linear binning: each value gives its weight to the two grid points around it
-    grid = max(points, 512)
-    left = F.lit(lo) - 4 * F.col("h")
-    step = (F.lit(hi - lo) + 8 * F.col("h")) / (grid - 1)
-    place = (F.col("x") - left) / step
-    cell = F.floor(place)
-    binned = (
-        data.join(widths, keys)
-        .select(*keys, "n", "h", cell.alias("cell"), (place - cell).alias("frac"))
-        .groupBy(*keys, "n", "h", "cell")
-        .agg(F.sum(1 - F.col("frac")).alias("w0"), F.sum("frac").alias("w1"))
-        .select(
-            *keys, "n", "h",
-            F.inline(
-                F.array(
-                    F.struct(F.col("cell").alias("cell"), F.col("w0").alias("w")),
-                    F.struct((F.col("cell") + 1).alias("cell"), F.col("w1").alias("w")),
-                )
-            ),
-        )
-        .groupBy(*keys, "n", "h", "cell").agg(F.sum("w").alias("w"))
+    groups = materialize(stats.join(quartiles, keys).select(*keys, "n", "lo", "hi", (0.9 * narrow * F.pow(F.col("n"), F.lit(-0.2))).alias("h")))
+    lo, hi = map(float, limits) if limits else groups.agg(F.min("lo"), F.max("hi")).first()
+    if lo is None:
+        lo = hi = 0.0
+    groups = groups.drop("lo", "hi")
+
+    place = (F.col("x") - lo) / (F.col("h") * CELL_WIDTH)
+    off = (place - F.floor(place) - 0.5) * CELL_WIDTH
+    cells = (
+        data.join(broadcast_if_small(groups.select(*keys, "h")), keys)
+        .select(*keys, F.floor(place).alias("cell"), off.alias("d"))
+        .groupBy(*keys, "cell")
+        .agg(F.array(*[F.sum(F.pow("d", F.lit(k))) / math.factorial(k) for k in range(MOMENTS)]).alias("m"))
     )
     gap = (hi - lo) / (points - 1) if points > 1 else 0.0
-    at = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    curve = binned.select(*keys, "n", "h", (left + F.col("cell") * step).alias("g"), "w", at)
-    z = (F.lit(lo) + F.col("i") * gap - F.col("g")) / F.col("h")
-    kernel = F.exp(-0.5 * z * z) / (F.col("h") * math.sqrt(2 * math.pi))
-    out = curve.groupBy(*keys, "i", "n").agg(F.sum(F.col("w") * kernel).alias("s"))
-    return out.select(*by, (F.lit(lo) + F.col("i") * gap).alias("x"), (F.col("s") / F.col("n")).alias("density"))
+    middle = lo + (F.col("cell") + 0.5) * CELL_WIDTH * F.col("h")
+    if gap:
+        first = F.greatest(F.ceil((middle - REACH * F.col("h") - lo) / gap), F.lit(0))
+        last = F.least(F.floor((middle + REACH * F.col("h") - lo) / gap), F.lit(points - 1))
+    else:
+        first, last = F.lit(0), F.lit(points - 1)
+    near = cells.join(broadcast_if_small(groups), keys).select(*keys, "h", "m", middle.alias("c"), first.cast("long").alias("a"), last.cast("long").alias("b"))
+    near = near.where("a <= b").select(*keys, "h", "m", "c", F.explode(F.sequence("a", "b")).alias("i"))
+    t = (lo + F.col("i") * gap - F.col("c")) / F.col("h")
+    near = near.select(*keys, "i", "m", t.alias("t"))
+
+    def term(state: Column, moment: Column) -> Column:
+        # the next Hermite polynomial from the last two
+        return F.struct(
+            (state["k"] + 1).alias("k"),
+            (F.col("t") * state["p"] - state["k"] * state["q"]).alias("p"),
+            state["p"].alias("q"),
+            (state["s"] + state["p"] * moment).alias("s"),
+        )
+
+    start = F.struct(F.lit(0.0).alias("k"), F.lit(1.0).alias("p"), F.lit(0.0).alias("q"), F.lit(0.0).alias("s"))
+    sums = near.groupBy(*keys, "i").agg(F.sum(F.exp(-0.5 * F.col("t") * F.col("t")) * F.aggregate("m", start, term, lambda s: s["s"])).alias("s"))
+    places = groups.select(*keys, "n", "h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    out = places.join(sums, [*keys, "i"], "left")
+    density = F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
+    return out.select(*by, (lo + F.col("i") * gap).alias("x"), density.alias("density"))
 
 
 def profile(df: DataFrame, cols: Sequence[str], more: Mapping[str, float] | None = None) -> DataFrame:

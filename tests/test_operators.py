@@ -109,7 +109,23 @@ def test_density_matches_direct_sum(spark):
     iqr = np.subtract(*np.quantile(x, [0.75, 0.25]))
     h = 0.9 * min(x.std(ddof=1), iqr / 1.34) * len(x) ** -0.2
     want = [np.exp(-0.5 * ((g - x) / h) ** 2).sum() / (len(x) * h * np.sqrt(2 * np.pi)) for g in curve.x]
-    assert np.allclose(curve.density, want, atol=2e-3)
+    assert np.allclose(curve.density, want, rtol=1e-9, atol=1e-12)
+
+
+def test_density_of_far_values_single_values_and_nothing(spark):
+    x = np.concatenate([np.random.default_rng(3).normal(size=300), [1e6]])
+    rows = [("a", float(v)) for v in x] + [("b", 5.0), ("b", None), ("b", float("nan")), (None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    curve = groups.density_curve(df, "v", ["k"], points=40).toPandas().sort_values(["k", "x"])
+    assert curve.groupby("k").size().to_dict() == {"a": 40, "b": 40}
+    iqr = np.subtract(*np.quantile(x, [0.75, 0.25]))
+    h = 0.9 * min(x.std(ddof=1), iqr / 1.34) * len(x) ** -0.2
+    part = curve[curve.k == "a"]
+    want = [np.exp(-0.5 * ((g - x) / h) ** 2).sum() / (len(x) * h * np.sqrt(2 * np.pi)) for g in part.x]
+    assert np.allclose(part.density, want, rtol=1e-8, atol=1e-12)
+    assert groups.density_curve(df.where("v > 1e9 and not isnan(v)"), "v", ["k"]).count() == 0
+    one = groups.density_curve(df.where("k = 'b'"), "v", points=1).collect()
+    assert [(r.x, round(r.density, 6)) for r in one] == [(5.0, round(1 / (0.9 * np.sqrt(2 * np.pi)), 6))]
 
 
 def test_adjacent_pairs_and_pivots(spark):
