@@ -88,20 +88,16 @@ def ngram_recode(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("doc_id", *_digest("terms"))
 
 
-def _lexicon(tokens: DataFrame) -> DataFrame:
+def _lexicon(words: DataFrame) -> DataFrame:
     """Word classes by length and lemmas without a final s, for every word of the documents."""
     word_class = F.element_at(F.array(*[F.lit(x) for x in ("NOUN", "VERB", "ADJ", "PROPN")]), F.length("word") % 4 + 1)
-    return tokens.select("word").distinct().select(
-        F.col("word").alias("token"), F.regexp_replace("word", "s$", "").alias("lemma"), word_class.alias("upos")
-    )
+    return words.select(F.col("word").alias("token"), F.regexp_replace("word", "s$", "").alias("lemma"), word_class.alias("upos"))
 
 
 def term_stream(spark: SparkSession, d: str) -> DataFrame:
-    docs, tokens = _documents(spark, d), _tokens(spark, d)
-    lexicon = materialize(_lexicon(tokens))
-    annotated = terms.annotate(docs, "doc_id", "text", lexicon)
-    prepared = terms.prepare_terms(annotated, "doc_id", materialize(_stop_words(tokens)), min_bigram=50)
-    return prepared.select("doc_id", *_digest("terms"))
+    counts = materialize(terms.term_counts(_tokens(spark, d)))
+    stop_words = ranks.top_k(counts, "n", 20, ["word"]).select("word")
+    return terms.term_stream(_documents(spark, d), "doc_id", "text", _lexicon(counts), stop_words, min_bigram=50).select("doc_id", *_digest("terms"))
 
 
 def _bing(tokens: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Tokens, term streams and bigram networks.
 
 One row holds one document, so the order of its tokens is handled inside the row. Only counts cross the
-network.
+network, as long as word table and phrases are small enough for the tasks; beyond that tokens are joined.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.functions import text as tx
+from staylens.operators import phrases as ph
 from staylens.operators.reshape import anti_join
 from staylens.runtime import broadcast_if_small, materialize
 
@@ -43,8 +44,15 @@ def recode_ngrams(df: DataFrame, keys: Sequence[str], tokens: str, phrases: Data
     """Join known n-grams in a token array: the first token becomes the compound, the others null.
 
     ``phrases`` is a table (by..., phrase) of any size; ``keys`` name one row of ``df``. Overlaps are
-    settled from left to right.
+    settled from left to right. Few phrases become an automaton that every row is walked with, without a shuffle.
     """
+    by = list(by)
+    listed = ph.shipped(phrases.select(*by, "phrase").where("phrase is not null").distinct())
+    if listed is not None:
+        rows = zip(zip(*[listed.column(c).to_pylist() for c in by]) if by else [()] * listed.num_rows, listed.column("phrase").to_pylist())
+        automaton = ph.PhraseAutomaton((section, parts) for section, phrase in rows for parts in ph.cuts(phrase, n))
+        source = df.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], *keys, F.col(tokens).cast("array<string>").alias(tokens))
+        return source.mapInArrow(ph.recode_batches(automaton, len(by), len(keys)), source.drop(*[f"__by{i}" for i in range(len(by))]).schema)
     grams = F.transform(
         tx.token_windows(tokens, n),
         lambda w: F.struct(
@@ -134,6 +142,42 @@ def prepare_terms(
     return both.select(*keys, terms.alias("terms"))
 
 
+def term_stream(
+    df: DataFrame, id_col: str, text: str, lexicon: DataFrame, stop_words: DataFrame, min_bigram: int = 50, by: Sequence[str] = ()
+) -> DataFrame:
+    """Content terms of each text as an ordered array, straight from the texts: rows (by..., id, terms).
+
+    The same as ``prepare_terms`` over ``annotate``, one row for each row of ``df`` whose text holds a token, but tokens
+    never leave their row: a first pass counts pairs of content lemmas, summed in the tasks, a second one walks each text
+    with one automaton over the frequent pairs of all sections. A word table or phrases beyond the bound of a broadcast
+    go the way of joins.
+    """
+    by = list(by)
+    spark = df.sparkSession
+    low = F.lower("token").alias("low")
+    entries = lexicon.groupBy(low).agg(F.min(F.struct("lemma", "upos")).alias("__e"))
+    entries = entries.select("low", "__e.lemma", (~F.col("__e.upos").isin(FUNCTION_CLASSES)).alias("content"))
+    stops = stop_words.select(F.lower("word").alias("low")).distinct().withColumn("stop", F.lit(True))
+    words = entries.join(stops, "low", "full").where("low is not null").fillna(False, ["content", "stop"])
+    words = ph.shipped(materialize(words))
+    rows = df.select(*by, id_col, F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)).alias("__tokens")).where(F.size("__tokens") > 0)
+    found = None
+    if words is not None:
+        table = spark.sparkContext.broadcast(ph.WordTable(words))
+        kinds = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by], "src string", "dst string", "n long"])
+        pairs = rows.select(*by, "__tokens").mapInArrow(ph.pair_batches(table, BIGRAM_KEEPS, len(by), by), kinds)
+        pairs = pairs.groupBy(*by, "src", "dst").agg(F.sum("n").alias("n")).where(F.col("n") > min_bigram)
+        found = ph.shipped(materialize(pairs.drop("n")))
+    if found is None:
+        return prepare_terms(annotate(df, id_col, text, lexicon, by), id_col, stop_words, min_bigram, by)
+    of = list(zip(*[found.column(c).to_pylist() for c in by])) if by else [()] * found.num_rows
+    frequent = zip(of, zip(found.column("src").to_pylist(), found.column("dst").to_pylist()))
+    automaton = spark.sparkContext.broadcast(ph.PhraseAutomaton(frequent, [p.split(" ") for p in ALWAYS_JOINED]))
+    dashed = ph.PhraseAutomaton([], [p.split(" ") for p in ALWAYS_JOINED_DASHED])
+    schema = rows.select(*by, id_col, F.col("__tokens").alias("terms")).schema
+    return rows.mapInArrow(ph.term_batches(table, automaton, dashed, len(by)), schema)
+
+
 def pair_counts(docs: DataFrame, tokens: str, by: Sequence[str] = ()) -> DataFrame:
     """How often one token follows another, over all documents."""
     pairs = docs.select(*by, F.inline(tx.neighbours(tokens)))

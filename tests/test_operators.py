@@ -173,11 +173,61 @@ def test_term_stream(spark):
     # pairs that are frequent among the content words are joined where they touch in the text
     joined = terms.prepare_terms(annotated, "id", stop, min_bigram=2)
     assert joined.first().terms == ["easy check", "big room", "check", "noon", "check-in", "late"]
+    for least, want in ((5, rare), (2, joined)):
+        assert [tuple(r) for r in terms.term_stream(docs, "id", "text", lex, stop, least).orderBy("id").collect()] == [tuple(r) for r in want.orderBy("id").collect()]
     edges, vertices = terms.bigram_network(joined)
     assert {(r.src, r.dst, r.n) for r in edges.collect()} >= {("easy check", "big room", 3), ("check-in", "late", 3)}
     assert {r.word: r.n for r in vertices.collect()}["check-in"] == 6
 
 
+@pytest.mark.parametrize("by", [[], ["section"]])
+def test_term_stream_in_rows_equals_joins(spark, monkeypatch, by):
+    rng = np.random.default_rng(5)
+    vocabulary = ["check", "in", "out", "-", "Room", "rooms", "beds", "View", "views", "sea", ",", "1", "checkin"]
+    docs = [(i, "st"[i % 2], " ".join(rng.choice(vocabulary, rng.integers(0, 40)))) for i in range(80)] + [(80, "s", None), (81, "t", "")]
+    df = spark.createDataFrame(docs, "id int, section string, text string")
+    lex = spark.createDataFrame(
+        [("check", "check", "VERB"), ("in", "in", "ADP"), ("out", "out", "ADP"), ("room", "room", "NOUN"), ("rooms", "room", "NOUN"), ("view", None, "NOUN"),
+         ("views", "view", "NOUN"), ("views", "vue", "X"), ("sea", "sea", "PROPN"), ("beds", "bed", None), ("checkin", "checkin", "NOUN")],
+        "token string, lemma string, upos string",
+    )
+    stop = spark.createDataFrame([("in",), ("ROOM",), (None,)], "word string")
+
+    def rows(out):
+        return sorted(tuple(r) for r in out.select("id", *by, "terms").collect())
+
+    inside = rows(terms.term_stream(df, "id", "text", lex, stop, 12, by))
+    assert any(" " in t for r in inside for t in r[-1])
+    assert inside == rows(terms.prepare_terms(terms.annotate(df, "id", "text", lex, by), "id", stop, 12, by))
+    monkeypatch.setattr(terms.ph, "shipped", lambda table: None)
+    assert inside == rows(terms.term_stream(df, "id", "text", lex, stop, 12, by))
+
+
+def test_phrase_automaton_takes_longest_from_the_left(spark):
+    from staylens.operators.phrases import PhraseAutomaton, cuts, leftmost
+
+    a = PhraseAutomaton([("s", ("a", "b")), ("s", ("a", "b", "c")), ("t", ("b", "a")), ("s", ("c", "a"))])
+    tokens = ["a", "b", "c", "a", "b", "x", "a", "b", "a"]
+    row_end = np.array([5, 5, 5, 5, 5, 9, 9, 9, 9])
+    length = a.walk(a.codes(tokens), row_end, a.start(["s"] * 9))
+    assert length.tolist() == [3, 0, 2, 2, 0, 0, 2, 0, 0]
+    assert [x.tolist() for x in leftmost(length)] == [[0, 3, 6], [False, True, True, False, True, False, False, True, False]]
+    assert a.walk(a.codes(tokens), row_end, a.start(["t"] * 9)).tolist() == [0, 0, 0, 0, 0, 0, 0, 2, 0]
+    assert not a.walk(a.codes(tokens), row_end, a.start(["none"] * 9)).any()
+    assert set(cuts("a b c", 2)) == {("a", "b c"), ("a b", "c")}
+
+
+def test_recode_ngrams_by_section_and_odd_tokens(spark, monkeypatch):
+    df = spark.createDataFrame(
+        [(1, "s", ["a", "b", "a b", "c"]), (2, "t", ["a", "b"]), (3, "s", None), (4, "s", []), (5, "s", ["a", None, "b"])], "id int, section string, t array<string>"
+    )
+    phrases = spark.createDataFrame([("s", "a b"), ("s", "a b c"), ("t", "b a"), ("t", None)], "section string, phrase string")
+    want = {1: ["a b", None, "a b c", None], 2: ["a", "b"], 3: [], 4: [], 5: ["a", None, "b"]}
+    assert {r.id: r.t for r in terms.recode_ngrams(df, ["id"], "t", phrases, 2, ["section"]).collect()} == want
+    monkeypatch.setattr(terms.ph, "shipped", lambda table: None)
+    assert {r.id: r.t for r in terms.recode_ngrams(df, ["id"], "t", phrases, 2, ["section"]).collect()} == want
+
+
 def test_sentiment_and_language(spark):
     reviews = spark.createDataFrame([(1, "Good good bad"), (2, "awful awful"), (3, "nothing here"), (4, None)], "id int, text string")
     bing = spark.createDataFrame([("good", "positive"), ("bad", "negative"), ("awful", "negative")], "word string, sentiment string")
