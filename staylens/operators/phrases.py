@@ -10,11 +10,13 @@ from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from staylens.functions.text import ARRIVAL_TERMS
-from staylens.runtime import BROADCAST_ROWS
 
 
 class PhraseAutomaton:
@@ -110,9 +112,16 @@ def cuts(phrase: str, n: int) -> Iterator[tuple[str, ...]]:
         yield tuple(" ".join(words[a:b]) for a, b in zip(edges[:-1], edges[1:]))
 
 
-def shipped(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> pa.Table | None:
-    """A table for the tasks, if it has no more rows than the bound; else None."""
-    return df.toArrow() if df.limit(max_rows + 1).count() <= max_rows else None
+# Most rows and most bytes of text of a table that tasks are given; each worker holds one copy.
+SHIPPED_ROWS, SHIPPED_BYTES = 2_000_000, 64 << 20
+
+
+def shipped(df: DataFrame, max_rows: int = SHIPPED_ROWS) -> pa.Table | None:
+    """A table for the tasks, if it was counted to be within the bounds; else None."""
+    text = [F.octet_length(f.name) for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    size = sum((F.coalesce(t, F.lit(0)) for t in text), F.lit(0)).cast("long")
+    rows, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return df.toArrow() if rows <= max_rows and held <= SHIPPED_BYTES else None
 
 
 class Stream:
@@ -169,10 +178,11 @@ def _over_rows(sections: list[tuple], root_of) -> np.ndarray:
     return np.array([root[s] for s in sections], np.int64)
 
 
-def recode_batches(automaton: PhraseAutomaton, by: int, keys: int):
+def recode_batches(phrases, by: int, keys: int):
     """Over batches (by..., keys..., tokens): the same with the phrases of the section joined; a null array becomes empty."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = phrases.value
         for batch in batches:
             s = Stream(batch.column(by + keys))
             root = _over_rows(_sections(batch, by), automaton.start)
@@ -185,18 +195,37 @@ def recode_batches(automaton: PhraseAutomaton, by: int, keys: int):
 
 
 class WordTable:
-    """Lemma, content and stop flags by lower-case token, from a table (low, lemma, content, stop)."""
+    """Lemma, content and stop flags by lower-case token, from a table (low, lemma, content, stop).
+
+    Columns sorted by a hash of the token, so that a copy takes little more than its text; a hit is compared as text.
+    """
 
     def __init__(self, table: pa.Table):
-        columns = [table.column(c).to_pylist() for c in ("low", "lemma", "content", "stop")]
-        self.entries = {low: (lemma, content, stop) for low, lemma, content, stop in zip(*columns)}
+        hashes = self._hash(table.column("low").to_pylist())
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        table = table.take(pa.array(order)).combine_chunks()
+        self.low, self.lemma = (table.column(c).combine_chunks() for c in ("low", "lemma"))
+        self.content, self.stop = (table.column(c).to_numpy().astype(bool) for c in ("content", "stop"))
+        again = np.flatnonzero(self.hashes[1:] == self.hashes[:-1]) + 1
+        self.twins = {self.low[int(i)].as_py(): int(i) for i in again}
+
+    @staticmethod
+    def _hash(tokens: Sequence[str]) -> np.ndarray:
+        return pd.util.hash_array(np.array(tokens, object), categorize=False) if len(tokens) else np.empty(0, np.uint64)
 
     def of(self, tokens: Sequence[str | None]) -> tuple[list[str | None], list[str | None], np.ndarray, np.ndarray]:
         """Lower case, lemma, content and stop flag of distinct tokens; an unknown token is its own lemma, without content."""
         low = [None if t is None else t.lower() for t in tokens]
-        found = [self.entries.get(t, (None, False, False)) for t in low]
-        lemma = [t if f[0] is None else f[0] for t, f in zip(tokens, found)]
-        return low, lemma, np.array([f[1] for f in found], bool), np.array([f[2] for f in found], bool)
+        if not len(self.hashes):
+            return low, list(tokens), np.zeros(len(low), bool), np.zeros(len(low), bool)
+        at = np.minimum(np.searchsorted(self.hashes, self._hash(["" if t is None else t for t in low])), len(self.hashes) - 1)
+        if self.twins:
+            at = np.array([self.twins.get(t, i) for t, i in zip(low, at.tolist())], np.int64)
+        places = pa.array(at)
+        known = np.array([a == b for a, b in zip(self.low.take(places).to_pylist(), low)], bool)
+        lemma = [x if k and x is not None else t for t, k, x in zip(tokens, known.tolist(), self.lemma.take(places).to_pylist())]
+        return low, lemma, self.content[at] & known, self.stop[at] & known
 
 
 def pair_batches(words, keeps: Sequence[str], by: int, names: Sequence[str]):
@@ -228,11 +257,15 @@ def pair_batches(words, keeps: Sequence[str], by: int, names: Sequence[str]):
 
 
 def term_batches(words, phrases, dashed: PhraseAutomaton, by: int):
-    """Over batches (by..., id, tokens): the content terms in order, phrases of lemmas and dashed phrases of tokens joined."""
+    """Over batches (by..., id, tokens): the content terms in order, phrases of lemmas and dashed phrases of tokens joined.
+
+    Rows without a token are left out here, since a filter before would have the texts cut twice.
+    """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, automaton = words.value, phrases.value
         for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(by + 1)), 0))
             s = Stream(batch.column(by + 1))
             _, lemma, content, stop = table.of(s.distinct)
             out = Strings(lemma)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from staylens.functions import text as tx
 from staylens.operators import phrases as ph
 from staylens.operators.reshape import anti_join
-from staylens.runtime import broadcast_if_small, materialize
+from staylens.runtime import BROADCAST_ROWS, broadcast_if_small, materialize
 
 # Word classes that carry no content.
 FUNCTION_CLASSES = ["PUNCT", "PROPN", "PART", "SYM", "CCONJ", "AUX", "X", "NUM"]
@@ -47,10 +47,11 @@ def recode_ngrams(df: DataFrame, keys: Sequence[str], tokens: str, phrases: Data
     settled from left to right. Few phrases become an automaton that every row is walked with, without a shuffle.
     """
     by = list(by)
-    listed = ph.shipped(phrases.select(*by, "phrase").where("phrase is not null").distinct())
+    listed = ph.shipped(phrases.select(*by, "phrase").where("phrase is not null").distinct(), BROADCAST_ROWS)
     if listed is not None:
         rows = zip(zip(*[listed.column(c).to_pylist() for c in by]) if by else [()] * listed.num_rows, listed.column("phrase").to_pylist())
         automaton = ph.PhraseAutomaton((section, parts) for section, phrase in rows for parts in ph.cuts(phrase, n))
+        automaton = df.sparkSession.sparkContext.broadcast(automaton)
         source = df.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], *keys, F.col(tokens).cast("array<string>").alias(tokens))
         return source.mapInArrow(ph.recode_batches(automaton, len(by), len(keys)), source.drop(*[f"__by{i}" for i in range(len(by))]).schema)
     grams = F.transform(
@@ -160,14 +161,14 @@ def term_stream(
     stops = stop_words.select(F.lower("word").alias("low")).distinct().withColumn("stop", F.lit(True))
     words = entries.join(stops, "low", "full").where("low is not null").fillna(False, ["content", "stop"])
     words = ph.shipped(materialize(words))
-    rows = df.select(*by, id_col, F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)).alias("__tokens")).where(F.size("__tokens") > 0)
+    rows = df.select(*by, id_col, F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)).alias("__tokens"))
     found = None
     if words is not None:
         table = spark.sparkContext.broadcast(ph.WordTable(words))
         kinds = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by], "src string", "dst string", "n long"])
         pairs = rows.select(*by, "__tokens").mapInArrow(ph.pair_batches(table, BIGRAM_KEEPS, len(by), by), kinds)
         pairs = pairs.groupBy(*by, "src", "dst").agg(F.sum("n").alias("n")).where(F.col("n") > min_bigram)
-        found = ph.shipped(materialize(pairs.drop("n")))
+        found = ph.shipped(materialize(pairs.drop("n")), BROADCAST_ROWS)
     if found is None:
         return prepare_terms(annotate(df, id_col, text, lexicon, by), id_col, stop_words, min_bigram, by)
     of = list(zip(*[found.column(c).to_pylist() for c in by])) if by else [()] * found.num_rows

@@ -199,7 +199,7 @@ def test_term_stream_in_rows_equals_joins(spark, monkeypatch, by):
     inside = rows(terms.term_stream(df, "id", "text", lex, stop, 12, by))
     assert any(" " in t for r in inside for t in r[-1])
     assert inside == rows(terms.prepare_terms(terms.annotate(df, "id", "text", lex, by), "id", stop, 12, by))
-    monkeypatch.setattr(terms.ph, "shipped", lambda table: None)
+    monkeypatch.setattr(terms.ph, "shipped", lambda *a: None)
     assert inside == rows(terms.term_stream(df, "id", "text", lex, stop, 12, by))
 
 
@@ -217,6 +217,18 @@ def test_phrase_automaton_takes_longest_from_the_left(spark):
     assert set(cuts("a b c", 2)) == {("a", "b c"), ("a b", "c")}
 
 
+def test_word_table_tells_equal_hashes_apart(monkeypatch):
+    import pyarrow as pa
+
+    from staylens.operators.phrases import WordTable
+
+    monkeypatch.setattr(WordTable, "_hash", staticmethod(lambda tokens: np.array([len(t) for t in tokens], np.uint64)))
+    rows = {"low": ["aa", "bb", "c", "dd"], "lemma": ["x", None, "z", "w"], "content": [True, True, False, False], "stop": [False, False, True, True]}
+    low, lemma, content, stop = WordTable(pa.table(rows)).of(["AA", "bb", "C", "dd", "ee", None])
+    assert low == ["aa", "bb", "c", "dd", "ee", None] and lemma == ["x", "bb", "z", "w", "ee", None]
+    assert content.tolist() == [True, True, False, False, False, False] and stop.tolist() == [False, False, True, True, False, False]
+
+
 def test_recode_ngrams_by_section_and_odd_tokens(spark, monkeypatch):
     df = spark.createDataFrame(
         [(1, "s", ["a", "b", "a b", "c"]), (2, "t", ["a", "b"]), (3, "s", None), (4, "s", []), (5, "s", ["a", None, "b"])], "id int, section string, t array<string>"
@@ -224,7 +236,7 @@ def test_recode_ngrams_by_section_and_odd_tokens(spark, monkeypatch):
     phrases = spark.createDataFrame([("s", "a b"), ("s", "a b c"), ("t", "b a"), ("t", None)], "section string, phrase string")
     want = {1: ["a b", None, "a b c", None], 2: ["a", "b"], 3: [], 4: [], 5: ["a", None, "b"]}
     assert {r.id: r.t for r in terms.recode_ngrams(df, ["id"], "t", phrases, 2, ["section"]).collect()} == want
-    monkeypatch.setattr(terms.ph, "shipped", lambda table: None)
+    monkeypatch.setattr(terms.ph, "shipped", lambda *a: None)
     assert {r.id: r.t for r in terms.recode_ngrams(df, ["id"], "t", phrases, 2, ["section"]).collect()} == want
 
 
