@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from staylens.catalog.base import rounded, table
 from staylens.functions import clean
 from staylens.functions import text as tx
-from staylens.operators import groups, language, ranks, sentiment, terms
+from staylens.operators import groups, language, ranks, sentiment, tagger, terms
 from staylens.runtime import materialize, spread
 from staylens.sources import links
 
@@ -100,6 +100,22 @@ def term_stream(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_stream(_documents(spark, d), "doc_id", "text", _lexicon(counts), stop_words, min_bigram=50).select("doc_id", *_digest("terms"))
 
 
+def word_tagger(spark: SparkSession, d: str) -> DataFrame:
+    """Words whose class follows from their last letter: the tagger learns four fifths of the documents and tags the rest."""
+    names = F.array(*[F.lit(x) for x in ("NOUN", "VERB", "ADJ", "PROPN")])
+
+    def annotated(token):
+        word_class = F.element_at(names, F.ascii(F.right(F.lower(token), F.lit(1))) % 4 + 1)
+        return F.struct(token.alias("token"), F.when(token.rlike(r"^[\p{L}\p{N}']"), word_class).otherwise("PUNCT").alias("upos"))
+
+    found = F.regexp_extract_all("text", F.lit(terms.TOKEN_PATTERN), F.lit(0))
+    rows = materialize(_documents(spark, d).select("doc_id", F.transform(found, annotated).alias("tokens")))
+    model = tagger.train_tagger(rows.where(F.col("doc_id") % 5 != 0))
+    held = rows.where(F.col("doc_id") % 5 == 0).select("doc_id", F.col("tokens.upos").alias("truth"), F.col("tokens.token").alias("t"))
+    found = tagger.accuracy_by_class(tagger.tag(held, model, "t", ["truth"]), "truth")
+    return found.select("upos", "n", (F.col("right") >= 0.95 * F.col("n")).alias("nearly_all_right"))
+
+
 def _bing(tokens: DataFrame) -> DataFrame:
     side = F.when(F.col("word").endswith("on"), "positive").when(F.col("word").endswith("re"), "negative")
     return tokens.select("word").distinct().select("word", side.alias("sentiment")).where(F.col("sentiment").isNotNull())
@@ -187,7 +203,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sections_split, section_lengths, tokens_and_counts, bigram_edges, bigram_vertices, bigram_edges_by_language,
-        ngram_recode, term_stream, bing_score, afinn_score, review_scores, sentiment_by_level, negative_split,
+        ngram_recode, term_stream, word_tagger, bing_score, afinn_score, review_scores, sentiment_by_level, negative_split,
         negative_split_density, language_detect, language_kept, link_extract,
     )
 }
@@ -286,6 +302,9 @@ ph AS (SELECT word || ' ' || dst AS phrase FROM nx WHERE dst IS NOT NULL GROUP B
 kept AS (SELECT rec.doc_id, rec.pos, lower(term) AS term FROM rec JOIN ann USING (doc_id, pos) WHERE content AND NOT stp AND term IS NOT NULL)
 SELECT d.doc_id, count(term) AS n_terms, count(*) FILTER (term LIKE '% %') AS n_joined, md5(coalesce(string_agg(term, '|' ORDER BY pos), '')) AS digest
 FROM (SELECT DISTINCT doc_id FROM ann) d LEFT JOIN kept USING (doc_id) GROUP BY 1""",
+    "word_tagger": r"""WITH raw AS (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}'']+|[^\s\p{L}\p{N}'']')) AS token FROM documents WHERE doc_id % 5 = 0)
+SELECT CASE WHEN regexp_matches(token, '^[\p{L}\p{N}'']') THEN (['NOUN', 'VERB', 'ADJ', 'PROPN'])[unicode(right(lower(token), 1)) % 4 + 1] ELSE 'PUNCT' END AS upos,
+  count(*) AS n, true AS nearly_all_right FROM raw GROUP BY 1""",
     "bing_score": f"WITH {_TOK}, {_BING} SELECT doc_id, sum(v)::BIGINT AS bing_sentiment FROM tok JOIN bing USING (word) GROUP BY 1",
     "afinn_score": f"WITH {_TOK}, {_AFINN} SELECT doc_id, sum(v)::BIGINT AS afinn_sentiment FROM tok JOIN afinn USING (word) GROUP BY 1",
     "review_scores": f"WITH {_TOK}, {_BING}, {_AFINN}, {_SCORE} SELECT doc_id, bing_sentiment, afinn_sentiment FROM sc",

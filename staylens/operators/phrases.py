@@ -13,12 +13,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions.text import ARRIVAL_TERMS
 
 
+# Word classes that carry no content.
+FUNCTION_CLASSES = ["PUNCT", "PROPN", "PART", "SYM", "CCONJ", "AUX", "X", "NUM"]
+_WORD = regex.compile(r"[\p{L}\p{N}']")
+
+
 class PhraseAutomaton:
     """A trie over tokens with one root per section.
 
@@ -206,7 +212,8 @@ class WordTable:
         self.hashes = hashes[order]
         table = table.take(pa.array(order)).combine_chunks()
         self.low, self.lemma = (table.column(c).combine_chunks() for c in ("low", "lemma"))
-        self.content, self.stop = (table.column(c).to_numpy().astype(bool) for c in ("content", "stop"))
+        self.classed = table.column("content").is_valid().to_numpy()
+        self.content, self.stop = (pc.fill_null(table.column(c), False).to_numpy().astype(bool) for c in ("content", "stop"))
         again = np.flatnonzero(self.hashes[1:] == self.hashes[:-1]) + 1
         self.twins = {self.low[int(i)].as_py(): int(i) for i in again}
 
@@ -214,31 +221,44 @@ class WordTable:
     def _hash(tokens: Sequence[str]) -> np.ndarray:
         return pd.util.hash_array(np.array(tokens, object), categorize=False) if len(tokens) else np.empty(0, np.uint64)
 
-    def of(self, tokens: Sequence[str | None]) -> tuple[list[str | None], list[str | None], np.ndarray, np.ndarray]:
-        """Lower case, lemma, content and stop flag of distinct tokens; an unknown token is its own lemma, without content."""
+    def of(self, tokens: Sequence[str | None]) -> tuple[list[str | None], list[str | None], np.ndarray, np.ndarray, np.ndarray]:
+        """Lower case, lemma, content and stop flag of distinct tokens, and whether the table has a class for them.
+
+        An unknown token is its own lemma, without content.
+        """
         low = [None if t is None else t.lower() for t in tokens]
         if not len(self.hashes):
-            return low, list(tokens), np.zeros(len(low), bool), np.zeros(len(low), bool)
+            return low, list(tokens), *np.zeros((3, len(low)), bool)
         at = np.minimum(np.searchsorted(self.hashes, self._hash(["" if t is None else t for t in low])), len(self.hashes) - 1)
         if self.twins:
             at = np.array([self.twins.get(t, i) for t, i in zip(low, at.tolist())], np.int64)
         places = pa.array(at)
         known = np.array([a == b for a, b in zip(self.low.take(places).to_pylist(), low)], bool)
         lemma = [x if k and x is not None else t for t, k, x in zip(tokens, known.tolist(), self.lemma.take(places).to_pylist())]
-        return low, lemma, self.content[at] & known, self.stop[at] & known
+        return low, lemma, self.content[at] & known, self.stop[at] & known, self.classed[at] & known
+
+    def content_places(self, s: Stream, content: np.ndarray, classed: np.ndarray, tagger) -> np.ndarray:
+        """Content flag of each place: of its token, or by the class that a tagger finds for a word without one."""
+        if tagger is None:
+            return content[s.code]
+        open_words = ~classed & np.array([t is not None and bool(_WORD.match(t)) for t in s.distinct], bool)
+        if not open_words.any():
+            return content[s.code]
+        meant = np.array([c not in FUNCTION_CLASSES for c in tagger.classes], bool)[tagger.stream(s)]
+        return np.where(open_words[s.code], meant, content[s.code])
 
 
-def pair_batches(words, keeps: Sequence[str], by: int, names: Sequence[str]):
+def pair_batches(words, keeps: Sequence[str], by: int, names: Sequence[str], tagger=None):
     """Over batches (by..., tokens): how often one content lemma follows another, summed within the batch."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words.value
         for batch in batches:
             s = Stream(batch.column(by))
-            low, lemma, content, stop = table.of(s.distinct)
-            kept = content & (~stop | np.array([t in keeps for t in low], bool))
+            low, lemma, content, stop, classed = table.of(s.distinct)
+            kept = ~stop | np.array([t in keeps for t in low], bool)
             out = Strings(lemma)
-            place = np.flatnonzero(kept[s.code])
+            place = np.flatnonzero(table.content_places(s, content, classed, tagger and tagger.value) & kept[s.code])
             code, row = out.start[s.code[place]], s.row[place]
             same = row[1:] == row[:-1]
             sections = _sections(batch, by)
@@ -256,7 +276,7 @@ def pair_batches(words, keeps: Sequence[str], by: int, names: Sequence[str]):
     return over
 
 
-def term_batches(words, phrases, dashed: PhraseAutomaton, by: int):
+def term_batches(words, phrases, dashed: PhraseAutomaton, by: int, tagger=None):
     """Over batches (by..., id, tokens): the content terms in order, phrases of lemmas and dashed phrases of tokens joined.
 
     Rows without a token are left out here, since a filter before would have the texts cut twice.
@@ -267,7 +287,7 @@ def term_batches(words, phrases, dashed: PhraseAutomaton, by: int):
         for batch in batches:
             batch = batch.filter(pc.greater(pc.list_value_length(batch.column(by + 1)), 0))
             s = Stream(batch.column(by + 1))
-            _, lemma, content, stop = table.of(s.distinct)
+            _, lemma, content, stop, classed = table.of(s.distinct)
             out = Strings(lemma)
             root = _over_rows(_sections(batch, by), automaton.start)
             length = automaton.walk(automaton.codes(lemma)[s.code], s.ends, root[s.row])
@@ -277,7 +297,7 @@ def term_batches(words, phrases, dashed: PhraseAutomaton, by: int):
             codes[swallowed] = -1
             for p in starts.tolist():
                 codes[p] = out.code(" ".join(s.distinct[c] for c in s.code[p : p + length[p]].tolist()))
-            kept = (content & ~stop)[s.code] & (codes >= 0)
+            kept = table.content_places(s, content, classed, tagger and tagger.value) & ~stop[s.code] & (codes >= 0)
             bounds = np.concatenate(([0], np.cumsum(kept)))[s.offsets]
             spelt = Strings(_one_spelling(t) for t in out.of)
             yield pa.RecordBatch.from_arrays(

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from staylens.functions import text as tx
 from staylens.operators import phrases as ph
+from staylens.operators.phrases import FUNCTION_CLASSES
 from staylens.operators.reshape import anti_join
+from staylens.operators.tagger import Tagger, tag
 from staylens.runtime import BROADCAST_ROWS, broadcast_if_small, materialize
 
-# Word classes that carry no content.
-FUNCTION_CLASSES = ["PUNCT", "PROPN", "PART", "SYM", "CCONJ", "AUX", "X", "NUM"]
 # Word kept as content while bigrams are looked for, though it is a stop word.
 BIGRAM_KEEPS = ["room"]
 # Phrases that are always joined.
@@ -71,17 +71,24 @@ def recode_ngrams(df: DataFrame, keys: Sequence[str], tokens: str, phrases: Data
     return marked.select(*keys, tx.apply_recode("__t", "__m", n).alias(tokens))
 
 
-def annotate(df: DataFrame, id_col: str, text: str, lexicon: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def annotate(df: DataFrame, id_col: str, text: str, lexicon: DataFrame, keep: Sequence[str] = (), tagger: Tagger | None = None) -> DataFrame:
     """One row per token with lemma and word class from a lexicon (token, lemma, upos).
 
-    A token the lexicon lacks is its own lemma, of class ``PUNCT`` if it is a sign and ``X`` otherwise.
+    A token the lexicon lacks is its own lemma, of class ``PUNCT`` if it is a sign; a word that it has no class for has
+    the class that ``tagger`` finds for its place, and ``X`` without a tagger.
     """
-    tokens = df.select(id_col, *keep, F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))).alias("pos", "token"))
+    texts = df.select(id_col, *keep, F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)).alias("__tokens"))
+    if tagger is None:
+        tokens = texts.select(id_col, *keep, F.posexplode("__tokens").alias("pos", "token"))
+    else:
+        texts = tag(texts, tagger, "__tokens", [id_col, *keep])
+        tokens = texts.select(id_col, *keep, F.posexplode(F.arrays_zip(F.col("__tokens").alias("t"), F.col("upos").alias("c"))).alias("pos", "__p"))
+        tokens = tokens.select(id_col, *keep, "pos", F.col("__p.t").alias("token"), F.col("__p.c").alias("__class"))
     entries = (
         lexicon.groupBy(F.lower("token").alias("__low")).agg(F.min(F.struct("lemma", "upos")).alias("__e"))
     )
     tokens = tokens.withColumn("__low", F.lower("token")).join(broadcast_if_small(entries), "__low", "left")
-    unknown = F.when(F.col("token").rlike(r"^[\p{L}\p{N}']"), "X").otherwise("PUNCT")
+    unknown = F.when(F.col("token").rlike(r"^[\p{L}\p{N}']"), "X" if tagger is None else F.col("__class")).otherwise("PUNCT")
     return tokens.select(
         id_col, *keep, "pos", "token",
         F.coalesce("__e.lemma", "token").alias("lemma"),
@@ -144,7 +151,14 @@ def prepare_terms(
 
 
 def term_stream(
-    df: DataFrame, id_col: str, text: str, lexicon: DataFrame, stop_words: DataFrame, min_bigram: int = 50, by: Sequence[str] = ()
+    df: DataFrame,
+    id_col: str,
+    text: str,
+    lexicon: DataFrame,
+    stop_words: DataFrame,
+    min_bigram: int = 50,
+    by: Sequence[str] = (),
+    tagger: Tagger | None = None,
 ) -> DataFrame:
     """Content terms of each text as an ordered array, straight from the texts: rows (by..., id, terms).
 
@@ -159,24 +173,25 @@ def term_stream(
     entries = lexicon.groupBy(low).agg(F.min(F.struct("lemma", "upos")).alias("__e"))
     entries = entries.select("low", "__e.lemma", (~F.col("__e.upos").isin(FUNCTION_CLASSES)).alias("content"))
     stops = stop_words.select(F.lower("word").alias("low")).distinct().withColumn("stop", F.lit(True))
-    words = entries.join(stops, "low", "full").where("low is not null").fillna(False, ["content", "stop"])
+    words = entries.join(stops, "low", "full").where("low is not null")
     words = ph.shipped(materialize(words))
     rows = df.select(*by, id_col, F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)).alias("__tokens"))
     found = None
     if words is not None:
         table = spark.sparkContext.broadcast(ph.WordTable(words))
+        model = tagger and spark.sparkContext.broadcast(tagger)
         kinds = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by], "src string", "dst string", "n long"])
-        pairs = rows.select(*by, "__tokens").mapInArrow(ph.pair_batches(table, BIGRAM_KEEPS, len(by), by), kinds)
+        pairs = rows.select(*by, "__tokens").mapInArrow(ph.pair_batches(table, BIGRAM_KEEPS, len(by), by, model), kinds)
         pairs = pairs.groupBy(*by, "src", "dst").agg(F.sum("n").alias("n")).where(F.col("n") > min_bigram)
         found = ph.shipped(materialize(pairs.drop("n")), BROADCAST_ROWS)
     if found is None:
-        return prepare_terms(annotate(df, id_col, text, lexicon, by), id_col, stop_words, min_bigram, by)
+        return prepare_terms(annotate(df, id_col, text, lexicon, by, tagger), id_col, stop_words, min_bigram, by)
     of = list(zip(*[found.column(c).to_pylist() for c in by])) if by else [()] * found.num_rows
     frequent = zip(of, zip(found.column("src").to_pylist(), found.column("dst").to_pylist()))
     automaton = spark.sparkContext.broadcast(ph.PhraseAutomaton(frequent, [p.split(" ") for p in ALWAYS_JOINED]))
     dashed = ph.PhraseAutomaton([], [p.split(" ") for p in ALWAYS_JOINED_DASHED])
     schema = rows.select(*by, id_col, F.col("__tokens").alias("terms")).schema
-    return rows.mapInArrow(ph.term_batches(table, automaton, dashed, len(by)), schema)
+    return rows.mapInArrow(ph.term_batches(table, automaton, dashed, len(by), model), schema)
 
 
 def pair_counts(docs: DataFrame, tokens: str, by: Sequence[str] = ()) -> DataFrame:

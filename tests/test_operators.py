@@ -182,6 +182,8 @@ def test_term_stream(spark):
 
 @pytest.mark.parametrize("by", [[], ["section"]])
 def test_term_stream_in_rows_equals_joins(spark, monkeypatch, by):
+    from staylens.operators.tagger import train_tagger
+
     rng = np.random.default_rng(5)
     vocabulary = ["check", "in", "out", "-", "Room", "rooms", "beds", "View", "views", "sea", ",", "1", "checkin"]
     docs = [(i, "st"[i % 2], " ".join(rng.choice(vocabulary, rng.integers(0, 40)))) for i in range(80)] + [(80, "s", None), (81, "t", "")]
@@ -199,6 +201,12 @@ def test_term_stream_in_rows_equals_joins(spark, monkeypatch, by):
     inside = rows(terms.term_stream(df, "id", "text", lex, stop, 12, by))
     assert any(" " in t for r in inside for t in r[-1])
     assert inside == rows(terms.prepare_terms(terms.annotate(df, "id", "text", lex, by), "id", stop, 12, by))
+    # words without a class in the lexicon get one from a tagger, on both ways alike
+    kind = "tokens array<struct<token: string, upos: string>>"
+    model = train_tagger(spark.createDataFrame([([("big", "ADJ"), ("beds", "NOUN"), ("1", "NUM"), ("in", "ADP"), (",", "PUNCT"), (".", "PUNCT")],)] * 3, kind))
+    tagged = rows(terms.term_stream(df, "id", "text", lex, stop, 12, by, model))
+    assert tagged != inside and any("beds" in t or "bed" in t for r in tagged for t in r[-1])
+    assert tagged == rows(terms.prepare_terms(terms.annotate(df, "id", "text", lex, by, model), "id", stop, 12, by))
     monkeypatch.setattr(terms.ph, "shipped", lambda *a: None)
     assert inside == rows(terms.term_stream(df, "id", "text", lex, stop, 12, by))
 
@@ -223,9 +231,10 @@ def test_word_table_tells_equal_hashes_apart(monkeypatch):
     from staylens.operators.phrases import WordTable
 
     monkeypatch.setattr(WordTable, "_hash", staticmethod(lambda tokens: np.array([len(t) for t in tokens], np.uint64)))
-    rows = {"low": ["aa", "bb", "c", "dd"], "lemma": ["x", None, "z", "w"], "content": [True, True, False, False], "stop": [False, False, True, True]}
-    low, lemma, content, stop = WordTable(pa.table(rows)).of(["AA", "bb", "C", "dd", "ee", None])
+    rows = {"low": ["aa", "bb", "c", "dd"], "lemma": ["x", None, "z", "w"], "content": [True, True, False, None], "stop": [False, False, True, True]}
+    low, lemma, content, stop, classed = WordTable(pa.table(rows)).of(["AA", "bb", "C", "dd", "ee", None])
     assert low == ["aa", "bb", "c", "dd", "ee", None] and lemma == ["x", "bb", "z", "w", "ee", None]
+    assert classed.tolist() == [True, True, True, False, False, False]
     assert content.tolist() == [True, True, False, False, False, False] and stop.tolist() == [False, False, True, True, False, False]
 
 
