@@ -199,12 +199,29 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def link_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Links of pages whose anchors are written in four other ways by page, after links that a comment and a script only name."""
+    pages = table(spark, d, "pages").select("page_id", "html")
+    forms = [
+        "<A  CLASS=x HREF = '$1&amp;p=1'",
+        "<a title=\"1 > 0\" href=$1&#38;p=1",
+        "<a\nhref='$1&#x26;p=1' href=\"/second\"",
+        "<a data-href=\"/no\" title='href=\"/no\"' href=\"$1&p=1\"",
+    ]
+    written = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        other = F.regexp_replace("html", r'<a href="([^"]*)"', form)
+        written = F.when(F.col("page_id") % 4 == i, other).otherwise(written)
+    html = F.concat(F.lit('<!-- <a href="/hidden"> --><script>var x = "<a href=/hidden>";</script>'), written)
+    return links.extract_links(pages.withColumn("html", html))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         sections_split, section_lengths, tokens_and_counts, bigram_edges, bigram_vertices, bigram_edges_by_language,
         ngram_recode, term_stream, word_tagger, bing_score, afinn_score, review_scores, sentiment_by_level, negative_split,
-        negative_split_density, language_detect, language_kept, link_extract,
+        negative_split_density, language_detect, language_kept, link_extract, link_forms,
     )
 }
 
@@ -317,8 +334,10 @@ SELECT CASE WHEN neg > 0 THEN 'Has Negative Review(s)' ELSE 'No Negative Reviews
   round(avg(r / 20), 4) AS avg_rating, sum(id)::BIGINT AS ids FROM pl JOIN ls USING (id) GROUP BY 1""",
     "language_detect": f"WITH {_GRAM} SELECT * FROM lg",
     "language_kept": f"WITH {_GRAM} SELECT lang, count(*) AS n, count(language) AS known FROM lg WHERE language = 'en' OR language IS NULL GROUP BY 1",
-    "link_extract": r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href\s*=\s*"([^"]*)"', 1)) AS link FROM pages)
+    "link_extract": r"""WITH t AS (SELECT page_id, string_split(unnest(string_split(html, '<a ')[2:]), '>')[1] AS tag FROM pages),
+l AS (SELECT page_id, string_split(string_split(tag, 'href="')[2], '"')[1] AS link FROM t WHERE contains(tag, 'href="'))
 SELECT page_id, link, substring(link, 1, 7) AS head, regexp_replace(link, '[^0-9]', '', 'g') AS digits,
   string_split(regexp_replace(regexp_extract(link, '([^/]*)$', 1), '%20', ' ', 'g'), ' ')[1] AS name
 FROM l WHERE link LIKE '%/%' AND link NOT LIKE '%#%' AND link NOT LIKE '%mailto%'""",
+    "link_forms": """SELECT page_id, string_split(unnest(string_split(html, '<a href="')[2:]), '"')[1] || '&p=1' AS link FROM pages""",
 }

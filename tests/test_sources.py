@@ -51,6 +51,27 @@ def test_folder_links_and_sinks(spark, tmp_path):
     assert [r.id for r in links.read_links(spark, found, str(tmp_path)).collect()] == ["5"]
 
 
+def test_links_of_odd_pages(spark):
+    pages = {
+        1: "<A HREF='/a?x=1&amp;y=2'>x</A><a class=c href=/b/>y</a><a href = \"/c\" href=/no>z</a>",
+        2: "<!-- <a href=/no> --><!--><a href=/d><script>'<a href=/no>'</script><STYLE><a href=/no></style ><title><a href=/no></title><a href=/e>",
+        3: "<a title='<a href=/no>' data-href=/no href=/f><a name=here><area href=/no><abbr href=/no><a/href=/g>",
+        4: "<a href='&#47;h&#x2F;&lt;&nope;&amp;lt;&#0;&#xD800;&#9999999999;&'><a href><a href=''>",
+        5: "1 < 2 <b <a href=/no><a href=/i",
+        6: None,
+        7: "",
+        8: "<p title=\"" + "x" * 200_000 + "\">" + "<a href=\"/" + "y" * 100_000 + "\">" + "<b class='q'>" * 20_000,
+        9: "<script><a href=/no>",
+    }
+    df = spark.createDataFrame(list(pages.items()), "id int, html string")
+    got = {r.id: r.links for r in df.select("id", links.hrefs("html").alias("links")).collect()}
+    assert got[1] == ["/a?x=1&y=2", "/b/", "/c"]
+    assert got[2] == ["/d", "/e"] and got[3] == ["/f", "/g"]
+    assert got[4] == ["/h/<&nope;&lt;\ufffd\ufffd\ufffd&", "", ""]
+    assert got[5] == [] and got[6] is None and got[7] == [] and got[9] == []
+    assert [len(x) for x in got[8]] == [100_001]
+
+
 def test_geojson(spark, tmp_path):
     box = [[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]
     shapes = [("one", {"type": "Polygon", "coordinates": [box]}), ("two", {"type": "MultiPolygon", "coordinates": [[box], [box]]})]
