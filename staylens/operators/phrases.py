@@ -200,41 +200,86 @@ def recode_batches(phrases, by: int, keys: int):
     return over
 
 
-class WordTable:
-    """Lemma, content and stop flags by lower-case token, from a table (low, lemma, content, stop).
-
-    Columns sorted by a hash of the token, so that a copy takes little more than its text; a hit is compared as text.
-    """
-
-    def __init__(self, table: pa.Table):
-        hashes = self._hash(table.column("low").to_pylist())
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        table = table.take(pa.array(order)).combine_chunks()
-        self.low, self.lemma = (table.column(c).combine_chunks() for c in ("low", "lemma"))
-        self.classed = table.column("content").is_valid().to_numpy()
-        self.content, self.stop = (pc.fill_null(table.column(c), False).to_numpy().astype(bool) for c in ("content", "stop"))
+class TextIndex:
+    """Places of texts in a table sorted by a hash, so that a copy takes little more than its text; a hit is compared as text."""
+
+    def __init__(self, texts: pa.ChunkedArray):
+        hashes = self._hash(texts.to_pylist())
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+        self.texts = texts.take(pa.array(self.order)).combine_chunks()
         again = np.flatnonzero(self.hashes[1:] == self.hashes[:-1]) + 1
-        self.twins = {self.low[int(i)].as_py(): int(i) for i in again}
+        self.twins = {self.texts[int(i)].as_py(): int(i) for i in again}
 
     @staticmethod
     def _hash(tokens: Sequence[str]) -> np.ndarray:
         return pd.util.hash_array(np.array(tokens, object), categorize=False) if len(tokens) else np.empty(0, np.uint64)
 
+    def find(self, tokens: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the sorted table of each token, and whether it is there at all; the table is not empty."""
+        at = np.minimum(np.searchsorted(self.hashes, self._hash(["" if t is None else t for t in tokens])), len(self.hashes) - 1)
+        if self.twins:
+            at = np.array([self.twins.get(t, i) for t, i in zip(tokens, at.tolist())], np.int64)
+        return at, np.array([a == b for a, b in zip(self.texts.take(pa.array(at)).to_pylist(), tokens)], bool)
+
+
+class WeightTable:
+    """Whole-number weights by word, from a table of words and weight columns; a weight may be null."""
+
+    def __init__(self, table: pa.Table, weights: Sequence[str]):
+        table = table.filter(pc.is_valid(table.column(0)))
+        self.index = TextIndex(table.column(0))
+        table = table.take(pa.array(self.index.order))
+        self.there = [table.column(c).combine_chunks().is_valid().to_numpy(zero_copy_only=False) for c in weights]
+        self.weights = [pc.fill_null(table.column(c), 0).to_numpy().astype(np.int64) for c in weights]
+
+    def sums(self, s: Stream) -> list[pa.Array]:
+        """By row and weight column, the sum over its tokens; null without a token that has the weight."""
+        rows = len(s.offsets) - 1
+        if not len(self.index.hashes):
+            return [pa.nulls(rows, pa.int64()) for _ in self.weights]
+        at, known = self.index.find(s.distinct)
+
+        def by_row(of_token: np.ndarray) -> np.ndarray:
+            total = np.concatenate(([0], np.cumsum(of_token[s.code], dtype=np.int64)))[s.offsets]
+            return np.diff(total)
+
+        return [
+            pa.array(by_row(np.where(known, w[at], 0)), mask=by_row(known & there[at]) == 0) for w, there in zip(self.weights, self.there)
+        ]
+
+
+def sum_batches(table, kept: int, names: Sequence[str]):
+    """Over batches (kept columns..., tokens): the kept columns and the sum of each weight over the tokens."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = table.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *weights.sums(Stream(batch.column(kept)))], names=list(names))
+
+    return over
+
+
+class WordTable:
+    """Lemma, content and stop flags by lower-case token, from a table (low, lemma, content, stop)."""
+
+    def __init__(self, table: pa.Table):
+        self.index = TextIndex(table.column("low"))
+        table = table.take(pa.array(self.index.order)).combine_chunks()
+        self.lemma = table.column("lemma").combine_chunks()
+        self.classed = table.column("content").is_valid().to_numpy()
+        self.content, self.stop = (pc.fill_null(table.column(c), False).to_numpy().astype(bool) for c in ("content", "stop"))
+
     def of(self, tokens: Sequence[str | None]) -> tuple[list[str | None], list[str | None], np.ndarray, np.ndarray, np.ndarray]:
         """Lower case, lemma, content and stop flag of distinct tokens, and whether the table has a class for them.
 
         An unknown token is its own lemma, without content.
         """
         low = [None if t is None else t.lower() for t in tokens]
-        if not len(self.hashes):
+        if not len(self.index.hashes):
             return low, list(tokens), *np.zeros((3, len(low)), bool)
-        at = np.minimum(np.searchsorted(self.hashes, self._hash(["" if t is None else t for t in low])), len(self.hashes) - 1)
-        if self.twins:
-            at = np.array([self.twins.get(t, i) for t, i in zip(low, at.tolist())], np.int64)
-        places = pa.array(at)
-        known = np.array([a == b for a, b in zip(self.low.take(places).to_pylist(), low)], bool)
-        lemma = [x if k and x is not None else t for t, k, x in zip(tokens, known.tolist(), self.lemma.take(places).to_pylist())]
+        at, known = self.index.find(low)
+        lemma = [x if k and x is not None else t for t, k, x in zip(tokens, known.tolist(), self.lemma.take(pa.array(at)).to_pylist())]
         return low, lemma, self.content[at] & known, self.stop[at] & known, self.classed[at] & known
 
     def content_places(self, s: Stream, content: np.ndarray, classed: np.ndarray, tagger) -> np.ndarray:

@@ -228,9 +228,9 @@ def test_phrase_automaton_takes_longest_from_the_left(spark):
 def test_word_table_tells_equal_hashes_apart(monkeypatch):
     import pyarrow as pa
 
-    from staylens.operators.phrases import WordTable
+    from staylens.operators.phrases import TextIndex, WordTable
 
-    monkeypatch.setattr(WordTable, "_hash", staticmethod(lambda tokens: np.array([len(t) for t in tokens], np.uint64)))
+    monkeypatch.setattr(TextIndex, "_hash", staticmethod(lambda tokens: np.array([len(t) for t in tokens], np.uint64)))
     rows = {"low": ["aa", "bb", "c", "dd"], "lemma": ["x", None, "z", "w"], "content": [True, True, False, None], "stop": [False, False, True, True]}
     low, lemma, content, stop, classed = WordTable(pa.table(rows)).of(["AA", "bb", "C", "dd", "ee", None])
     assert low == ["aa", "bb", "c", "dd", "ee", None] and lemma == ["x", "bb", "z", "w", "ee", None]
@@ -249,6 +249,25 @@ def test_recode_ngrams_by_section_and_odd_tokens(spark, monkeypatch):
     assert {r.id: r.t for r in terms.recode_ngrams(df, ["id"], "t", phrases, 2, ["section"]).collect()} == want
 
 
+def test_sentiment_in_rows_equals_joins(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i % 50, " ".join(rng.choice(["good", "bad", "Awful", "odd", "big", "x"], rng.integers(0, 9)))) for i in range(80)] + [(60, None), (61, "")]
+    reviews = spark.createDataFrame(rows, "id int, text string")
+    unique = reviews.groupBy("id").agg(F.min("text").alias("text"))
+    bing = spark.createDataFrame([("good", "positive"), ("good", "negative"), ("bad", "negative"), ("odd", None), (None, "positive")], "word string, sentiment string")
+    afinn = spark.createDataFrame([("good", 3), ("awful", -3), ("odd", None), ("big", 0)], "word string, value int")
+
+    def scores():
+        both = sorted(map(str, sentiment.add_sentiment(unique, "id", "text", bing, afinn).drop("text").collect()))
+        single = [sorted(tuple(r) for r in f(reviews, "id", "text", t).collect()) for f, t in ((sentiment.bing_sentiment, bing), (sentiment.afinn_sentiment, afinn))]
+        return both, single, sentiment.afinn_sentiment(reviews, "id", "text", afinn.limit(0)).count()
+
+    inside = scores()
+    assert any(r[1] == 0 for r in inside[1][1]) and any(r[1] for r in inside[1][0])
+    monkeypatch.setattr(sentiment, "shipped", lambda *a: None)
+    assert inside == scores()
+
+
 def test_sentiment_and_language(spark):
     reviews = spark.createDataFrame([(1, "Good good bad"), (2, "awful awful"), (3, "nothing here"), (4, None)], "id int, text string")
     bing = spark.createDataFrame([("good", "positive"), ("bad", "negative"), ("awful", "negative")], "word string, sentiment string")
