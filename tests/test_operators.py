@@ -211,6 +211,29 @@ def test_term_stream_in_rows_equals_joins(spark, monkeypatch, by):
     assert inside == rows(terms.term_stream(df, "id", "text", lex, stop, 12, by))
 
 
+@pytest.mark.parametrize("by", [[], ["section"]])
+@pytest.mark.parametrize("most", [0, 3])
+def test_term_stream_with_rare_words_joined(spark, monkeypatch, by, most):
+    """A word table beyond the bound: frequent words in the tasks, the others by a join, never all tokens."""
+    rng = np.random.default_rng(6)
+    vocabulary = ["check", "in", "out", "-", "Room", "rooms", "View", "view", "sea", ",", "1"]
+    docs = [(i % 50, "st"[i % 2], " ".join([*rng.choice(vocabulary, rng.integers(0, 40)), *["Odd", "odder", "Plain"][i % 4 :]])) for i in range(60)]
+    df = spark.createDataFrame([*docs, (80, "s", None), (81, "t", "")], "id int, section string, text string")
+    entries = [("check", "check", "VERB"), ("room", "room", "NOUN"), ("rooms", "room", "NOUN"), ("view", None, "NOUN"), ("sea", "sea", "PROPN"), ("odd", "odds", "ADJ"), ("odder", None, "ADJ"), ("plain", "plain", None)]
+    lex = spark.createDataFrame([*entries, ("never", "met", "NOUN")], "token string, lemma string, upos string")
+    stop = spark.createDataFrame([("in",), ("ROOM",), ("plain",)], "word string")
+
+    def rows():
+        return sorted(tuple(r) for r in terms.term_stream(df, "id", "text", lex, stop, 8, by).select("id", *by, "terms").collect())
+
+    want = rows()
+    shipped = terms.ph.shipped
+    monkeypatch.setattr(terms.ph, "SHIPPED_ROWS", most)
+    monkeypatch.setattr(terms.ph, "shipped", lambda t, n=None: shipped(t, most if n is None else n))
+    monkeypatch.setattr(terms, "annotate", None)
+    assert rows() == want and any("odds" in t for r in want for t in r[-1])
+
+
 def test_phrase_automaton_takes_longest_from_the_left(spark):
     from staylens.operators.phrases import PhraseAutomaton, cuts, leftmost
 
