@@ -130,6 +130,24 @@ def shipped(df: DataFrame, max_rows: int = SHIPPED_ROWS) -> pa.Table | None:
     return df.toArrow() if rows <= max_rows and held <= SHIPPED_BYTES else None
 
 
+# Tokens of a batch that are worked through at once; a row is never cut.
+SLICE_TOKENS = 100_000
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows, so that what a task holds beside a batch follows the tokens of a run, not of all its rows."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(ends) or not len(ends):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, "right")))
+            yield batch.slice(first, last - first)
+            if last >= len(ends):
+                break
+            first = last
+
+
 class Stream:
     """The tokens of a batch, end to end: distinct tokens, the code of each place, bounds and ends of rows."""
 
@@ -189,7 +207,7 @@ def recode_batches(phrases, by: int, keys: int):
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = phrases.value
-        for batch in batches:
+        for batch in slices(batches, by + keys):
             s = Stream(batch.column(by + keys))
             root = _over_rows(_sections(batch, by), automaton.start)
             length = automaton.walk(automaton.codes(s.distinct)[s.code], s.ends, root[s.row])
@@ -254,7 +272,7 @@ def sum_batches(table, kept: int, names: Sequence[str]):
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = table.value
-        for batch in batches:
+        for batch in slices(batches, kept):
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *weights.sums(Stream(batch.column(kept)))], names=list(names))
 
     return over
@@ -308,7 +326,7 @@ def missing_batches(words):
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             s = Stream(batch.column(1))
             low = Strings(None if t is None else t.lower() for t in s.distinct)
             texts = list(low.of)
@@ -328,7 +346,7 @@ def pair_batches(words, keeps: Sequence[str], by: int, names: Sequence[str], tag
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words.value
-        for batch in batches:
+        for batch in slices(batches, by):
             s = Stream(batch.column(by))
             low, lemma, content, stop, classed = table.of_batch(s, batch.column(by + 1) if batch.num_columns > by + 1 else None)
             kept = ~stop | np.array([t in keeps for t in low], bool)
@@ -359,7 +377,7 @@ def term_batches(words, phrases, dashed: PhraseAutomaton, by: int, tagger=None):
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, automaton = words.value, phrases.value
-        for batch in batches:
+        for batch in slices(batches, by + 1):
             batch = batch.filter(pc.greater(pc.list_value_length(batch.column(by + 1)), 0))
             s = Stream(batch.column(by + 1))
             _, lemma, content, stop, classed = table.of_batch(s, batch.column(by + 2) if batch.num_columns > by + 2 else None)

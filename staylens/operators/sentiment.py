@@ -28,20 +28,20 @@ def lexicon_join(tokens: DataFrame, lexicon: DataFrame, word: str = "word") -> D
     return tokens.join(broadcast_if_small(lexicon), word)
 
 
-def _in_rows(df: DataFrame, text: str, weights: DataFrame, names: dict[str, str]) -> DataFrame | None:
-    """``df`` with the sums of the weights over the words of each text, null without a known word; None if the lexicon is large."""
+def _in_rows(df: DataFrame, id_col: str, text: str, weights: DataFrame, names: dict[str, str]) -> DataFrame | None:
+    """Ids with the sums of the weights over the words of each text, null without a known word; None if the lexicon is large."""
     table = shipped(weights.select("word", *names))
     if table is None:
         return None
     shared = df.sparkSession.sparkContext.broadcast(WeightTable(table, list(names)))
-    rows = df.withColumn("__words", words(text))
-    schema = df.withColumns({out: F.lit(None).cast("long") for out in names.values()}).schema
-    return rows.mapInArrow(sum_batches(shared, len(df.columns), schema.names), schema)
+    rows = df.select(id_col, words(text).alias("__words"))
+    schema = df.select(id_col, *[F.lit(None).cast("long").alias(out) for out in names.values()]).schema
+    return rows.mapInArrow(sum_batches(shared, 1, schema.names), schema)
 
 
 def _sums(df: DataFrame, id_col: str, text: str, weights: DataFrame, names: dict[str, str]) -> DataFrame:
     """Sums by id; only one row of sums per text is shuffled, unless the lexicon is too large for the tasks."""
-    rows = _in_rows(df.select(id_col, text), text, weights, names)
+    rows = _in_rows(df, id_col, text, weights, names)
     if rows is None:
         hits = lexicon_join(df.select(id_col, F.explode(words(text)).alias("word")), weights)
         rows = hits.select(id_col, *[F.col(c).alias(out) for c, out in names.items()])

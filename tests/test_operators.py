@@ -1,9 +1,10 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from staylens.operators import evaluate, groups, language, ranks, reshape, sentiment, terms
+from staylens.operators import evaluate, groups, language, phrases, ranks, reshape, sentiment, terms
 
 
 @pytest.fixture(scope="module")
@@ -291,6 +292,26 @@ def test_sentiment_in_rows_equals_joins(spark, monkeypatch):
     assert inside == scores()
 
 
+def test_slices_of_batches(spark, monkeypatch):
+    """Batches are worked through in runs of rows with few tokens; no row is lost or cut, and sums are as before."""
+    lists = [["a"] * n if n is not None else None for n in (2, 0, None, 9, 1, 1, 1, 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.string()))], names=["id", "t"])
+    monkeypatch.setattr(phrases, "SLICE_TOKENS", 4)
+    parts = list(phrases.slices([batch, batch.slice(0, 0), batch.slice(3, 2)], 1))
+    assert [len(p) for p in parts] == [3, 1, 3, 1, 0, 1, 1]
+    assert [r for p in parts[:4] for r in p.to_pylist()] == batch.to_pylist() and parts[5].to_pylist() + parts[6].to_pylist() == batch.slice(3, 2).to_pylist()
+    table = phrases.WeightTable(pa.table({"word": ["a"], "w": [2]}), ["w"])
+    shared = type("Shared", (), {"value": table})
+    got = [r for b in phrases.sum_batches(shared, 1, ["id", "w"])([batch]) for r in b.to_pylist()]
+    assert got == [{"id": i, "w": 2 * len(t) if t else None} for i, t in enumerate(lists)]
+
+
+def test_texts_stay_out_of_python(spark):
+    df = spark.createDataFrame([(1, "good bad")], "id int, text string")
+    weights = spark.createDataFrame([("good", 3)], "word string, afinn long")
+    assert sentiment._in_rows(df, "id", "text", weights, {"afinn": "s"}).columns == ["id", "s"]
+
+
 def test_sentiment_and_language(spark):
     reviews = spark.createDataFrame([(1, "Good good bad"), (2, "awful awful"), (3, "nothing here"), (4, None)], "id int, text string")
     bing = spark.createDataFrame([("good", "positive"), ("bad", "negative"), ("awful", "negative")], "word string, sentiment string")
