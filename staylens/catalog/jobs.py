@@ -30,7 +30,7 @@ def price_r2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _price_rows(spark: SparkSession, d: str) -> DataFrame:
-    return pricing.prepare_city_data(si.listings(spark, d), si.areas(spark, d), si.walkscore(spark, d)).rows
+    return pricing.chart_rows(si.listings(spark, d), si.areas(spark, d), si.walkscore(spark, d))
 
 
 def price_box_by_guests(spark: SparkSession, d: str) -> DataFrame:

@@ -38,23 +38,40 @@ class Prepared:
     allowed: DataFrame
 
 
-def prepare_city_data(listings: DataFrame, areas: DataFrame, walkscore: DataFrame, min_support: int = 100) -> Prepared:
-    """Clean, join and widen the listings of all cities at once; ``city`` is an ordinary column."""
+def _listed(listings: DataFrame) -> DataFrame:
+    """The typed columns that are read from the listings, with the amenities as ``items``."""
     df = with_items(clean_listings(listings).where(F.col("number_of_reviews") > 3), "brackets", UNWANTED)
     own = [c for c in NUMERIC if c not in ("listings_per_sq_km", "walk_score")]
-    keep = ["id", "filedate", "city", "neighbourhood_cleansed", "price", "price_per_accommodates", "items", *own, *CATEGORIES]
-    # the raw text is parsed once; counts, levels and the model rows are then read from a few typed columns
-    df = materialize(df.select(*keep))
+    return df.select("id", "filedate", "city", "neighbourhood_cleansed", "price", "price_per_accommodates", "items", *own, *CATEGORIES)
+
+
+def _in_areas(df: DataFrame, areas: DataFrame, walkscore: DataFrame) -> DataFrame:
+    """Listings that have items, with the density of their area."""
     density = area_density(df, areas, walkscore).select("city", "filedate", "neighbourhood_cleansed", "listings_per_sq_km", "walk_score")
-    counts = materialize(item_support(df, ["city"]))
     # stored, so that the join knows how small it is and leaves the listings where they are
-    df = df.where(F.col("items").isNotNull()).join(materialize(density), ["city", "filedate", "neighbourhood_cleansed"])
-    df, levels = one_hot(df, CATEGORIES)
+    return df.where(F.col("items").isNotNull()).join(materialize(density), ["city", "filedate", "neighbourhood_cleansed"])
+
+
+def _complete(df: DataFrame) -> DataFrame:
+    return clean.inf_to_null(df.drop("items")).dropna().where((F.col("price") < 1000) & (F.col("price") > 0))
+
+
+def chart_rows(listings: DataFrame, areas: DataFrame, walkscore: DataFrame) -> DataFrame:
+    """The rows of ``prepare_city_data`` without the columns of levels and amenities, which are never null and which no chart reads."""
+    df = _listed(listings).drop(*CATEGORIES).withColumn("items", F.when(F.col("items").isNotNull(), F.lit(True)))
+    return materialize(_complete(_in_areas(materialize(df), areas, walkscore)))
+
+
+def prepare_city_data(listings: DataFrame, areas: DataFrame, walkscore: DataFrame, min_support: int = 100) -> Prepared:
+    """Clean, join and widen the listings of all cities at once; ``city`` is an ordinary column."""
+    # the raw text is parsed once; counts, levels and the model rows are then read from a few typed columns
+    df = materialize(_listed(listings))
+    counts = materialize(item_support(df, ["city"]))
+    df, levels = one_hot(_in_areas(df, areas, walkscore), CATEGORIES)
     vocabulary = supported_items(counts, min_support)
     df, amenity_cols = add_indicators(df, vocabulary)
     named = counts.sparkSession.createDataFrame(list(zip(vocabulary, amenity_cols)), "item string, name string")
-    df = clean.inf_to_null(df.drop("items"))
-    df = df.dropna().where((F.col("price") < 1000) & (F.col("price") > 0))
+    df = _complete(df)
     base = F.array(*[F.lit(c) for c in [*NUMERIC, *levels]])
     allowed = counts.where(F.col("n") >= min_support).join(named, "item").groupBy("city").agg(F.collect_set("name").alias("v"))
     cities = counts.select("city").distinct().join(allowed, "city", "left")

@@ -174,3 +174,15 @@ def test_feature_rows_do_not_multiply(spark, listings, areas):
     late = one.withColumns({"filedate": F.date_add("filedate", 31), "id": F.col("id") + 10_000_000})
     rows = value_odds.feature_rows(one.unionByName(late), areas)
     assert rows.count() == rows.select("id").distinct().count() == 2 * value_odds.feature_rows(one, areas).count() > 0
+
+
+def test_charts_read_narrow_rows(spark):
+    """Charts read the rows of the model without the columns of levels and amenities."""
+    from staylens.catalog import stand_ins as si
+
+    d = "/root/testdata/sf0.001"
+    given = si.listings(spark, d), si.areas(spark, d), si.walkscore(spark, d)
+    narrow, wide = pricing.chart_rows(*given), pricing.prepare_city_data(*given, 5)
+    assert wide.optional and not set(narrow.columns) & (set(wide.features) - set(pricing.NUMERIC))
+    rows = sorted(map(str, narrow.collect()))
+    assert len(rows) > 100 and rows == sorted(map(str, wide.rows.select(narrow.columns).collect()))
