@@ -49,17 +49,21 @@ def _occupancy(spark: SparkSession, d: str) -> occupancy.OccupancyData:
     return occupancy.prepare(si.older_listings(spark, d), si.areas(spark, d), si.walkscore(spark, d))
 
 
+def _rate_rows(spark: SparkSession, d: str) -> DataFrame:
+    return occupancy.rate_rows(si.older_listings(spark, d), si.areas(spark, d), si.walkscore(spark, d))
+
+
 def occupancy_rates_by_area(spark: SparkSession, d: str) -> DataFrame:
-    rates = occupancy.occupancy_rates(_occupancy(spark, d).rows)["by_area"]
+    rates = occupancy.occupancy_rates(_rate_rows(spark, d))["by_area"]
     return rounded(occupancy.area_map(si.areas(spark, d), rates).drop("geometry"), 4)
 
 
 def occupancy_rates_by_price(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(occupancy.occupancy_rates(_occupancy(spark, d).rows)["by_price"], 4)
+    return rounded(occupancy.occupancy_rates(_rate_rows(spark, d))["by_price"], 4)
 
 
 def occupancy_rates_by_fee(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(occupancy.occupancy_rates(_occupancy(spark, d).rows)["by_fee"], 4)
+    return rounded(occupancy.occupancy_rates(_rate_rows(spark, d))["by_fee"], 4)
 
 
 def occupancy_model(spark: SparkSession, d: str) -> DataFrame:

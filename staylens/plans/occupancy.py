@@ -37,8 +37,11 @@ class OccupancyData:
     features: list[str]
 
 
-def prepare(listings: DataFrame, areas: DataFrame, walkscore: DataFrame, min_support: int = 500) -> OccupancyData:
-    """Model rows: fresh calendars, short stays, small places, some but not all nights booked."""
+EXTRA = ["calendar_updated", "minimum_nights", "accommodates", "number_of_reviews"]
+
+
+def _listed(listings: DataFrame) -> DataFrame:
+    """The typed columns that are read from the listings, with the amenities as ``items``."""
     df = clean_listings(listings)
     df = df.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("bedrooms", "cleaning_fee", "security_deposit")})
     booked = clean.booked_next30("availability_30")
@@ -53,25 +56,42 @@ def prepare(listings: DataFrame, areas: DataFrame, walkscore: DataFrame, min_sup
     df = df.withColumn("property_type", clean.recode("property_type", {"Apartment": "Apartment", "House": "House"}, "Other"))
     df = with_items(df, "braces")
     own = [c for c in SCALED if c not in ("listings_per_sq_km", "walk_score")]
-    extra = ["calendar_updated", "minimum_nights", "accommodates", "number_of_reviews"]
     keep = ["id", "city", "filedate", "neighbourhood_cleansed", "days_booked_n30", "days_booked_n30_cat", "amenities_count", "items", *own, *CATEGORIES]
-    # the raw text is parsed once; what follows reads a few typed columns
-    df = materialize(df.select(*keep, *extra))
+    return df.select(*keep, *EXTRA)
+
+
+def _in_areas(df: DataFrame, areas: DataFrame, walkscore: DataFrame) -> DataFrame:
+    """Listings that the model is about, with the density of their area."""
     density = area_density(df, areas, walkscore).select("city", "filedate", "neighbourhood_cleansed", "listings_per_sq_km", "walk_score")
-    vocabulary = supported_items(materialize(item_support(df)), min_support)
-    df = df.where(F.col("items").isNotNull()).join(materialize(density), ["city", "filedate", "neighbourhood_cleansed"]).where(
+    return df.where(F.col("items").isNotNull()).join(materialize(density), ["city", "filedate", "neighbourhood_cleansed"]).where(
         F.col("calendar_updated").isin(FRESH)
         & (F.col("minimum_nights") <= 3)
         & (F.col("accommodates") <= 4)
         & (F.col("days_booked_n30") > 0)
         & (F.col("days_booked_n30") < 30)
         & (F.col("number_of_reviews") > 3)
-    )
-    df, levels = one_hot(df.drop(*extra), CATEGORIES)
-    df, amenity_cols = add_indicators(df, vocabulary)
+    ).drop(*EXTRA)
+
+
+def _complete(df: DataFrame) -> DataFrame:
     df = clean.inf_to_null(df.drop("items")).dropna()
-    df = df.withColumn("high_occupancy", clean.flag(F.col("days_booked_n30_cat") == 2))
-    return OccupancyData(materialize(df), [*SCALED, "amenities_count", *levels, *amenity_cols])
+    return df.withColumn("high_occupancy", clean.flag(F.col("days_booked_n30_cat") == 2))
+
+
+def rate_rows(listings: DataFrame, areas: DataFrame, walkscore: DataFrame) -> DataFrame:
+    """The rows of ``prepare`` without the columns of levels and amenities, which are never null and which no rate reads."""
+    df = _listed(listings).drop(*CATEGORIES).withColumn("items", F.when(F.col("items").isNotNull(), F.lit(True)))
+    return materialize(_complete(_in_areas(materialize(df), areas, walkscore)))
+
+
+def prepare(listings: DataFrame, areas: DataFrame, walkscore: DataFrame, min_support: int = 500) -> OccupancyData:
+    """Model rows: fresh calendars, short stays, small places, some but not all nights booked."""
+    # the raw text is parsed once; what follows reads a few typed columns
+    df = materialize(_listed(listings))
+    vocabulary = supported_items(materialize(item_support(df)), min_support)
+    df, levels = one_hot(_in_areas(df, areas, walkscore), CATEGORIES)
+    df, amenity_cols = add_indicators(df, vocabulary)
+    return OccupancyData(materialize(_complete(df)), [*SCALED, "amenities_count", *levels, *amenity_cols])
 
 
 def occupancy_model(data: OccupancyData, max_iter: int = 100, seed: int = 123) -> dict[str, DataFrame]:

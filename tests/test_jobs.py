@@ -186,3 +186,15 @@ def test_charts_read_narrow_rows(spark):
     assert wide.optional and not set(narrow.columns) & (set(wide.features) - set(pricing.NUMERIC))
     rows = sorted(map(str, narrow.collect()))
     assert len(rows) > 100 and rows == sorted(map(str, wide.rows.select(narrow.columns).collect()))
+
+
+def test_rates_read_narrow_rows(spark):
+    """Rates read the rows of the model without the columns of levels and amenities."""
+    from staylens.catalog import stand_ins as si
+
+    d = "/root/testdata/sf0.001"
+    given = si.older_listings(spark, d), si.areas(spark, d), si.walkscore(spark, d)
+    narrow, wide = occupancy.rate_rows(*given), occupancy.prepare(*given, 5)
+    assert not set(narrow.columns) & (set(wide.features) - {*occupancy.SCALED, "amenities_count"}) and len(wide.features) > len(narrow.columns)
+    rows = sorted(map(str, narrow.collect()))
+    assert len(rows) > 100 and rows == sorted(map(str, wide.rows.select(narrow.columns).collect()))
