@@ -120,8 +120,8 @@ def values_of(x: np.ndarray, groups: list[Leaves]) -> tuple[np.ndarray, float]:
     return phi, base
 
 
-def shapley(models: list[GBTClassificationModel], classes: list[int], features: list[str], df: DataFrame, id_col: str) -> DataFrame:
-    """Rows (id, class, feature, shapley, base, prediction), exact; the values of a row add up to prediction minus base."""
+def shapley_arrays(models: list[GBTClassificationModel], classes: list[int], features: list[str], df: DataFrame, id_col: str) -> DataFrame:
+    """Rows (id, class, phi, base, prediction): one per row and class, with the exact values of all features as an array."""
     spark = df.sparkSession
     rounds = Rounds(spark, "tree-shapley")
     fits = [leaf_paths(read_nodes(m, spark, rounds), list(m.treeWeights)) for m in models]
@@ -145,6 +145,16 @@ def shapley(models: list[GBTClassificationModel], classes: list[int], features:
 
     kind = df.schema[id_col].dataType.simpleString()
     out = rows.mapInArrow(over, f"id {kind}, class int, phi array<double>, base double, prediction double")
+    return out.withColumnRenamed("id", id_col)
+
+
+def by_feature(arrays: DataFrame, features: list[str], id_col: str) -> DataFrame:
+    """Rows (id, class, feature, shapley, base, prediction) of what ``shapley_arrays`` gives."""
     name = F.get(F.array(*[F.lit(f) for f in features]), F.col("j"))
-    out = out.select("id", "class", "base", "prediction", F.posexplode("phi").alias("j", "shapley"))
-    return out.select(F.col("id").alias(id_col), "class", name.alias("feature"), "shapley", "base", "prediction")
+    out = arrays.select(id_col, "class", "base", "prediction", F.posexplode("phi").alias("j", "shapley"))
+    return out.select(id_col, "class", name.alias("feature"), "shapley", "base", "prediction")
+
+
+def shapley(models: list[GBTClassificationModel], classes: list[int], features: list[str], df: DataFrame, id_col: str) -> DataFrame:
+    """Rows (id, class, feature, shapley, base, prediction), exact; the values of a row add up to prediction minus base."""
+    return by_feature(shapley_arrays(models, classes, features, df, id_col), features, id_col)

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from staylens.operators.tree_shapley import shapley
-from staylens.runtime import side_by_side
+from staylens.operators.tree_shapley import by_feature, shapley, shapley_arrays
+from staylens.runtime import materialize, side_by_side
 
 
 @dataclass
@@ -84,6 +84,11 @@ def shapley_exact(fit: TreeFit, df: DataFrame, id_col: str) -> DataFrame:
     return shapley(fit.models, fit.classes, fit.features, df, id_col)
 
 
+def stored_shapley(fit: TreeFit, df: DataFrame, id_col: str) -> DataFrame:
+    """``shapley_exact``, worked out once: what is stored has one row per row and class, not one per feature."""
+    return by_feature(materialize(shapley_arrays(fit.models, fit.classes, fit.features, df, id_col)), fit.features, id_col)
+
+
 def shapley_summary(values: DataFrame) -> DataFrame:
     """Mean absolute Shapley value per class and feature."""
     return values.groupBy("class", "feature").agg(F.avg(F.abs("shapley")).alias("mean_abs")).orderBy("class", F.desc("mean_abs"))

@@ -102,7 +102,7 @@ def occupancy_model(data: OccupancyData, max_iter: int = 100, seed: int = 123) -
     train = scaled.where(~F.col("is_test"))
     fit = trees.gbt_multiclass(train, data.features, "days_booked_n30_cat", max_iter=max_iter, seed=seed)
     tested = materialize(fit.score(scaled.where("is_test")).select(F.col("days_booked_n30_cat").alias("label"), "prediction"))
-    values = materialize(trees.shapley_exact(fit, train, "__key"))
+    values = trees.stored_shapley(fit, train, "__key")
     return {
         "accuracy": evaluate.accuracy(tested),
         "confusion": evaluate.confusion_matrix(tested, fit.classes),

@@ -8,7 +8,7 @@ import pytest
 
 from staylens.operators import tree_shapley as ts
 from staylens.operators import trees
-from staylens.runtime import Rounds
+from staylens.runtime import Rounds, materialize
 
 
 def random_tree(rng, depth, features, rows=4096):
@@ -84,6 +84,12 @@ def test_trained_model(spark):
     fit = trees.gbt_multiclass(df, ["a", "b", "e"], "y", max_iter=4, max_depth=4, min_rows=5)
     got = trees.shapley_exact(fit, df, "key").collect()
     assert len(got) == 400 * 3 * 3
+    stored = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(trees, "materialize", lambda d: (stored.append(materialize(d)), stored[-1])[1])
+        kept = trees.stored_shapley(fit, df, "key")
+    assert [d.count() for d in stored] == [400 * 3]  # one stored row per row and class
+    assert sorted(map(str, kept.collect())) == sorted(map(str, got))
     nodes = ts.read_nodes(fit.models[1], spark, Rounds(spark, "test"))
     mine = {(r["key"], r["feature"]): r["shapley"] for r in got if r["class"] == 1}
     for i in range(0, 400, 40):
