@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.links import HOT_SHARE, linked_components, star_members
-from staylens.llm.scan import CHUNK_BYTES, jaccard_possible, list_array, map_batches, mix, parity_sketches, runs, segment_sums, signed, stream, text_bytes
+from staylens.llm.scan import CHUNK_BYTES, jaccard_possible, list_array, map_batches, mix, packed_texts, parity_sketches, runs, segment_sums, signed, stream, text_bytes
 from staylens.llm.stored import Scratch
 
 K = 5
@@ -151,18 +151,6 @@ def line_table(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "row", "text"), over, "doc_id long, row long, place array<int>, h1 array<long>, h2 array<long>")
 
 
-def _packed_texts(docs: DataFrame, names: list[str]) -> DataFrame:
-    """``names`` and the text as a compressed ``blob``, which is what travels in shuffles."""
-
-    def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3).compress
-        blobs = [None if t is None else press(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blobs, pa.binary())], names=[*names, "blob"])
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return map_batches(docs.select(*[F.col(f"`{c}`") for c in names], "text"), over, f"{kinds}, blob binary")
-
-
 def fetch_lines(docs: DataFrame, wanted: DataFrame, make: Callable[[pa.Array, pa.Array], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """What ``make`` makes of items and their lines, for ``wanted`` (doc_id, row, place, item)."""
 
@@ -183,7 +171,7 @@ def fetch_lines(docs: DataFrame, wanted: DataFrame, make: Callable[[pa.Array, pa
 
     by_row = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("item", "place")).alias("wanted"))
     # Rows equal in doc_id and text all meet the same line.
-    texts = _packed_texts(docs, ["doc_id", "row"])
+    texts = packed_texts(docs, ["doc_id", "row"])
     joined = texts.join(by_row, ["doc_id", "row"]).select("blob", "wanted")
     return map_batches(joined, cut, schema)
 
@@ -285,7 +273,7 @@ def line_dedup(docs: DataFrame, k: int = K, threshold: Fraction | float = THRESH
     """``docs`` with the text that is left, and n_lines, n_dropped and emptied."""
     lost = dropped_lines(docs, k, threshold, bands, rows).withColumnsRenamed({"doc_id": "__doc", "row": "__row", "dropped": "__dropped"})
     others = [c for c in docs.columns if c != "text"]
-    texts = _packed_texts(docs.withColumn("__own", _row()), [*others, "__own"])
+    texts = packed_texts(docs.withColumn("__own", _row()), [*others, "__own"])
     joined = texts.join(lost, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.col("__own") == F.col("__row")), "left").drop("__doc", "__row", "__own")
 
     def rewrite(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """From shared keys to components of truly linked items, without all pairs of a group.
 
 Items that share a key may be linked; a verifier tells. A first round holds each item of a key only against the smallest
-item of that key, the next ones against the next smallest. What turns out to be one component needs no further look,
+item of that key, beginning with the one it shares most keys with, the next ones against the next smallest. What turns out to be one component needs no further look,
 however large the group is. Only items of one key that are in different components after these rounds are still open:
 they are taken pair by pair, which skew handling may split. So no link between two items that share a key is missed.
 """
@@ -80,6 +80,14 @@ def star_members(marks: DataFrame, on: list[str], sample: DataFrame, scratch: Sc
     return scratch.put(out)
 
 
+def _with_more(links: DataFrame, found: DataFrame, more: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links and their components, with further links."""
+    if more.isEmpty():
+        return links, found
+    tree = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return links.unionByName(more), scratch.put(components(tree.unionByName(more), scratch))
+
+
 def linked_components(
     members: DataFrame, on: list[str], verify: Verify, scratch: Scratch, sketches: DataFrame, may_link: Callable[[Column, Column], Column], rounds: int = 3
 ) -> tuple[DataFrame, DataFrame]:
@@ -89,10 +97,18 @@ def linked_components(
     ``may_link`` is false for two sketches only if their items cannot be linked; it is tested within the joins.
     """
     of_a, of_b = (sketches.select(F.col("item").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    star = members.select(F.col("lo").alias("a"), F.col("item").alias("b")).distinct()
-    star = star.join(of_a, "a").join(of_b, "b").where(may_link(F.col("sa"), F.col("sb"))).select("a", "b")
-    links = scratch.put(verify(star))
+    star = members.groupBy(F.col("lo").alias("a"), F.col("item").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    star = scratch.put(star.join(of_a, "a").join(of_b, "b").where(may_link(F.col("sa"), F.col("sb"))).select("a", "b", "n"))
+    # An item meets the one it shares most keys with first; near copies are then one component before their other pairs are looked at.
+    closest = star.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+    links = scratch.put(verify(closest))
     found = scratch.put(components(links, scratch))
+    apart = star.select("a", "b").join(closest, ["a", "b"], "left_anti")
+    for x in "ab":
+        apart = apart.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
+    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links, found = _with_more(links, found, scratch.put(verify(apart)), scratch)
+    scratch.drop(star)
 
     # ``lo`` is the last item of a key that was held against all others.
     todo = members.select(*on, "lo", "item")
@@ -118,9 +134,6 @@ def linked_components(
         same = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in on]
         rest = left.join(right, [*same, F.col("a") < F.col("b"), F.col("ca") != F.col("cb"), may_link(F.col("sa"), F.col("sb"))])
         more = scratch.put(verify(rest.select("a", "b").distinct()))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            tree = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            found = scratch.put(components(tree.unionByName(more), scratch))
+        links, found = _with_more(links, found, more, scratch)
         todo = opened.select(*on, F.col("next").alias("lo"), "item")
     return links, found

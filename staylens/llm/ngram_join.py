@@ -29,11 +29,12 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.links import HOT_SHARE, linked_components, star_members
-from staylens.llm.scan import jaccard_possible, list_array, map_batches, mix, parity_sketches, runs, scan, segment_sums, shingles, signed, text_bytes
+from staylens.llm.scan import CHUNK_BYTES, list_array, map_batches, mix, packed_texts, parity_sketches, runs, scan, segment_sums, shingles, signed, text_bytes, wide_jaccard_possible, wide_sketches
 from staylens.llm.stored import Scratch
 
 _U = np.uint64
@@ -84,7 +85,9 @@ def documents_as_sets(docs: DataFrame, n: int, threshold: Fraction, largest: int
                 keep = np.repeat(units > 0, np.diff(at))
                 columns.append(list_array(pa.array(signed(keys[keep])), np.concatenate(([0], np.cumsum(units)))))
             sketch = np.concatenate((size.astype(np.int64)[:, None], signed(parity_sketches(flat, bounds))), axis=1)
-            sketch = list_array(pa.array(sketch.reshape(-1)), np.arange(b - a + 1) * 5)
+            wide = wide_sketches(flat, bounds)
+            both = [x for pair in zip(sketch, map(signed, wide)) for x in pair]
+            sketch = list_array(pa.array(np.concatenate(both)), np.concatenate(([0], np.cumsum([5 + len(w) for w in wide]))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), pa.array(size), pa.array(signed(high)), pa.array(signed(low)), pa.array(band.astype(np.int32)), *columns, sketch],
                 names=["doc_id", "n_shingles", "high", "low", "band", "own", "below", "sketch"],
@@ -159,13 +162,23 @@ def verifier(docs: DataFrame, n: int, threshold: Fraction):
     """Keep of a table (a, b) the pairs whose sets of shingles reach the threshold, from the texts themselves."""
     up, down = threshold.numerator, threshold.denominator
 
-    def sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-        """Sets of the rows; a text that repeats from row to row is scanned once."""
-        data, offsets = text_bytes(column)
-        for a, b in runs(offsets):
-            flat, bounds = shingles(scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), n)
-            for d in range(b - a):
-                yield a + d, flat[bounds[d] : bounds[d + 1]]
+    def cut(held: list[bytes]) -> Iterator[np.ndarray]:
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in held], dtype=np.int64)))
+        flat, bounds = shingles(scan(np.frombuffer(b"".join(held), np.uint8), offsets), n)
+        for d in range(len(held)):
+            yield flat[bounds[d] : bounds[d + 1]]
+
+    def sets(blobs: pa.Array) -> Iterator[np.ndarray]:
+        """Sets of the rows in their order; no more texts are opened at once than make a run."""
+        open_up, held, size = zstandard.ZstdDecompressor().decompress, [], 0
+        for blob in blobs:
+            held.append(open_up(blob.as_py()) if blob.is_valid else b"")
+            size += len(held[-1])
+            if size >= CHUNK_BYTES:
+                yield from cut(held)
+                held, size = [], 0
+        if held:
+            yield from cut(held)
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hubs = pc.dictionary_encode(batch.column(0))
@@ -174,9 +187,9 @@ def verifier(docs: DataFrame, n: int, threshold: Fraction):
         for row, code in enumerate(codes):
             first.setdefault(code, row)
         texts = batch.column(2).take(pa.array([first[c] for c in range(len(hubs.dictionary))], pa.int64()))
-        of_hub = {i: s for i, s in sets(texts)}
+        of_hub = list(sets(texts))
         keep = np.zeros(batch.num_rows, bool)
-        for row, own in sets(batch.column(3)):
+        for row, own in enumerate(sets(batch.column(3))):
             hub = of_hub[codes[row]]
             if min(len(hub), len(own)) * down < up * max(len(hub), len(own)):
                 continue
@@ -186,9 +199,9 @@ def verifier(docs: DataFrame, n: int, threshold: Fraction):
 
     def verify(pairs: DataFrame) -> DataFrame:
         # Repeated rows of one doc_id are one document here: any one of its texts.
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-        other = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-        both = other.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
+        texts = packed_texts(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null"), ["id"])
+        other = pairs.join(texts.withColumnsRenamed({"id": "b", "blob": "text_b"}), "b")
+        both = other.join(texts.withColumnsRenamed({"id": "a", "blob": "text_a"}), "a")
         return map_batches(both.select("a", "b", "text_a", "text_b"), over, "a long, b long").distinct()
 
     return verify
@@ -207,14 +220,17 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: Fraction | float = Fracti
     longest = docs.agg(F.max(F.octet_length("text"))).first()[0] or 0
     largest = longest // 2 + 1
     units = Bands(threshold, largest).units
-    sets = scratch.put(documents_as_sets(docs, n, threshold, largest))
+    keyed = scratch.put(documents_as_sets(docs, n, threshold, largest))
+    # The keys are most of it, and go as soon as it is known who shares them.
+    sets = scratch.put(keyed.drop("own", "below"))
     same = ["high", "low", "n_shingles"]
     filled = sets.where("n_shingles > 0")
     classes = scratch.put(filled.groupBy(*same).agg(F.min("doc_id").alias("class_id")))
-    ours = filled.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    standing = classes.select(F.col("class_id").alias("doc_id")).distinct()
+    ours = filled.join(standing, "doc_id", "left_semi")
 
     def marks_of(column: str, shift: int) -> DataFrame:
-        return ours.select(
+        return keyed.where("n_shingles > 0").join(standing, "doc_id", "left_semi").select(
             F.col("doc_id").alias("item"), (F.col("band") - shift).alias("band"), F.posexplode(column).alias("segment", "key")
         )
 
@@ -222,6 +238,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: Fraction | float = Fracti
     on = ["band", "segment", "key"]
     some = F.pmod(F.xxhash64("item"), F.lit(HOT_SHARE)) == 0
     members = star_members(marks, on, marks.where(some), scratch)
+    scratch.drop(keyed)
     sizes = filled.groupBy("band").agg(F.sum("n_shingles").alias("total"))
     each = members.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     loads = each.groupBy("band", "segment").agg(F.sum(F.col("n") * (F.col("n") + 1) / 2).alias("pairs")).join(F.broadcast(sizes), "band")
@@ -233,10 +250,11 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: Fraction | float = Fracti
         gone = docs.sparkSession.createDataFrame(sorted(out | two), "band int, segment int")
         reps = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
         extra = scratch.put(deletions(reps, n, threshold, largest, two))
-        extra = star_members(extra, on, extra.where(some), scratch)
-        members = members.join(F.broadcast(gone), ["band", "segment"], "left_anti").unionByName(extra)
+        near = star_members(extra, on, extra.where(some), scratch)
+        scratch.drop(extra)
+        members = members.join(F.broadcast(gone), ["band", "segment"], "left_anti").unionByName(near)
     sketches = ours.select(F.col("doc_id").alias("item"), "sketch").dropDuplicates(["item"])
-    links, found = linked_components(members, on, verifier(docs, n, threshold), scratch, sketches, jaccard_possible(threshold))
+    links, found = linked_components(members, on, verifier(docs, n, threshold), scratch, sketches, wide_jaccard_possible(threshold))
     classed = (
         sets.select("doc_id", *same)
         .join(classes, same, "left")

@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from staylens.llm import components, decontaminate, line_dedup, lm_score, ngram_join, packing, quality, sharding, subwords, token_counts
+from staylens.llm import components, decontaminate, line_dedup, links, lm_score, ngram_join, packing, quality, scan, sharding, subwords, token_counts
 from staylens.llm.stored import Scratch
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau ypsilon phi chi psi omega".split()
@@ -86,6 +86,42 @@ def test_ngram_join_empty(none):
     assert members.count() == 0 and links.count() == 0
 
 
+def test_one_component_is_not_verified_pair_by_pair(spark):
+    scratch, asked = Scratch(spark, "links"), []
+    members = spark.createDataFrame([(1, 1, 2), (1, 1, 3), (2, 2, 3), (3, 1, 3)], "key long, lo long, item long")
+    sketches = spark.createDataFrame([(i, [5, 0, 0, 0, 0]) for i in (1, 2, 3)], "item long, sketch array<long>")
+
+    def verify(pairs):
+        asked.append({(r.a, r.b) for r in pairs.collect()})
+        return pairs.select("a", "b")
+
+    _, found = links.linked_components(members, ["key"], verify, scratch, sketches, scan.jaccard_possible(Fraction(4, 5)))
+    assert asked == [{(1, 2), (1, 3)}, set()]
+    assert {(r.node, r.component) for r in found.collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+@pytest.mark.parametrize("threshold", [Fraction(1, 3), Fraction(4, 5), Fraction(9, 10)])
+def test_wide_sketches_rule_out_long_texts_and_no_link(spark, threshold):
+    rng, rows = np.random.default_rng(3), []
+    for size in (400, 600, 1000, 1030, 2100, 9000):
+        for share in (0.0, 0.4, 0.75, 0.82, 0.88, 0.93, 0.99):
+            a = rng.integers(0, 2**63, size).astype(np.uint64)
+            b = np.concatenate((a[: int(size * share)], rng.integers(0, 2**63, size - int(size * share) + int(0.02 * size)).astype(np.uint64)))
+            sides = []
+            for x in (a, b):
+                bounds = np.array([0, len(x)])
+                words = np.concatenate((scan.parity_sketches(x, bounds)[0], scan.wide_sketches(x, bounds)[0]))
+                sides.append([len(x), *scan.signed(words).tolist()])
+            both = len(np.intersect1d(a, b))
+            rows.append((size, share, *sides, both / (len(a) + len(b) - both)))
+    df = spark.createDataFrame(rows, "size int, share double, a array<long>, b array<long>, j double")
+    got = df.select("size", "share", "j", scan.wide_jaccard_possible(threshold)(df.a, df.b).alias("may"), scan.jaccard_possible(threshold)(df.a, df.b).alias("narrow")).collect()
+    assert all(r.may and r.narrow for r in got if r.j >= threshold)
+    if threshold >= Fraction(4, 5):
+        assert not any(r.may for r in got if r.share == 0)
+        assert any(r.narrow for r in got if r.share == 0)
+
+
 def test_allocation_keeps_the_pigeonhole():
     loads = [(4, s, 10 if s else 10**7, 20) for s in range(8)]
     out, two = ngram_join.allocate(loads, {4: 8})
