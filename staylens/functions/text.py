@@ -131,11 +131,15 @@ def recode_phrases(tokens: ColumnLike, phrases: Sequence[str], sep: str = " ") -
     return apply_recode(tokens, greedy_starts(phrase_hits(tokens, phrases, sep), n), n, sep)
 
 
+def letters(col: ColumnLike) -> Column:
+    """Lower-case letters of a text, each run of other signs counting as one space, between two spaces."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(_c(col)), r"[^\p{L}]+", " ")), F.lit(" "))
+
+
 def trigrams(col: ColumnLike) -> Column:
-    """Character trigrams of the lower-case letters of a text, each run of other signs counting as one space."""
-    letters = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(_c(col)), r"[^\p{L}]+", " ")), F.lit(" "))
+    """Character trigrams of ``letters``."""
     # a lookahead matches at every place without consuming, so overlapping trigrams come out in one scan
-    return F.regexp_extract_all(letters, F.lit("(?=(...))"), F.lit(1))
+    return F.regexp_extract_all(letters(col), F.lit("(?=(...))"), F.lit(1))
 
 
 # Spellings of arrival and departure brought to one form, applied in this order.

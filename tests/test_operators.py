@@ -1,3 +1,7 @@
+import collections
+import math
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -326,6 +330,30 @@ def test_sentiment_and_language(spark):
     assert {r.id for r in language.filter_language(found).collect()} == {1, 3, 4}
 
 
+def test_trigrams_are_weighed_in_their_row(spark, monkeypatch):
+    texts = [("en", "The house, with 2 views"), ("fr", "l'été à la mer"), ("xx", "\U00010400\U00010401\U00010402 a"), ("en", ""), ("fr", None), (None, "lost"), ("en", "a" * 3000)]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id int, lang string, text string")
+    monkeypatch.setattr(language, "RUN_POINTS", 20)
+    profiles = language.language_profiles(docs, "text", "lang").persist()
+    counts, padded = {}, [(lang, t and " " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " ") for lang, t in texts]
+    for lang, t in padded:
+        for i in range(len(t or "") - 2 if lang else 0):
+            counts.setdefault(lang, collections.Counter())[t[i : i + 3]] += 1
+    want = {(g, x): math.log(n * 1e6 / c.total()) for g, c in counts.items() for x, n in c.items()}
+    assert {(r.lang, r.gram): r.weight for r in profiles.collect()} == pytest.approx(want)
+    found = language.detect_language(docs, "id", "text", profiles)
+    assert "Exchange" not in found._jdf.queryExecution().sparkPlan().toString() and "Generate" not in found._jdf.queryExecution().sparkPlan().toString()
+    got = {r.id: (r.language, r.score) for r in found.collect()}
+    for i, (_, t) in enumerate(padded):
+        grams = [t[j : j + 3] for j in range(len(t or "") - 2)]
+        sums = {g: sum(want.get((g, x), 0.0) for x in grams) for g in counts if any((h, x) in want for h in counts for x in grams)}
+        assert got[i] == ((None, None) if not sums else (max(sums, key=sums.get), pytest.approx(max(sums.values()), abs=1e-6)))
+    monkeypatch.setattr(language._scores, "__defaults__", (1,))
+    plain = docs.where("lang is null or lang != 'xx'")
+    joined = {r.id: (r.language, r.score) for r in language.detect_language(plain, "id", "text", profiles).collect()}
+    assert {i: (g, pytest.approx(x, abs=2e-6) if x else x) for i, (g, x) in joined.items()} == {i: got[i] for i in joined}
+
+
 def test_negative_split(spark):
     reviews = spark.createDataFrame([(1, 10, -3), (2, 10, 5), (3, 11, -4), (4, 12, None)], "id int, listing_id int, afinn_sentiment int")
     listings = spark.createDataFrame([(10, 90.0), (11, 80.0), (12, 100.0)], "id int, review_scores_rating double")
