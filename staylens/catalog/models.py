@@ -10,7 +10,7 @@ from staylens.catalog.base import rounded, table
 from staylens.catalog.texts import _AFINN, _BING, _SCORE, _STOP, _TOK, _afinn, _documents, _stop_words, _tokens
 from staylens.functions import text as tx
 from staylens.functions.geo import WGS84_A, WGS84_F, area_sq_km
-from staylens.operators import evaluate, regress, segments, sentiment, sparse_logit, terms, topics, trees
+from staylens.operators import evaluate, ranks, regress, segments, sentiment, sparse_logit, terms, topics, trees
 from staylens.operators.groups import trend
 from staylens.operators.reshape import to_dtm
 from staylens.operators.topic_models import compare_topics
@@ -290,7 +290,9 @@ def _word_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def document_terms(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the document-term matrix, described so that SQL can say them: cells, tokens, and ids weighted by counts."""
-    rows, _ = to_dtm(_word_counts(spark, d), "doc_id", "word", "n")
+    counts = terms.row_term_counts(_documents(spark, d), "doc_id", "text")
+    stop = materialize(ranks.top_k(counts.groupBy("word").agg(F.sum("n").alias("n")), "n", 20, ["word"]).select("word"))
+    rows, _ = to_dtm(terms.drop_stop_words(counts, stop), "doc_id", "word", "n")
     weighed = F.aggregate(F.zip_with("term_ids", "counts", lambda i, n: i * n), F.lit(0).cast("long"), lambda a, x: a + x)
     tokens = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select("doc_id", F.size("term_ids").alias("cells"), tokens.alias("tokens"), weighed.alias("weighed"))

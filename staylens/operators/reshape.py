@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.operators.ranks import with_row_number
-from staylens.runtime import broadcast_if_small, materialize
+from staylens.runtime import BROADCAST_ROWS, broadcast_if_small, materialize
 
 
 def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -73,14 +73,27 @@ def to_dtm(counts: DataFrame, doc: str, term: str, n: str) -> tuple[DataFrame, D
     The dictionary (term, term_id) numbers the terms from 0 in their order. The matrix has one row per document: the ids of
     its terms, ascending, and how often each stands in it.
     """
-    counts = counts.dropna(subset=[doc, term]).groupBy(F.col(doc).alias(doc), F.col(term).alias("term")).agg(F.sum(n).alias("n")).where("n > 0")
+    counts = counts.dropna(subset=[doc, term]).select(F.col(doc).alias(doc), F.col(term).alias("term"), F.col(n).cast("long").alias("n")).where("n > 0")
     counts = materialize(counts)
     numbered = with_row_number(counts.select("term").distinct(), [F.asc("term")], name="term_id")
     dictionary = materialize(numbered.select("term", (F.col("term_id") - 1).alias("term_id")))
-    cells = counts.join(dictionary, "term").groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("term_id", "n"))).alias("cells"))
+    cells = _with_entries(counts, dictionary).repartition(doc).groupBy(doc, "term_id").agg(F.sum("n").alias("n"))
+    cells = cells.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("term_id", "n"))).alias("cells"))
     return cells.select(doc, F.col("cells.term_id").alias("term_ids"), F.col("cells.n").alias("counts")), dictionary
 
 
+def _with_entries(counts: DataFrame, dictionary: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``counts`` with the term_id of their term. Of a large dictionary the frequent terms go to the tasks, and only the
+    rows of other terms are dealt out by term."""
+    if dictionary.limit(max_rows + 1).count() <= max_rows:
+        return counts.join(F.broadcast(dictionary), "term").select(*[c for c in counts.columns if c != "term"], "term_id")
+    rows = counts.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).join(dictionary, "term")
+    frequent = materialize(rows.orderBy(F.desc("rows"), "term_id").limit(max_rows).select("term", "term_id"))
+    near = counts.join(F.broadcast(frequent), "term")
+    far = counts.join(F.broadcast(frequent.select("term")), "term", "left_anti").join(dictionary, "term")
+    return near.unionByName(far).select(*[c for c in counts.columns if c != "term"], "term_id")
+
+
 def dtm_from_terms(docs: DataFrame, doc: str, terms: str) -> tuple[DataFrame, DataFrame]:
     """``to_dtm`` of token arrays."""
     return to_dtm(docs.select(doc, F.explode(terms).alias("term"), F.lit(1).alias("n")), doc, "term", "n")

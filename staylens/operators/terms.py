@@ -6,8 +6,9 @@ network, as long as word table and phrases are small enough for the tasks; beyon
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,25 @@ def term_counts(tokens: DataFrame, keys: Sequence[str] = (), word: str = "word")
     return tokens.groupBy(*keys, word).agg(F.count(F.lit(1)).alias("n"))
 
 
+def row_term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, word, n) for each text, counted inside its row; rows that share an id are not summed up."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in ph.slices(batches, 1):
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            words = lists.flatten().dictionary_encode()
+            wide = max(len(words.dictionary), 1)
+            both, n = np.unique(row * wide + words.indices.to_numpy(), return_counts=True)
+            row, word = np.divmod(both, wide)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), words.dictionary.take(pa.array(word)), pa.array(n, pa.int64())], names=[id_col, "word", "n"])
+
+    source = df.select(id_col, tx.words(text).alias("word"))
+    return source.mapInArrow(over, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, word string, n long")
+
+
 def drop_stop_words(tokens: DataFrame, stop_words: DataFrame, word: str = "word") -> DataFrame:
     return anti_join(tokens, stop_words, word)
 

@@ -191,6 +191,22 @@ def test_p_value_has_one_formula():
     assert 0 < _t_two_sided(40.0, 500) < 1e-150 and _t_two_sided(0.0, 9) == 1
 
 
+def test_terms_are_counted_in_their_row_and_frequent_ones_not_dealt_out(spark):
+    from staylens.operators import reshape, terms
+
+    texts = ["a b a", None, "", "b c d, A!", "e b"]
+    docs = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "id long, text string")
+    counts = terms.row_term_counts(docs, "id", "text")
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counts.collect())) == [(0, "a", 2), (0, "b", 1), (0, "b", 1), (0, "e", 1), (3, "a", 1), (3, "b", 1), (3, "c", 1), (3, "d", 1)]
+    rows, dictionary = reshape.to_dtm(counts, "id", "word", "n")
+    assert sorted((r.id, r.term_ids, r.counts) for r in rows.collect()) == [(0, [0, 1, 4], [2, 2, 1]), (3, [0, 1, 2, 3], [1, 1, 1, 1])]
+    named = counts.withColumnRenamed("word", "term")
+    whole = sorted(map(tuple, reshape._with_entries(named, dictionary).collect()))
+    for bound in (0, 1, 2, 5):
+        assert sorted(map(tuple, reshape._with_entries(named, dictionary, bound).collect())) == whole
+
+
 def test_document_term_matrix_keeps_all_terms(spark):
     from staylens.operators.reshape import dtm_from_terms
 
