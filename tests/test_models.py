@@ -191,6 +191,18 @@ def test_p_value_has_one_formula():
     assert 0 < _t_two_sided(40.0, 500) < 1e-150 and _t_two_sided(0.0, 9) == 1
 
 
+def test_kmeans_by_blocks_finds_what_rows_find(spark):
+    from pyspark.ml.clustering import KMeans
+
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, rng.normal(6 * (i % 3), 1 + i % 2, 3))) for i in range(900)]
+    vectors = segments.scaled_vectors(spark.createDataFrame(rows, "id int, a double, b double, c double"), "id", ["a", "b", "c"]).cache()
+    best, cost = segments.kmeans_best(vectors, 4, 3)
+    assert best.getSolver() == "block"
+    by_rows = [KMeans(k=4, seed=s, maxIter=10, solver="row").fit(vectors).summary.trainingCost for s in (1, 2, 3)]
+    assert cost == pytest.approx(min(by_rows), rel=1e-9)
+
+
 def test_terms_are_counted_in_their_row_and_frequent_ones_not_dealt_out(spark):
     from staylens.operators import reshape, terms
 
