@@ -23,6 +23,8 @@ Verify = Callable[[DataFrame], DataFrame]
 HOT_KEYS = 4096
 # Share of the rows that tells them, and how many of it a key must have.
 HOT_SHARE, HOT_ROWS = 64, 32
+# Pairs of open items, for each open item, up to which all are compared.
+PAIRS_A_ROW = 16
 
 
 def _stars(on: list[str]):
@@ -122,9 +124,12 @@ def linked_components(
         )
         mixed = mixed.where("least < most and next is not null").select(*on, "next")
         opened = scratch.put(known.join(mixed, on).join(sketches, "item").select(*on, "lo", "next", "item", "component", "sketch"))
-        if opened.isEmpty():
+        # Small keys, as most are, are taken pair by pair at once: that is cheaper than a round.
+        n = F.col("n")
+        rows, pairs = opened.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(n), F.sum(n * (n - 1) / 2)).first()
+        if not rows:
             break
-        last = turn == rounds
+        last = turn == rounds or pairs <= PAIRS_A_ROW * rows
         left, right = (
             opened.where("item > lo").select(*[F.col(c).alias(f"{c}_{x}") for c in on], F.col("item").alias(x), F.col("component").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"))
             for x in "ab"
@@ -135,5 +140,8 @@ def linked_components(
         rest = left.join(right, [*same, F.col("a") < F.col("b"), F.col("ca") != F.col("cb"), may_link(F.col("sa"), F.col("sb"))])
         more = scratch.put(verify(rest.select("a", "b").distinct()))
         links, found = _with_more(links, found, more, scratch)
+        if last:
+            scratch.drop(opened)
+            break
         todo = opened.select(*on, F.col("next").alias("lo"), "item")
     return links, found

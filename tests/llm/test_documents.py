@@ -6,6 +6,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from staylens.llm import components, decontaminate, line_dedup, links, lm_score, ngram_join, packing, quality, scan, sharding, subwords, token_counts
@@ -221,6 +222,44 @@ def test_line_dedup_empty(none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_long_lines_near_the_threshold_are_found(spark):
+    rng, rows = np.random.default_rng(6), []
+    while len(rows) < 400:
+        a = list(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(190, 420))))
+        b = list(a)
+        for at in rng.choice(len(b), len(b) // 55, replace=False):
+            b[at] = str(rng.integers(0, 10))
+        x, y = ({"".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.87:
+            rows += [(len(rows), "".join(a)), (len(rows) + 1, "".join(b[: len(b) - len(rows) % 7]))]
+    got = {r.doc_id for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_dropped}
+    want = set(line_fates(rows))
+    assert len(want) > 150 and got == want
+
+
+def long_keys(lines):
+    flat, bounds = line_dedup.distinct_runs(*line_dedup.char_runs(line_dedup.Lines(*scan.text_bytes(pa.array(lines))), 5))
+    return line_dedup.band_keys(flat, bounds, Fraction(4, 5), line_dedup.BANDS, line_dedup.ROWS)
+
+
+def test_long_lines_of_one_language_share_few_keys(monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = ["".join(rng.choice(list("abcdefgh "), 4)) for _ in range(30)]
+    lines = ["".join(rng.choice(parts, 250)) for _ in range(200)]
+    shared = lambda: len(np.unique(keys := long_keys(lines)[0])) / len(keys)
+    few = 1 - shared()
+    monkeypatch.setattr(line_dedup, "LONG", 1 << 20)
+    assert few * 5 < 1 - shared()
+
+
+def test_signatures_are_made_of_so_many_lines_at_once(spark, monkeypatch):
+    seen, make = [], line_dedup.signatures
+    monkeypatch.setattr(line_dedup, "signatures", lambda values, bounds, bins: seen.append(len(bounds) - 1) or make(values, bounds, bins))
+    column = pa.array(["\n".join(f"line {i} of {j}" for i in range(3000)) for j in range(3)])
+    marks = list(line_dedup._marks(column, 5, Fraction(4, 5), line_dedup.BANDS, line_dedup.ROWS))
+    assert sum(seen) == 9000 and max(seen) <= line_dedup.LINES and sum(len(k) for k, _ in marks) == 9000 * line_dedup.BANDS
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 2**63, 900).astype(np.uint64)
