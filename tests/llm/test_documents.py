@@ -552,6 +552,22 @@ def test_model_is_a_distribution_and_causal():
     assert np.allclose(np.bincount(of_id, 10**share, lm_score.CLASSES)[np.unique(of_id)], 1)
 
 
+@pytest.mark.parametrize("large", [0.3, 4.0])
+def test_gradient_is_that_of_the_mean_loss(large):
+    rng = np.random.default_rng(2)
+    net = lm_score.Net(rng.normal(0, large, lm_score.Net.SIZE))
+    inputs = rng.integers(-1, lm_score.INPUTS + 1, (3, lm_score.WINDOW))
+    inputs[:, lm_score.HALF] = lm_score.INPUTS
+    targets = rng.integers(-1, lm_score.CLASSES, (3, lm_score.HALF))
+    loss = lambda flat: -lm_score.Net(flat).log_prob(inputs, targets).sum() / (targets >= 0).sum()
+    got = net.gradient(inputs, targets)
+    for _ in range(20):
+        way, at = np.zeros(net.SIZE), rng.integers(0, net.SIZE - lm_score.DIM * lm_score.INPUTS, 50) + lm_score.DIM * lm_score.INPUTS
+        way[at] = rng.normal(0, 1e-6, len(at))
+        way[lm_score.DIM * inputs.max() + rng.integers(0, lm_score.DIM)] = 1e-6
+        assert np.isclose(loss(net.flat + way) - loss(net.flat - way), 2 * way @ got, rtol=1e-3, atol=1e-8)
+
+
 def test_windows_score_each_id_once():
     ids = np.arange(100, 100 + 150)
     bounds = np.array([0, 0, 32, 33, 150])
