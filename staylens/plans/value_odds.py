@@ -55,6 +55,8 @@ def amenity_odds(listings: DataFrame, min_support: int = 1000, seed: int = 123)
 
 SCALED = ["host_total_listings_count", "bedrooms_per_accommodates", "security_deposit", "cleaning_fee", "extra_people", "listings_per_sq_km"]
 CATEGORIES = ["host_is_superhost", "room_type", "instant_bookable", "cancellation_policy", "property_type"]
+PLACE = ["city", "neighbourhood_cleansed"]
+RAW = ["host_total_listings_count", "bedrooms", "accommodates", "security_deposit", "cleaning_fee", "extra_people", "review_scores_value", "amenities"]
 # Property types and cancellation policies that keep a group of their own.
 PROPERTY_TYPES = {"House": "House", "Apartment": "Apartment/Condo", "Condominium": "Apartment/Condo"}
 POLICIES = {"moderate": "moderate", "flexible": "flexible"}
@@ -63,22 +65,25 @@ PETS = "Pets allowed"
 
 def feature_rows(listings: DataFrame, areas: DataFrame) -> DataFrame:
     """Last snapshot of each reviewed listing with area density and grouped categories."""
-    df = dedupe_last(listings.where(F.col("number_of_reviews") >= 5), ["id"], ["filedate"])
+    df = listings.where(F.col("number_of_reviews") >= 5).select("id", "filedate", *PLACE, *RAW, *CATEGORIES)
     df = clean_listings(df).withColumns(
-        {"has_value": clean.flag(F.col("review_scores_value") == 10), "pets_allowed": clean.flag(F.col("amenities").contains(PETS))}
+        {
+            "has_value": clean.flag(F.col("review_scores_value") == 10),
+            "pets_allowed": clean.flag(F.col("amenities").contains(PETS)),
+            "property_type": clean.recode("property_type", PROPERTY_TYPES, "Other"),
+            "cancellation_policy": clean.recode("cancellation_policy", POLICIES, "strict"),
+        }
     )
+    # snapshots meet as the typed columns that are read below, and once
+    own = [c for c in SCALED if c != "listings_per_sq_km"]
+    df = df.select("id", "filedate", *PLACE, *own, *CATEGORIES, "has_value", "pets_allowed")
+    df = materialize(dedupe_last(df, ["id"], ["filedate"]))
     sizes = areas.groupBy("city", F.col("neighbourhood").alias("neighbourhood_cleansed")).agg(F.sum(area_sq_km("geometry")).alias("sq_km"))
     counts = df.groupBy("filedate", "city", "neighbourhood_cleansed").agg(F.count("id").alias("listing_count"))
     density = counts.join(sizes, ["city", "neighbourhood_cleansed"]).select(
         "filedate", "city", "neighbourhood_cleansed", clean.ratio("listing_count", "sq_km").alias("listings_per_sq_km")
     )
     df = df.join(materialize(density), ["filedate", "city", "neighbourhood_cleansed"])
-    df = df.withColumns(
-        {
-            "property_type": clean.recode("property_type", PROPERTY_TYPES, "Other"),
-            "cancellation_policy": clean.recode("cancellation_policy", POLICIES, "strict"),
-        }
-    )
     df = df.where(clean.ne_keep_null("room_type", "Hotel room") & clean.ne_keep_null("room_type", "Shared room"))
     return df.select("id", "filedate", *SCALED, *CATEGORIES, "has_value", "pets_allowed")
 

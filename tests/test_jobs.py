@@ -198,3 +198,15 @@ def test_rates_read_narrow_rows(spark):
     assert not set(narrow.columns) & (set(wide.features) - {*occupancy.SCALED, "amenities_count"}) and len(wide.features) > len(narrow.columns)
     rows = sorted(map(str, narrow.collect()))
     assert len(rows) > 100 and rows == sorted(map(str, wide.rows.select(narrow.columns).collect()))
+
+
+def test_snapshots_of_features_meet_once_and_narrow(spark, listings, areas, monkeypatch):
+    """No text of a listing is shuffled: what is compared by id is the typed columns that are read, and it is stored."""
+    met, stored = [], []
+    whole, keep = value_odds.dedupe_last, value_odds.materialize
+    monkeypatch.setattr(value_odds, "dedupe_last", lambda df, *a: met.append(df.columns) or whole(df, *a))
+    monkeypatch.setattr(value_odds, "materialize", lambda df: stored.append(df.columns) or keep(df))
+    rows = value_odds.feature_rows(listings, areas)
+    own = {*value_odds.SCALED, *value_odds.CATEGORIES, "id", "filedate", "city", "neighbourhood_cleansed", "has_value", "pets_allowed"} - {"listings_per_sq_km"}
+    assert len(met) == 1 and set(met[0]) == own and met[0] in stored
+    assert rows.count() > 0 and not any("Aggregate" in line and "max_by" in line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines())
