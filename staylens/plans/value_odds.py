@@ -65,7 +65,9 @@ PETS = "Pets allowed"
 
 def feature_rows(listings: DataFrame, areas: DataFrame) -> DataFrame:
     """Last snapshot of each reviewed listing with area density and grouped categories."""
-    df = listings.where(F.col("number_of_reviews") >= 5).select("id", "filedate", *PLACE, *RAW, *CATEGORIES)
+    # the number that stands for the whole row keeps all columns in the plan below, and so the order of rows that it depends on
+    df = listings.where(F.col("number_of_reviews") >= 5).withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in listings.columns]))
+    df = df.select("id", "filedate", "__row", *PLACE, *RAW, *CATEGORIES)
     df = clean_listings(df).withColumns(
         {
             "has_value": clean.flag(F.col("review_scores_value") == 10),
@@ -74,10 +76,10 @@ def feature_rows(listings: DataFrame, areas: DataFrame) -> DataFrame:
             "cancellation_policy": clean.recode("cancellation_policy", POLICIES, "strict"),
         }
     )
-    # snapshots meet as the typed columns that are read below, and once
+    # snapshots meet as the typed columns that are read below, and once; of equal ids and dates the one kept is as for whole rows
     own = [c for c in SCALED if c != "listings_per_sq_km"]
-    df = df.select("id", "filedate", *PLACE, *own, *CATEGORIES, "has_value", "pets_allowed")
-    df = materialize(dedupe_last(df, ["id"], ["filedate"]))
+    df = df.select("id", "filedate", "__row", *PLACE, *own, *CATEGORIES, "has_value", "pets_allowed")
+    df = materialize(dedupe_last(df, ["id"], ["filedate"]).drop("__row"))
     sizes = areas.groupBy("city", F.col("neighbourhood").alias("neighbourhood_cleansed")).agg(F.sum(area_sq_km("geometry")).alias("sq_km"))
     counts = df.groupBy("filedate", "city", "neighbourhood_cleansed").agg(F.count("id").alias("listing_count"))
     density = counts.join(sizes, ["city", "neighbourhood_cleansed"]).select(

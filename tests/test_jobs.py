@@ -208,5 +208,5 @@ def test_snapshots_of_features_meet_once_and_narrow(spark, listings, areas, monk
     monkeypatch.setattr(value_odds, "materialize", lambda df: stored.append(df.columns) or keep(df))
     rows = value_odds.feature_rows(listings, areas)
     own = {*value_odds.SCALED, *value_odds.CATEGORIES, "id", "filedate", "city", "neighbourhood_cleansed", "has_value", "pets_allowed"} - {"listings_per_sq_km"}
-    assert len(met) == 1 and set(met[0]) == own and met[0] in stored
+    assert len(met) == 1 and set(met[0]) == own | {"__row"} and any(set(c) == own for c in stored)
     assert rows.count() > 0 and not any("Aggregate" in line and "max_by" in line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines())
